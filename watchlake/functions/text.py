@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
+from watchlake.functions.binding import let
 
 # Unicode white space plus the four ASCII separators U+001C..U+001F.
 _SPACE = r"[\s\x{1C}-\x{1F}]"
@@ -29,20 +30,29 @@ def video_title(title: Column) -> Column:
     (?d) makes only LF a line break, so CR or U+2028 may occur inside a title.
     """
     pattern = rf"(?dU)(.+?){_SPACE}*{fixed.WATCHED_SUFFIX}"
-    return (
-        F.when(title.isNull(), "")
-        .when(title.rlike(pattern), unicode_trim(F.regexp_extract(title, pattern, 1)))
-        .otherwise(title)
+
+    def shortened(text: Column) -> Column:
+        return let(
+            F.regexp_extract(text, pattern, 1),
+            lambda found: F.when(found == "", text).otherwise(unicode_trim(found)),
+        )
+
+    # The plain search first: the pattern backtracks on long titles without the suffix.
+    return F.when(title.isNull(), "").otherwise(
+        let(
+            title,
+            lambda text: F.when(text.contains(fixed.WATCHED_SUFFIX), shortened(text)).otherwise(
+                text
+            ),
+        )
     )
 
 
 def video_id(url: Column) -> Column:
     """The 11-character video id; the query-string form wins over the short form."""
-    return F.coalesce(
-        F.nullif(F.regexp_extract(url, fixed.VIDEO_ID_LONG, 1), F.lit("")),
-        F.regexp_extract(url, fixed.VIDEO_ID_SHORT, 1),
-        F.lit(""),
-    )
+    found = F.coalesce(F.regexp_extract(url, fixed.VIDEO_ID_LONG, 1), F.lit(""))
+    short = F.coalesce(F.regexp_extract(url, fixed.VIDEO_ID_SHORT, 1), F.lit(""))
+    return let(found, lambda long: F.when(long == "", short).otherwise(long))
 
 
 def channel_id(url: Column) -> Column:

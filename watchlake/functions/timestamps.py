@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from watchlake.functions.binding import let
+
 # date [any one separator HH[:MM[:SS[.fff|.ffffff]]] [+-HH:MM[:SS]]], nothing around it.
 _ISO = (
-    r"(?s)\A([0-9]{4}-[0-9]{2}-[0-9]{2})"
-    r"(?:.([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:\.([0-9]{3}|[0-9]{6}))?)?)?"
-    r"(?:([+-])([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)?)?\z"
+    r"(?s)\A[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"(.[0-9]{2}(:[0-9]{2}(:[0-9]{2}(\.([0-9]{3}|[0-9]{6}))?)?)?"
+    r"([+-][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?)?\z"
 )
+_MIDNIGHT = "00:00:00.000000"
 
 
-def _part(text: Column, group: int, default: str) -> Column:
-    found = F.regexp_extract(text, _ISO, group)
-    return F.when(found == "", F.lit(default)).otherwise(found)
+def _number(text: Column, start: int) -> Column:
+    """Two digits of a text; 0 where the text ends before."""
+    return F.coalesce(F.nullif(F.substring(text, start, 2), F.lit("")).try_cast("int"), F.lit(0))
 
 
 def parse_iso(text: Column) -> Column:
@@ -23,30 +26,48 @@ def parse_iso(text: Column) -> Column:
 
     try_to_timestamp alone would also take `2025`, `10:00`, unpadded parts and outer blanks.
     Text without an offset is UTC. The offset is subtracted as an interval because zone
-    offsets beyond 18 hours are legal here.
+    offsets beyond 18 hours are legal here. The parts have fixed widths, so after the one
+    match they are cut out by position.
     """
-    iso = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    local = F.concat(
-        _part(iso, 1, ""),
-        F.lit("T"),
-        _part(iso, 2, "00"),
-        F.lit(":"),
-        _part(iso, 3, "00"),
-        F.lit(":"),
-        _part(iso, 4, "00"),
-        F.lit("."),
-        _part(iso, 5, "0"),
-        F.lit("Z"),
+
+    def instant(iso: Column) -> Column:
+        behind = F.substring(iso, F.lit(12), F.length(iso))
+        clock = F.substring_index(F.substring_index(behind, "+", 1), "-", 1)
+        return let(clock, lambda c: shifted(iso, c))
+
+    def shifted(iso: Column, clock: Column) -> Column:
+        # What the clock time leaves out is filled from midnight.
+        rest = F.substring(F.lit(_MIDNIGHT), F.length(clock) + 1, F.lit(len(_MIDNIGHT)))
+        local = F.concat(F.substring(iso, 1, 10), F.lit("T"), clock, rest, F.lit("Z"))
+        offset = F.substring(iso, F.length(clock) + 12, F.length(iso))
+        return let(
+            offset,
+            lambda o: F.when(
+                (o == "") | (o == "+00:00"), local.try_cast("timestamp")
+            ).otherwise(local.try_cast("timestamp") - _interval(o)),
+        )
+
+    return let(
+        F.replace(text, F.lit("Z"), F.lit("+00:00")),
+        lambda iso: F.when(iso.rlike(_ISO) & ~iso.startswith("0000"), instant(iso)),
     )
-    seconds = (
-        _part(iso, 7, "0").cast("int") * 3600
-        + _part(iso, 8, "0").cast("int") * 60
-        + _part(iso, 9, "0").cast("int")
+
+
+def _interval(offset: Column) -> Column:
+    """`+HH:MM[:SS]` as an interval; NULL for a day or more."""
+    seconds = _number(offset, 2) * 3600 + _number(offset, 5) * 60 + _number(offset, 8)
+    return let(
+        seconds,
+        lambda s: F.when(
+            s < 86400,
+            F.make_dt_interval(
+                F.lit(0),
+                F.lit(0),
+                F.lit(0),
+                F.when(offset.startswith("-"), -s).otherwise(s).cast("decimal(18,6)"),
+            ),
+        ),
     )
-    signed = F.when(_part(iso, 6, "+") == "-", -seconds).otherwise(seconds)
-    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), signed.cast("decimal(18,6)"))
-    valid = iso.rlike(_ISO) & ~iso.startswith("0000") & (seconds < 86400)
-    return F.when(valid, local.try_cast("timestamp") - offset)
 
 
 def timestamp_text(ts: Column) -> Column:

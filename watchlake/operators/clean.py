@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
+from watchlake.functions.binding import let
 from watchlake.functions.text import channel_id, video_id, video_title
 from watchlake.functions.timestamps import parse_iso
 from watchlake.sources.raw_files import NOT_AN_OBJECT
@@ -25,92 +26,101 @@ BAD_SUBTITLES = "bad_subtitles"
 # JSON texts of values that count as empty when a string or list is expected.
 _EMPTY_JSON = ("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}")
 
+_RECORD = "struct<title:variant,titleUrl:variant,time:variant,subtitles:variant,details:variant>"
+_NAMED = "struct<name:variant,url:variant>"
 
-def _json(rec: Column, path: str) -> Column:
-    """JSON text of a field: NULL when the key is missing, 'null' for an explicit null."""
-    return F.to_json(F.try_variant_get(rec, path, "variant"))
 
+def _is_string(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
-def _string(rec: Column, path: str) -> Column:
+
+def _text(value: Column) -> Column:
     """A string field; empty when missing or when an empty value of another type."""
-    text = F.try_variant_get(rec, path, "string")
-    return F.when(_json(rec, path).startswith('"'), text).otherwise("")
+    return F.when(_is_string(value), F.try_variant_get(value, "$", "string")).otherwise("")
 
 
-def _not_text(json: Column) -> Column:
+def _not_text(value: Column) -> Column:
     """Neither missing, nor empty, nor a string."""
-    return F.coalesce(~json.startswith('"') & ~json.isin(*_EMPTY_JSON), F.lit(False))
+    return value.isNotNull() & ~_is_string(value) & ~F.to_json(value).isin(*_EMPTY_JSON)
 
 
-def is_advertisement(rec: Column) -> Column:
+def is_advertisement(details: Column) -> Column:
     """Any object in the details array whose name is exactly the ad marker."""
     return F.coalesce(
         F.exists(
-            F.try_variant_get(rec, "$.details", "array<variant>"),
+            F.try_variant_get(details, "$", "array<variant>"),
             lambda d: F.coalesce(
-                F.try_variant_get(d, "$.name", "variant").isNotNull()
-                & (F.to_json(F.try_variant_get(d, "$.name", "variant")) == f'"{fixed.AD_DETAIL_NAME}"'),
-                F.lit(False),
+                F.try_variant_get(d, "$.name", "string") == fixed.AD_DETAIL_NAME, F.lit(False)
             ),
         ),
         F.lit(False),
     )
 
 
-def parse_records(records: DataFrame, rec: str = "rec") -> DataFrame:
-    """Replace the VARIANT column by the cleaned columns, `outcome` and `reason`.
+def _cleaned(record: Column) -> Column:
+    """Struct of the cleaned columns, `outcome` and `reason` of one opened record.
 
     The order of the tests matters: an ad with a bad time is an ad, and fields are looked at
     only for records with a good time.
     """
-    r = F.col(rec)
-    details = _json(r, "$.details")
-    first = "$.subtitles[0]"
-    subtitles = _json(r, "$.subtitles")
-    in_list = F.coalesce(subtitles.startswith("["), F.lit(False))
-    first_json = F.when(in_list, _json(r, first))
-    first_is_object = F.coalesce(first_json.startswith("{"), F.lit(False))
-    name_json = F.when(first_is_object, _json(r, f"{first}.name"))
-    url_json = F.when(first_is_object, _json(r, f"{first}.url"))
-
-    flagged = records.select(
-        "*",
-        F.coalesce(F.to_json(r).startswith("{"), F.lit(False)).alias("_object"),
-        F.coalesce(details.rlike(r"^[-0-9tfn]"), F.lit(False)).alias("_bad_details"),
-        is_advertisement(r).alias("_ad"),
-        F.when(_json(r, "$.time").startswith('"'), parse_iso(F.try_variant_get(r, "$.time", "string")))
-        .alias("watched_at"),
-        _not_text(_json(r, "$.title")).alias("_bad_title"),
-        _not_text(_json(r, "$.titleUrl")).alias("_bad_url"),
-        (
-            (_not_text(subtitles) & ~in_list) | F.coalesce(_not_text(url_json), F.lit(False))
-        ).alias("_bad_subtitles"),
-        video_title(_string(r, "$.title")).alias("title"),
-        video_id(_string(r, "$.titleUrl")).alias("video_id"),
-        F.when(~first_is_object, "")
-        .when(name_json.isNull(), fixed.UNKNOWN_CHANNEL)
-        .otherwise(F.try_variant_get(r, f"{first}.name", "string"))
-        .alias("channel_name"),
-        channel_id(F.when(first_is_object, _string(r, f"{first}.url"))).alias("channel_id"),
+    time, details, subtitles = record["time"], record["details"], record["subtitles"]
+    listed = F.try_variant_get(subtitles, "$", "array<variant>")
+    state = F.struct(
+        is_advertisement(details).alias("ad"),
+        F.when(_is_string(time), parse_iso(F.try_variant_get(time, "$", "string"))).alias("at"),
+        listed.isNotNull().alias("listed"),
+        F.try_variant_get(F.get(listed, F.lit(0)), "$", _NAMED).alias("first"),
     )
-    reason = (
-        F.when(~F.col("_object"), NOT_AN_OBJECT)
-        .when(F.col("_bad_details"), BAD_DETAILS)
-        .when(F.col("_ad") | F.col("watched_at").isNull(), None)
-        .when(F.col("_bad_title"), BAD_TITLE)
-        .when(F.col("_bad_url"), BAD_TITLE_URL)
-        .when(F.col("_bad_subtitles"), BAD_SUBTITLES)
-    )
-    outcome = (
-        F.when(F.col("reason").isNotNull(), QUARANTINED)
-        .when(F.col("_ad"), AD)
-        .when(F.col("watched_at").isNull(), BAD_TIME)
-        .otherwise(VALID)
-    )
-    return (
-        flagged.withColumn("reason", reason)
-        .withColumn("outcome", outcome)
-        .drop(rec, "_object", "_bad_details", "_ad", "_bad_title", "_bad_url", "_bad_subtitles")
+
+    def judge(s: Column) -> Column:
+        readable = ~s["ad"] & s["at"].isNotNull()
+        return (
+            F.when(record.isNull(), NOT_AN_OBJECT)
+            # Objects and strings are searched without a result; nothing else can be searched.
+            .when(details.isNotNull() & F.to_json(details).rlike(r"^[-0-9tfn]"), BAD_DETAILS)
+            .when(readable & _not_text(record["title"]), BAD_TITLE)
+            .when(readable & _not_text(record["titleUrl"]), BAD_TITLE_URL)
+            .when(
+                readable & ((_not_text(subtitles) & ~s["listed"]) | _not_text(s["first"]["url"])),
+                BAD_SUBTITLES,
+            )
+        )
+
+    def row(s: Column, reason: Column) -> Column:
+        outcome = (
+            F.when(reason.isNotNull(), QUARANTINED)
+            .when(s["ad"], AD)
+            .when(s["at"].isNull(), BAD_TIME)
+            .otherwise(VALID)
+        )
+        channel = (
+            F.when(s["first"].isNull(), "")
+            .when(s["first"]["name"].isNull(), fixed.UNKNOWN_CHANNEL)
+            .otherwise(F.try_variant_get(s["first"]["name"], "$", "string"))
+        )
+        return F.struct(
+            video_title(_text(record["title"])).alias("title"),
+            let(_text(record["titleUrl"]), video_id).alias("video_id"),
+            channel.alias("channel_name"),
+            channel_id(_text(s["first"]["url"])).alias("channel_id"),
+            s["at"].alias("watched_at"),
+            outcome.alias("outcome"),
+            reason.alias("reason"),
+        )
+
+    return let(state, lambda s: let(judge(s), lambda reason: row(s, reason)))
+
+
+def parse_records(records: DataFrame, rec: str = "rec") -> DataFrame:
+    """Replace the VARIANT column by the cleaned columns, `outcome` and `reason`.
+
+    The row is the output of a generator: the optimizer would copy a projected expression
+    into every filter on it, and so read each record several times.
+    """
+    keep = [c for c in records.columns if c != rec]
+    cleaned = let(F.try_variant_get(rec, "$", _RECORD), _cleaned)
+    return records.select(*keep, F.explode(F.array(cleaned)).alias("_row")).select(
+        *keep, "_row.*"
     )
 
 
