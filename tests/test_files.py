@@ -1,0 +1,284 @@
+from __future__ import annotations
+
+import json
+import os
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from watchlake.plans.ingest import IngestError, ingest
+from watchlake.sources import raw_files, retention, tables, uploads
+from watchlake.sources.arrivals import normalise_arrivals
+
+TIME = "2025-12-27T10:26:59.596Z"
+
+
+def write(root, key, content):
+    path = root / key
+    path.parent.mkdir(parents=True, exist_ok=True)
+    if isinstance(content, bytes):
+        path.write_bytes(content)
+    else:
+        path.write_text(content if isinstance(content, str) else json.dumps(content), "utf-8")
+    return path
+
+
+def views(*names, **more):
+    return [{"title": f"{n} を視聴しました", "time": TIME, **more} for n in names]
+
+
+@pytest.fixture
+def root(tmp_path):
+    write(tmp_path, "raw/u1/a.json", views("a", "b", "c"))
+    write(tmp_path, "raw/u 2+%41/x/deep.json", views("d"))
+    write(tmp_path, "raw/broken/a.json", '[{"title":"x"}')
+    write(tmp_path, "raw/cut/a.json", '[{"title":"x"}x')
+    write(tmp_path, "raw/trailing/a.json", '[{"title":"x"}] x')
+    write(tmp_path, "raw/two/a.json", "[1][2]")
+    write(tmp_path, "raw/closed/a.json", "[1]]")
+    write(tmp_path, "raw/object/a.json", {"title": "x"})
+    write(tmp_path, "raw/empty/a.json", " [ ]\n")
+    write(tmp_path, "raw/blank/a.json", " \n")
+    write(tmp_path, "raw/latin/a.json", '[{"title":"é"}]'.encode("latin-1"))
+    write(tmp_path, "raw/mixed/a.json", [5, None, *views("e"), "s"])
+    write(tmp_path, "raw/u1/a.JSON", views("skipped"))
+    write(tmp_path, "raw/u1/a.csv", "skipped")
+    write(tmp_path, "raw/none.json", views("skipped"))
+    return tmp_path
+
+
+EXPECTED_HISTORY = [
+    ("mixed", 2, "e"),
+    ("u 2+%41", 0, "d"),
+    ("u1", 0, "a"),
+    ("u1", 1, "b"),
+    ("u1", 2, "c"),
+]
+EXPECTED_QUARANTINE = [
+    ("blank", None, "bad_json"),
+    ("broken", None, "bad_json"),
+    ("closed", None, "bad_json"),
+    ("cut", None, "bad_json"),
+    ("latin", None, "bad_utf8"),
+    ("mixed", 0, "not_an_object"),
+    ("mixed", 1, "not_an_object"),
+    ("mixed", 3, "not_an_object"),
+    ("object", None, "not_an_array"),
+    ("trailing", None, "bad_json"),
+    ("two", None, "bad_json"),
+]
+
+
+def history_rows(result):
+    rows = result.history.select("user_id", "src_pos", "title").collect()
+    return sorted((r["user_id"], r["src_pos"], r["title"]) for r in rows)
+
+
+def quarantine_rows(result):
+    rows = result.quarantine.select("user_id", "src_pos", "reason").collect()
+    key = lambda r: (r[0], -1 if r[1] is None else r[1])
+    return sorted(((r["user_id"], r["src_pos"], r["reason"]) for r in rows), key=key)
+
+
+@pytest.mark.parametrize("variant_bytes", [raw_files.VARIANT_TEXT_BYTES, -1])
+def test_ingest_all_users(spark, root, tmp_path, variant_bytes):
+    """Both ways of reading a file, as one VARIANT and element by element, agree."""
+    result = ingest(spark, str(root), str(tmp_path / "out"), variant_bytes=variant_bytes)
+    assert history_rows(result) == EXPECTED_HISTORY
+    assert quarantine_rows(result) == EXPECTED_QUARANTINE
+    stats = {r["user_id"]: r for r in result.stats.collect()}
+    assert stats["u1"]["valid_rows"] == 3
+    assert stats["mixed"]["quarantined"] == 3
+    for row in stats.values():
+        parts = ("ads_excluded", "bad_time", "quarantined", "valid_rows")
+        assert row["input_rows"] == sum(row[p] for p in parts)
+
+
+def test_ingest_again_changes_nothing(spark, root, tmp_path):
+    out = str(tmp_path / "out")
+    ingest(spark, str(root), out)
+    result = ingest(spark, str(root), out)
+    assert history_rows(result) == EXPECTED_HISTORY
+    assert quarantine_rows(result) == EXPECTED_QUARANTINE
+
+
+def test_newest_file_replaces_the_user(spark, root, tmp_path):
+    out = str(tmp_path / "out")
+    ingest(spark, str(root), out)
+    later = write(root, "raw/u1/0.json", views("new"))
+    os.utime(later, (4e9, 4e9))
+    empty = write(root, "raw/mixed/b.json", [])
+    os.utime(empty, (4e9, 4e9))
+    result = ingest(spark, str(root), out)
+    # An upload without valid rows leaves the old rows in place.
+    assert history_rows(result) == [
+        ("mixed", 2, "e"),
+        ("u 2+%41", 0, "d"),
+        ("u1", 0, "new"),
+    ]
+
+
+def test_strict_mode_raises_and_writes_nothing(spark, root, tmp_path):
+    with pytest.raises(IngestError):
+        ingest(spark, str(root), str(tmp_path / "out"), mode="strict")
+    assert not (tmp_path / "out").exists()
+
+
+def test_file_beyond_the_size_of_one_variant(spark, tmp_path):
+    """About 150 MB in one file: every record arrives."""
+    count = 150_000
+    filler = "x" * 900
+    body = ",".join(
+        json.dumps({"title": f"t{i} を視聴しました", "time": TIME, "header": filler})
+        for i in range(count)
+    )
+    write(tmp_path, "raw/big/a.json", f"[{body}]")
+    assert (tmp_path / "raw/big/a.json").stat().st_size > 140_000_000
+    result = ingest(spark, str(tmp_path), str(tmp_path / "out"))
+    assert result.history.count() == count
+    assert result.history.select("src_pos").distinct().count() == count
+    assert result.quarantine.isEmpty()
+
+
+def test_too_large_has_its_own_reason(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw_files, "MAX_FILE_BYTES", 10)
+    write(tmp_path, "raw/u/a.json", views("a"))
+    result = ingest(spark, str(tmp_path), str(tmp_path / "out"), variant_bytes=5)
+    assert quarantine_rows(result) == [("u", None, "too_large")]
+
+
+@pytest.mark.parametrize(
+    "key, user",
+    [
+        ("raw/u1/a.json", "u1"),
+        ("raw/u1/x/a.json", "u1"),
+        ("raw/a.json", None),
+        ("raw//a.json", None),
+        ("other/u1/a.json", None),
+        ("raw/u1/a.csv", None),
+        ("raw/u1/a.JSON", None),
+    ],
+)
+def test_user_of_raw_key(one_row, key, user):
+    assert one_row([key], raw_files.user_of_raw_key(F.col("value"))) == [user]
+
+
+@pytest.mark.parametrize(
+    "key, user",
+    [
+        ("processed/u1/data.parquet", "u1"),
+        ("processed/u1/x/data.parquet", "u1"),
+        ("processed/data.parquet", None),
+        ("processed/u1/data.json", None),
+        ("vectors/u1/data.parquet", None),
+    ],
+)
+def test_user_of_processed_key(one_row, key, user):
+    assert one_row([key], raw_files.user_of_processed_key(F.col("value"))) == [user]
+
+
+def test_history_table_prunes_partitions(spark, root, tmp_path):
+    result = ingest(spark, str(root), str(tmp_path / "out"))
+    one = result.history.where(F.col("user_id") == "u1").select("title")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(user_id" in plan
+    assert "ReadSchema: struct<title:string>" in plan
+    assert one.count() == 3
+
+
+def test_numeric_users_stay_text(spark, tmp_path):
+    write(tmp_path, "raw/007/a.json", views("a"))
+    result = ingest(spark, str(tmp_path), str(tmp_path / "out"))
+    assert result.history.first()["user_id"] == "007"
+
+
+def test_plain_layout(spark, tmp_path):
+    row = [("t", "v", "c", "i", datetime(2025, 1, 1))]
+    names = list(tables.HISTORY_COLUMNS)
+    for user in ("u1", "007"):
+        spark.createDataFrame(row, names).write.parquet(str(tmp_path / f"processed/{user}"))
+    found = tables.read_plain_layout(spark, str(tmp_path))
+    assert sorted(r["user_id"] for r in found.collect()) == ["007", "u1"]
+
+
+def test_catalog_table(spark, root, tmp_path):
+    ingest(spark, str(root), str(tmp_path / "out"))
+    tables.create_history_table(spark, "watch_history_test", str(tmp_path / "out/history"))
+    try:
+        rows = spark.sql("SELECT title FROM watch_history_test WHERE user_id = 'u1'").collect()
+        assert sorted(r["title"] for r in rows) == ["a", "b", "c"]
+    finally:
+        spark.sql("DROP TABLE watch_history_test")
+
+
+@pytest.mark.parametrize(
+    "name, value, reason",
+    [
+        ("a.json", '[{"title":"x","time":null}]', None),
+        ("a.json", '[{"title":"x","time":"y"},5]', None),
+        ("a.JSON", '[{"title":"x","time":"y"}]', "not_json_name"),
+        ("a.json", '[{"title":"x"},{"title":"x","time":"y"}]', "missing_keys"),
+        ("a.json", "[]", "empty_array"),
+        ("a.json", "[5]", "missing_keys"),
+        ("a.json", '{"title":"x","time":"y"}', "not_an_array"),
+        ("a.json", '[{"title":"x","time":"y"}', "bad_json"),
+    ],
+)
+def test_upload_validation(spark, name, value, reason):
+    files = spark.createDataFrame([(name, value)], "name string, value string")
+    row = uploads.validate_uploads(files).first()
+    assert (row["valid"], row["reason"]) == (reason is None, reason)
+
+
+S3 = {"bucket": {"name": "b"}, "object": {"key": "raw/u/a.json"}}
+
+
+@pytest.mark.parametrize(
+    "event, marker, count",
+    [
+        ({"source": "aws.s3", "detail-type": "Object Created", "detail": S3}, "detail-type", 1),
+        ({"source": "aws.s3", "detail": S3}, "detail-type", 0),
+        ({"source": "aws.s3", "detail": S3}, "detail", 1),
+        ({"source": "other", "detail-type": "x", "detail": S3}, "detail-type", 0),
+        ({"Records": [{"s3": S3}, {"s3": S3}]}, "detail-type", 2),
+        ({"Records": []}, "detail-type", 0),
+        ({"other": 1}, "detail-type", 0),
+        ("broken", "detail-type", 0),
+    ],
+)
+def test_arrivals(spark, event, marker, count):
+    body = event if isinstance(event, str) else json.dumps(event)
+    events = spark.createDataFrame([(1, body)], "id int, body string")
+    rows = normalise_arrivals(events, marker=marker).collect()
+    assert [(r["id"], r["bucket"], r["key"]) for r in rows] == [(1, "b", "raw/u/a.json")] * count
+
+
+def test_retention(spark, tmp_path):
+    old = write(tmp_path, "raw/u/old.json", "[]")
+    write(tmp_path, "raw/u/new.json", "[]")
+    now = datetime.now()
+    past = (now - timedelta(days=3)).timestamp()
+    os.utime(old, (past, past))
+    files = retention.list_files(spark, str(tmp_path))
+    expired = retention.expired_files(files, now).collect()
+    kept = retention.kept_files(files, now).collect()
+    assert [r["file_path"].rsplit("/", 1)[1] for r in expired] == ["old.json"]
+    assert [r["file_path"].rsplit("/", 1)[1] for r in kept] == ["new.json"]
+    assert retention.expired_files(files, now, days=30).isEmpty()
+
+
+def test_vectors_missing_is_no_error(spark, tmp_path):
+    vectors = tables.read_vectors(spark, str(tmp_path / "vectors"))
+    assert vectors.isEmpty()
+    assert not tables.has_vectors(vectors, "u")
+    users = spark.createDataFrame([("u",)], "user_id string")
+    row = tables.data_status(users, vectors).first()
+    assert row["has_data"] is False and row["message"].startswith("データが見つかりません")
+
+
+def test_result_csv(spark, tmp_path):
+    result = spark.sql("SELECT 'a' AS name, timestamp'2025-01-02 03:04:05' AS at, 3 AS n")
+    tables.write_result_csv(result, str(tmp_path / "result"))
+    row = spark.read.option("header", True).csv(str(tmp_path / "result")).first()
+    assert row.asDict() == {"name": "a", "at": "2025-01-02 03:04:05.000", "n": "3"}

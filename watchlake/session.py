@@ -49,16 +49,37 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the cluster names none (local tests) a temporary folder is set.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    if folder or context.getCheckpointDir():
+        return folder or context.getCheckpointDir()
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="watchlake-")
-    spark.sparkContext.setCheckpointDir(folder)
+    context.setCheckpointDir(folder)
     return folder
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store `df` in the shared folder and go on from the stored rows.
+
+    For results that several later steps read. The copy outlives lost executors.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use idle cores for a scan that has fewer splits than the session has cores.
+
+    A large scan has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """True if `df` has at most `max_rows` rows; reads no more than one row beyond."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -134,16 +134,24 @@ def parse_file_text(files: DataFrame) -> DataFrame:
 def _elements_of_large(files: DataFrame) -> DataFrame:
     """Elements of files beyond the VARIANT limit, split as JSON text, then parsed one by one."""
     text = F.expr("btrim(value, ' \\n\\r\\t')")
+    inner = F.expr("btrim(substring(_text, 2, length(_text) - 2), ' \\n\\r\\t')")
     # The closing bracket gives way to the marker, so trailing text shows as a lost marker.
-    marked = F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(f',"{_END}"]'))
+    marked = F.concat(
+        F.lit("["), inner, F.when(inner == "", "").otherwise(","), F.lit(f'"{_END}"]')
+    )
     return (
-        files.withColumn("_texts", F.from_json(marked, "array<string>"))
+        files.withColumn("_text", text)
+        .withColumn("_texts", F.from_json(marked, "array<string>"))
         .withColumn(
             "file_error",
             F.when(F.col("file_size") > MAX_FILE_BYTES, TOO_LARGE)
             .when(~F.is_valid_utf8("value"), BAD_UTF8)
-            .when(~text.startswith("["), NOT_AN_ARRAY)
-            .when(~F.try_element_at("_texts", F.lit(-1)).eqNullSafe(_END), BAD_JSON),
+            .when((F.col("_text") != "") & ~F.col("_text").startswith("["), NOT_AN_ARRAY)
+            .when(
+                ~F.col("_text").endswith("]")
+                | ~F.try_element_at("_texts", F.lit(-1)).eqNullSafe(_END),
+                BAD_JSON,
+            ),
         )
         .withColumn(
             "_texts",
@@ -152,6 +160,7 @@ def _elements_of_large(files: DataFrame) -> DataFrame:
                 F.slice("_texts", F.lit(1), F.size("_texts") - 1),
             ),
         )
+        .drop("value", "_text")
     )
 
 

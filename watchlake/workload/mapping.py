@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
 from watchlake.operators.clean import parse_records, valid_rows
-from watchlake.session import prepare_session
+from watchlake.session import prepare_session, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,7 +40,8 @@ def raw_fields(spark: SparkSession, folder: str) -> DataFrame:
     channel_url = F.concat(
         F.lit("https://www.youtube.com/channel/UC"), F.substring(F.md5(channel), 1, 10)
     )
-    return table(spark, folder, "events").select(
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts")
+    return spread(events).select(
         n.cast("int").alias("src_pos"),
         F.col("user_id").cast("string").alias("user_id"),
         title.alias("title"),

@@ -197,10 +197,14 @@ kept AS (
   WHERE b.n IS NULL
 )""",
     )
-    + """SELECT n::INTEGER AS src_pos, (code >> 1)::INTEGER AS bucket,
-      round((CASE WHEN code % 2 = 1 THEN 1.0 ELSE -1.0 END
-        / sqrt(count(*) OVER (PARTITION BY n)))::FLOAT::DOUBLE, 5) AS weight
-    FROM kept""",
+    + """SELECT n::INTEGER AS src_pos, string_agg(code, ' ' ORDER BY code) AS codes,
+      1024::INTEGER AS dimension, count(*)::INTEGER AS set_buckets,
+      round(CASE WHEN bool_or(code % 2 = 1) THEN 1.0 / sqrt(count(*)) ELSE 0.0 END
+        ::FLOAT::DOUBLE, 5) AS largest,
+      round(CASE WHEN bool_or(code % 2 = 0) THEN -1.0 / sqrt(count(*)) ELSE 0.0 END
+        ::FLOAT::DOUBLE, 5) AS smallest,
+      coalesce(min(code // 2 + 1) FILTER (code % 2 = 1), 0) AS first_largest
+    FROM kept GROUP BY n""",
     "sample_exact": _with(
         _RAW,
         """

@@ -21,7 +21,7 @@ from watchlake.functions.text import (
     video_title,
 )
 from watchlake.functions.timestamps import parse_iso, timestamp_text
-from watchlake.functions.vectors import cosine_similarity, hash_embedding
+from watchlake.functions.vectors import cosine_similarity, feature_codes, hash_embedding
 from watchlake.operators import context
 from watchlake.operators.clean import ingest_stats as stats_of
 from watchlake.operators.documents import read_documents, vector_documents
@@ -32,6 +32,7 @@ from watchlake.operators.sampling import sample_per_user
 from watchlake.operators.search import search_ranked
 from watchlake.plans import templates
 from watchlake.plans.answers import answer_batch as answers
+from watchlake.session import cut_lineage, spread
 from watchlake.sources.arrivals import normalise_arrivals
 from watchlake.sources.raw_files import user_of_processed_key, user_of_raw_key
 from watchlake.sources.retention import expired_files
@@ -201,15 +202,24 @@ def truncate_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
-    """The set buckets of every row's default embedding."""
+    """Features and default embedding of every row, the latter by native array functions."""
+    text = embedding_text(F.col("title"), F.col("channel_name"))
     rows = mapping.history(spark, folder).select(
         "src_pos",
-        F.posexplode(hash_embedding(embedding_text(F.col("title"), F.col("channel_name")))).alias(
-            "bucket", "weight"
-        ),
+        feature_codes(text, fixed.EMBEDDING_DIM).alias("codes"),
+        hash_embedding(text).alias("embedding"),
     )
-    return rows.where(F.col("weight") != 0).select(
-        "src_pos", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight")
+    largest = F.array_max("embedding")
+    return rows.select(
+        "src_pos",
+        F.array_join(F.transform("codes", lambda code: code.cast("string")), " ").alias("codes"),
+        F.size("embedding").alias("dimension"),
+        F.size(F.array_remove("embedding", F.lit(0.0).cast("float"))).alias("set_buckets"),
+        F.round(largest.cast("double"), 5).alias("largest"),
+        F.round(F.array_min("embedding").cast("double"), 5).alias("smallest"),
+        F.when(largest > 0, F.array_position("embedding", largest))
+        .otherwise(F.lit(0).cast("bigint"))
+        .alias("first_largest"),
     )
 
 
@@ -333,22 +343,26 @@ def route_questions(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def route_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents as questions, which hit keywords of every route."""
-    asked = mapping.table(spark, folder, "documents").select(
-        "doc_id", F.col("text").alias("question")
+    asked = spread(
+        mapping.table(spark, folder, "documents").select("doc_id", F.col("text").alias("question"))
     )
     return route(asked).select("doc_id", "route", "source")
 
 
 def _batch(spark: SparkSession, folder: str) -> DataFrame:
-    rows = mapping.history(spark, folder)
     asked = mapping.questions(spark, folder)
+    rows = cut_lineage(
+        mapping.history(spark, folder).join(
+            asked.select("user_id").distinct(), "user_id", "left_semi"
+        )
+    )
     # Users that are customers of one market segment have no vectors yet: the fallback.
     waiting = (
         mapping.table(spark, folder, "customer")
         .where(F.col("c_mktsegment") == "MACHINERY")
         .select(F.col("c_custkey").cast("string").alias("user_id"))
     )
-    vectors = build_vectors(rows.join(waiting, "user_id", "left_anti"))
+    vectors = cut_lineage(build_vectors(rows.join(waiting, "user_id", "left_anti")))
     return answers(asked, rows, vectors)
 
 
