@@ -6,11 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchlake.operators.clean import ingest_stats, parse_records, valid_rows
-from watchlake.operators.embedding import build_vectors
+from watchlake.operators.embedding import HashEmbedder, build_vectors
 from watchlake.operators.ranking import top_per_key
 from watchlake.operators.search import search_ranked
 from watchlake.plans import templates
-from watchlake.sources.tables import HISTORY_SCHEMA, write_history
+from watchlake.sources.tables import (
+    HISTORY_SCHEMA,
+    read_vectors,
+    write_history,
+    write_vectors,
+)
 
 from conftest import SF_SMALL
 
@@ -95,9 +100,19 @@ def test_few_questions_leave_the_vectors_in_place(spark):
     asked = vectors.where("idx < 3").withColumnRenamed("idx", "question_id")
     text = plan(search_ranked(vectors, asked, 5))
     before = text[text.index("MapInArrow"):]
-    # Only the question users, which are broadcast, are exchanged below the scoring.
-    assert "BroadcastHashJoin" in before and "SortMergeJoin" not in before
-    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
+    # Vectors are filtered and scored where they are read.
+    assert "Exchange" not in before and "Join" not in text and "CartesianProduct" not in text
+    # Candidates are cut to k per question before they are exchanged.
+    assert text.index("Final") < text.index("Exchange") < text.index("Partial")
+
+
+def test_search_reads_only_partitions_of_asking_users(spark, stored, tmp_path):
+    write_vectors(build_vectors(stored, HashEmbedder(8)), str(tmp_path / "vectors"))
+    vectors = read_vectors(spark, str(tmp_path / "vectors"))
+    asked = vectors.where("user_id = 'u9' AND idx < 2").withColumnRenamed("idx", "question_id")
+    hits = search_ranked(vectors, asked, 5)
+    assert "PartitionFilters: [(user_id" in plan(hits) or "PartitionFilters: [isnotnull(user_id" in plan(hits)
+    assert hits.count() == 10
 
 
 def test_hot_user_is_written_by_several_tasks(spark, stored, tmp_path, monkeypatch):

@@ -192,3 +192,20 @@ def test_envelope(one_row):
         '{"answer":"答え","data_count":3,"source":"sql"}',
         '{"answer":null,"data_count":3,"source":"sql"}',
     ]
+
+
+def test_hot_user_is_salted(spark):
+    history = mapping.history(spark, SF_SMALL).cache()
+    vectors = build_vectors(history, HashEmbedder(16))
+    asked = [(i, "7", "合計は？" if i % 2 else "動画") for i in range(300)]
+    asked += [(1000, "3", "合計は？"), (1001, "nobody", "合計は？"), (1002, "nobody", "動画")]
+    questions = spark.createDataFrame(asked, "question_id long, user_id string, question string")
+    plain, salted = (
+        {
+            r["question_id"]: r
+            for r in answer_batch(questions, history, vectors, HashEmbedder(16), **more).collect()
+        }
+        for more in ({}, {"hot_rows": 100})
+    )
+    assert len(plain) == len(asked) and plain == salted
+    history.unpersist()

@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
 from watchlake.operators.ranking import top_per_key
+from watchlake.operators.skew import SALTS
 from watchlake.session import is_small
 
 # Most questions that are broadcast: 2,000 x 1,024 floats are 8 MB.
@@ -32,23 +34,27 @@ QUESTIONS_PER_BLOCK = 512
 # Rows scored at once, small enough to stay in the processor cache.
 _SLICE = 256
 
-_CANDIDATES = "question_id long, user_id string, idx long, score double"
-_CANDIDATE_FIELDS = pa.schema(
-    [
-        ("question_id", pa.int64()),
-        ("user_id", pa.string()),
-        ("idx", pa.int64()),
-        ("score", pa.float64()),
-    ]
-)
+_KEYS = ("user_id", "idx", "embedding")
+
+
+def _candidate_schema(vectors: DataFrame) -> str:
+    """Question, user, position, score, and the other columns of the vector table as `meta`."""
+    return (
+        "question_id long, user_id string, idx long, score double, meta "
+        + vectors.select(_meta(vectors)).schema["meta"].dataType.simpleString()
+    )
+
+
+def _meta(vectors: DataFrame):
+    others = [F.col(c) for c in vectors.columns if c not in _KEYS]
+    return F.struct(*others or [F.lit(None).cast("string").alias("_none")]).alias("meta")
 
 
 def _matrices(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Vectors of a list column grouped by length: [(row numbers, matrix of doubles)]."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    column = _one_array(column)
     lengths = np.nan_to_num(
-        np.asarray(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False), "f8")
+        np.asarray(pc.list_value_length(column).to_numpy(zero_copy_only=False), "f8")
     ).astype("i8")
     groups = []
     for length in np.unique(lengths):
@@ -88,53 +94,74 @@ def _best(scores: np.ndarray, idx: np.ndarray, k: int) -> np.ndarray:
     return rows[np.lexsort((idx[rows], -scores[rows]))][:k]
 
 
-def _candidates(found: list[tuple[int, str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    lengths = [len(entry[2]) for entry in found]
-    columns = [
-        pa.array(np.repeat(np.array([entry[0] for entry in found], "i8"), lengths)),
-        pa.array(np.repeat(np.array([entry[1] for entry in found], "O"), lengths), pa.string()),
-        pa.array(np.concatenate([entry[2] for entry in found] or [np.empty(0, "i8")])),
-        pa.array(np.concatenate([entry[3] for entry in found] or [np.empty(0)])),
-    ]
-    return pa.RecordBatch.from_arrays(columns, schema=_CANDIDATE_FIELDS)
+class _Hits:
+    """The best candidates found so far, per question."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.best: dict[int, tuple[str, np.ndarray, np.ndarray, pa.Array]] = {}
+
+    def add(self, question_id: int, user: str, scores, idx: np.ndarray, meta: pa.Array) -> None:
+        top = _best(scores, idx, self.k)
+        scores, idx, meta = scores[top], idx[top], meta.take(pa.array(top))
+        if question_id in self.best:
+            _, old_idx, old_scores, old_meta = self.best[question_id]
+            scores, idx = np.concatenate([old_scores, scores]), np.concatenate([old_idx, idx])
+            top = _best(scores, idx, self.k)
+            meta = pa.concat_arrays([old_meta, meta]).take(pa.array(top))
+            scores, idx = scores[top], idx[top]
+        self.best[question_id] = (user, idx, scores, meta)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for question_id, (user, idx, scores, meta) in self.best.items():
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(idx), question_id, "i8")),
+                    pa.array([user] * len(idx), pa.string()),
+                    pa.array(idx.astype("i8")),
+                    pa.array(scores),
+                    meta,
+                ],
+                names=["question_id", "user_id", "idx", "score", "meta"],
+            )
+
+
+def _one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _vector(value: pa.Scalar) -> np.ndarray:
+    return value.values.to_numpy(zero_copy_only=False).astype("f8") if value.is_valid else np.empty(0)
 
 
 def _search_broadcast(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    spark = vectors.sparkSession
     # At most BROADCAST_QUESTIONS rows, as checked by the caller.
-    by_user: dict[str, list] = {}
-    for row in questions.select("question_id", "user_id", "embedding").toLocalIterator():
-        query = np.array(row["embedding"] or [], "f8")
-        by_user.setdefault(row["user_id"], []).append((row["question_id"], query))
-    shared = spark.sparkContext.broadcast(by_user)
+    asked = questions.select("question_id", "user_id", "embedding").toArrow()
+    by_user: dict[str, list[tuple[int, np.ndarray]]] = {}
+    for question_id, user, embedding in zip(*asked.columns):
+        by_user.setdefault(user.as_py(), []).append((question_id.as_py(), _vector(embedding)))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_user)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[str, np.ndarray, np.ndarray]] = {}
+        hits = _Hits(k)
         for batch in batches:
             users = batch.column("user_id").dictionary_encode()
             codes = users.indices.to_numpy(zero_copy_only=False)
-            idx = batch.column("idx").to_numpy(zero_copy_only=False)
             for code, user in enumerate(users.dictionary.to_pylist()):
-                rows = np.flatnonzero(codes == code)
-                own = idx[rows]
-                groups = _matrices(batch.column("embedding").take(pa.array(rows)))
+                own = batch.take(pa.array(np.flatnonzero(codes == code)))
+                idx = own.column("idx").to_numpy(zero_copy_only=False)
+                groups = _matrices(own.column("embedding"))
                 for question_id, query in shared.value.get(user, ()):
-                    scores = _scores(query, groups, len(rows))
-                    top = _best(scores, own, k)
-                    keep_idx, keep_scores = own[top], scores[top]
-                    if question_id in best:
-                        keep_idx = np.concatenate([best[question_id][1], keep_idx])
-                        keep_scores = np.concatenate([best[question_id][2], keep_scores])
-                        top = _best(keep_scores, keep_idx, k)
-                        keep_idx, keep_scores = keep_idx[top], keep_scores[top]
-                    best[question_id] = (user, keep_idx, keep_scores)
-        yield _candidates([(qid, *entry) for qid, entry in best.items()])
-
-    asking = F.broadcast(questions.select("user_id").distinct())
+                    scores = _scores(query, groups, len(idx))
+                    hits.add(question_id, user, scores, idx, own.column("meta"))
+        yield from hits.batches()
+
+    # A filter on the user prunes the partitions of a stored vector table.
+    asking = F.col("user_id").isin(list(by_user))
     return (
-        vectors.join(asking, "user_id", "left_semi")
-        .select("user_id", F.col("idx").cast("long").alias("idx"), "embedding")
-        .mapInArrow(score, _CANDIDATES)
+        vectors.where(asking if by_user else F.lit(False))
+        .select("user_id", F.col("idx").cast("long").alias("idx"), "embedding", _meta(vectors))
+        .mapInArrow(score, _candidate_schema(vectors))
     )
 
 
@@ -145,6 +172,7 @@ def _search_cells(
     vectors_per_block: int,
     questions_per_block: int,
 ) -> DataFrame:
+    schema = _candidate_schema(vectors)
     # Own column instances, so that both sides may come from the same table.
     questions = questions.select(
         *[F.col(c).alias(c) for c in ("question_id", "user_id", "embedding")]
@@ -153,6 +181,7 @@ def _search_cells(
         "user_id",
         F.col("idx").cast("long").alias("idx"),
         "embedding",
+        _meta(vectors),
         # idx counts from 0 per user, so a block holds at most vectors_per_block rows.
         F.floor(F.col("idx") / vectors_per_block).alias("block"),
     )
@@ -168,31 +197,46 @@ def _search_cells(
     left = vectors.join(blocks, ["user_id", "block"]).withColumn(
         "part", F.explode(F.sequence(zero, F.col("parts") - 1))
     )
-    # Spread by question before copying a question to every block of its user.
+    # The sizes are one light row per user. Repeated once per salt, they let the questions of
+    # one user go to many tasks.
+    salted_sizes = sizes.withColumn("_salt", F.explode(F.sequence(zero, F.lit(SALTS - 1))))
     right = (
-        questions.select("question_id", "user_id", "embedding")
-        .join(sizes, "user_id")
+        questions.withColumn("_hash", F.xxhash64("question_id"))
+        .withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
+        .join(salted_sizes, ["user_id", "_salt"])
+        .withColumn("part", F.pmod(F.shiftright("_hash", 8), F.col("parts")))
+        # Spread by question before copying a question to every block of its user.
         .repartition("question_id")
-        .withColumn("part", F.pmod(F.xxhash64("question_id"), F.col("parts")))
         .withColumn("block", F.explode(F.sequence(zero, F.col("last_block"))))
     )
 
     def score(cell_vectors: pa.Table, cell_questions: pa.Table) -> pa.Table:
         idx = cell_vectors.column("idx").to_numpy()
+        meta = _one_array(cell_vectors.column("meta"))
         groups = _matrices(cell_vectors.column("embedding"))
-        found = []
-        for row in cell_questions.select(["question_id", "user_id", "embedding"]).to_pylist():
-            scores = _scores(np.array(row["embedding"] or [], "f8"), groups, len(idx))
-            top = _best(scores, idx, k)
-            found.append((row["question_id"], row["user_id"], idx[top], scores[top]))
-        return pa.Table.from_batches([_candidates(found)])
+        hits = _Hits(k)
+        for question_id, user, embedding in zip(
+            *[cell_questions.column(c) for c in ("question_id", "user_id", "embedding")]
+        ):
+            scores = _scores(_vector(embedding), groups, len(idx))
+            hits.add(question_id.as_py(), user.as_py(), scores, idx, meta)
+        empty = pa.schema(
+            [
+                ("question_id", pa.int64()),
+                ("user_id", pa.string()),
+                ("idx", pa.int64()),
+                ("score", pa.float64()),
+                ("meta", meta.type),
+            ]
+        )
+        return pa.Table.from_batches(hits.batches(), empty)
 
     keys = ["user_id", "block", "part"]
     return (
-        left.select(*keys, "idx", "embedding")
+        left.select(*keys, "idx", "embedding", "meta")
         .groupBy(*keys)
         .cogroup(right.select(*keys, "question_id", "embedding").groupBy(*keys))
-        .applyInArrow(score, _CANDIDATES)
+        .applyInArrow(score, schema)
     )
 
 
@@ -204,9 +248,10 @@ def search_ranked(
     vectors_per_block: int = VECTORS_PER_BLOCK,
     questions_per_block: int = QUESTIONS_PER_BLOCK,
 ) -> DataFrame:
-    """(question_id, user_id, rank, idx, score): the k best vectors of each question's user.
+    """(question_id, user_id, rank, idx, score, ...): the k best vectors of each question's user.
 
-    vectors: user_id, idx (unique per user, from 0, best without large gaps), embedding.
+    vectors: user_id, idx (unique per user, from 0, best without large gaps), embedding, and
+    any further columns, which the result carries along; so hits need no join.
     questions: question_id (unique), user_id, embedding.
     The score is not rounded here: the order depends on it.
     """
@@ -217,16 +262,14 @@ def search_ranked(
             vectors, questions, k, vectors_per_block, questions_per_block
         )
     order = [F.desc("score"), F.asc("idx")]
-    return top_per_key(candidates, ["question_id"], order, k)
+    others = [f"meta.{c}" for c in vectors.columns if c not in _KEYS]
+    return top_per_key(candidates, ["question_id"], order, k).select(
+        "question_id", "user_id", "rank", "idx", "score", *others
+    )
 
 
 def search(
     vectors: DataFrame, questions: DataFrame, k: int = fixed.SEARCH_DEFAULT_K
 ) -> DataFrame:
-    """Search hits with rounded score and the metadata of each hit.
-
-    Only the ranked hits are joined back, so metadata never travels with the vectors.
-    """
-    hits = search_ranked(vectors, questions, k)
-    metadata = vectors.drop("embedding").withColumn("idx", F.col("idx").cast("long"))
-    return hits.withColumn("score", F.round("score", 4)).join(metadata, ["user_id", "idx"])
+    """Search hits with the score as it is reported, rounded to four digits."""
+    return search_ranked(vectors, questions, k).withColumn("score", F.round("score", 4))

@@ -20,6 +20,7 @@ from watchlake.operators.context import (
 from watchlake.operators.embedding import Embedder, HashEmbedder, embed_texts
 from watchlake.operators.routing import route_questions
 from watchlake.operators.search import search
+from watchlake.operators.skew import HOT_ROWS, hot_keys, repeat_rows, salt_rows
 from watchlake.plans.templates import (
     daily_watch_count,
     most_watched_channels,
@@ -71,8 +72,9 @@ def answer_batch(
     vectors: DataFrame,
     embedder: Embedder | None = None,
     k: int = fixed.ANSWER_SEARCH_K,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """(question_id, user_id, question, route, source, plan, data_count, context, prompt).
+    """One row per question: its labels, data_count, context, prompt and system_prompt.
 
     questions: question_id, user_id, question. Blank questions are left out; they are found
     with `check_questions`. `route` and `source` follow the keywords; `plan` names what was
@@ -82,9 +84,12 @@ def answer_batch(
     prepare_session(questions.sparkSession)
     embedder = embedder or HashEmbedder()
     routed = route_questions(questions.select("question_id", "user_id", "question"))
+    # One user may ask a large share of all questions; such users are salted in both joins.
+    hot = hot_keys(routed, "user_id", hot_rows)
+    routed = salt_rows(routed, hot, "user_id", F.col("question_id"))
     stored = vectors.select("user_id").distinct().withColumn("_stored", F.lit(True))
     planned = (
-        routed.join(stored, "user_id", "left")
+        routed.join(repeat_rows(stored, hot, "user_id"), ["user_id", "_salt"], "left")
         .withColumn(
             "plan",
             F.coalesce(
@@ -96,10 +101,12 @@ def answer_batch(
         .drop("_stored")
     )
 
+    labels = ["question_id", "user_id", "question", "route", "source", "plan"]
     by_template = planned.where(F.col("plan") != _VECTOR)
     blocks = _template_blocks(history, by_template.select("user_id", "plan").distinct())
-    from_sql = by_template.join(blocks, ["user_id", "plan"], "left").select(
-        *planned.columns,
+    blocks = repeat_rows(blocks, hot, "user_id")
+    from_sql = by_template.join(blocks, ["user_id", "plan", "_salt"], "left").select(
+        *labels,
         F.coalesce("data_count", F.lit(0).cast("bigint")).alias("data_count"),
         F.coalesce("data_text", F.lit(fixed.NO_DATA_BLOCK)).alias("context"),
         sql_prompt(F.col("question"), F.col("data_text")).alias("prompt"),
@@ -107,24 +114,15 @@ def answer_batch(
     )
 
     by_vector = planned.where(F.col("plan") == _VECTOR)
-    embedded = embed_texts(by_vector.select("question_id", "user_id", "question"), "question", embedder)
+    embedded = embed_texts(
+        by_vector.select("question_id", "user_id", "question"), "question", embedder
+    )
     hits = search(vectors, embedded, k)
     from_vectors = by_vector.join(search_context(hits), "question_id").select(
-        *planned.columns,
+        *labels,
         "data_count",
         "context",
         vector_prompt(F.col("question"), F.col("context")).alias("prompt"),
         F.lit(fixed.VECTOR_SYSTEM_PROMPT).alias("system_prompt"),
     )
-    return from_sql.unionByName(from_vectors).select(
-        "question_id",
-        "user_id",
-        "question",
-        "route",
-        "source",
-        "plan",
-        "data_count",
-        "context",
-        "prompt",
-        "system_prompt",
-    )
+    return from_sql.unionByName(from_vectors)

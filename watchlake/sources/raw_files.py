@@ -164,27 +164,40 @@ def _elements_of_large(files: DataFrame) -> DataFrame:
     )
 
 
-def explode_records(
-    files: DataFrame, variant_bytes: int = VARIANT_TEXT_BYTES
-) -> tuple[DataFrame, DataFrame]:
-    """Split files into (records, rejected files).
+def explode_records(files: DataFrame, variant_bytes: int = VARIANT_TEXT_BYTES) -> DataFrame:
+    """One row per array element: user_id, file_path, src_pos, rec (VARIANT), file_error.
 
-    records: user_id, file_path, src_pos, rec (VARIANT of one array element).
-    rejected: user_id, file_path, reason.
+    An unreadable file gives one row with its `file_error` and neither position nor record,
+    so files are read and parsed once for both.
     """
-    small = parse_file_text(files.where(F.col("file_size") <= variant_bytes))
+    small = parse_file_text(files.where(F.col("file_size") <= variant_bytes)).select(
+        "user_id", "file_path", "doc", "file_error"
+    )
     large = _elements_of_large(files.where(F.col("file_size") > variant_bytes))
 
-    exploded = small.where(F.col("file_error").isNull()).select("user_id", "file_path", "doc")
     spark = files.sparkSession
-    from_small = exploded.lateralJoin(
-        spark.tvf.variant_explode(F.col("doc").outer()).alias("e")
-    ).select(
-        "user_id", "file_path", F.col("e.pos").alias("src_pos"), F.col("e.value").alias("rec")
+    from_small = (
+        small.lateralJoin(
+            spark.tvf.variant_explode_outer(F.col("doc").outer()).alias("e"), how="left"
+        )
+        .select(
+            "user_id",
+            "file_path",
+            F.col("e.pos").alias("src_pos"),
+            F.col("e.value").alias("rec"),
+            "file_error",
+        )
+        # An empty array is no error and has no elements.
+        .where(F.col("src_pos").isNotNull() | F.col("file_error").isNotNull())
     )
     from_large = (
-        large.where(F.col("file_error").isNull())
-        .select("user_id", "file_path", F.posexplode("_texts").alias("src_pos", "_text"))
+        large.select(
+            "user_id",
+            "file_path",
+            "file_error",
+            F.posexplode_outer("_texts").alias("src_pos", "_text"),
+        )
+        .where(F.col("src_pos").isNotNull() | F.col("file_error").isNotNull())
         .select(
             "user_id",
             "file_path",
@@ -193,12 +206,7 @@ def explode_records(
             F.try_parse_json(
                 F.when(F.col("_text").startswith("{"), F.col("_text")).otherwise(F.lit('""'))
             ).alias("rec"),
+            "file_error",
         )
     )
-    rejected = [
-        part.where(F.col("file_error").isNotNull()).select(
-            "user_id", "file_path", F.col("file_error").alias("reason")
-        )
-        for part in (small, large)
-    ]
-    return from_small.unionByName(from_large), rejected[0].unionByName(rejected[1])
+    return from_small.unionByName(from_large)
