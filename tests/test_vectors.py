@@ -115,9 +115,19 @@ def test_search_without_questions_or_vectors(spark):
 
 def test_search_keeps_metadata(spark):
     vectors, questions = fixture_rows()
-    df = spark.createDataFrame(vectors, VECTORS).withColumn("text", F.concat("user_id", "idx"))
-    rows = search(df, spark.createDataFrame(questions, QUESTIONS), 2).collect()
-    assert rows and all(r["text"] == f"{r['user_id']}{r['idx']}" for r in rows)
+    df = spark.createDataFrame(vectors, VECTORS).select(
+        "*",
+        F.concat("user_id", "idx").alias("text"),
+        F.lit("never null").alias("fixed"),
+        F.timestamp_seconds("idx").alias("at"),
+    )
+    asked = spark.createDataFrame(questions, QUESTIONS)
+    few = search(df, asked, 2).collect()
+    assert all(r["text"] == f"{r['user_id']}{r['idx']}" for r in few)
+    assert all(r["at"].second == r["idx"] % 60 and r["fixed"] == "never null" for r in few)
+    many = search_ranked(df, asked, 2, broadcast_limit=0).withColumn("score", F.round("score", 4))
+    order = ["question_id", "rank"]
+    assert few and many.orderBy(*order).collect() == sorted(few, key=lambda r: (r[0], r[2]))
 
 
 def history(spark, sizes):

@@ -130,6 +130,12 @@ def _one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def _nullable(meta: pa.StructArray) -> pa.StructArray:
+    """The same structs with every field nullable, as the declared result has them."""
+    fields = [pa.field(f.name, f.type) for f in meta.type]
+    return pa.StructArray.from_arrays(meta.flatten(), fields=fields)
+
+
 def _vector(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False).astype("f8") if value.is_valid else np.empty(0)
 
@@ -150,10 +156,11 @@ def _search_broadcast(vectors: DataFrame, questions: DataFrame, k: int) -> DataF
             for code, user in enumerate(users.dictionary.to_pylist()):
                 own = batch.take(pa.array(np.flatnonzero(codes == code)))
                 idx = own.column("idx").to_numpy(zero_copy_only=False)
+                meta = _nullable(own.column("meta"))
                 groups = _matrices(own.column("embedding"))
                 for question_id, query in shared.value.get(user, ()):
                     scores = _scores(query, groups, len(idx))
-                    hits.add(question_id, user, scores, idx, own.column("meta"))
+                    hits.add(question_id, user, scores, idx, meta)
         yield from hits.batches()
 
     # A filter on the user prunes the partitions of a stored vector table.
@@ -212,7 +219,7 @@ def _search_cells(
 
     def score(cell_vectors: pa.Table, cell_questions: pa.Table) -> pa.Table:
         idx = cell_vectors.column("idx").to_numpy()
-        meta = _one_array(cell_vectors.column("meta"))
+        meta = _nullable(_one_array(cell_vectors.column("meta")))
         groups = _matrices(cell_vectors.column("embedding"))
         hits = _Hits(k)
         for question_id, user, embedding in zip(
