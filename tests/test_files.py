@@ -282,3 +282,17 @@ def test_result_csv(spark, tmp_path):
     tables.write_result_csv(result, str(tmp_path / "result"))
     row = spark.read.option("header", True).csv(str(tmp_path / "result")).first()
     assert row.asDict() == {"name": "a", "at": "2025-01-02 03:04:05.000", "n": "3"}
+
+
+def test_upload_files(spark, root):
+    files = uploads.read_upload_files(spark, str(root / "raw"))
+    rows = uploads.validate_uploads(files).where("valid").collect()
+    assert sorted(r["name"] for r in rows) == ["a.json", "deep.json", "none.json"]
+
+
+def test_only_files_of_the_asked_size_are_opened(spark, root):
+    write(root, "raw/large/a.json", views(*["x"] * 1000))
+    large = raw_files.scan_raw_files(spark, str(root)).where(F.col("file_size") > 10_000)
+    assert [r["user_id"] for r in large.collect()] == ["large"]
+    scan = large._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().get("numFiles").get().value() == 1

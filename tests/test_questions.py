@@ -209,3 +209,11 @@ def test_hot_user_is_salted(spark):
     )
     assert len(plain) == len(asked) and plain == salted
     history.unpersist()
+
+
+def test_model_input(one_row):
+    found = one_row(["hi"], context.model_input(F.col("value")))[0]
+    assert found["system"] == fixed.CHAT_SYSTEM_PROMPT
+    assert [tuple(m) for m in found["messages"]] == [("user", "hi")]
+    found = one_row(["hi"], context.model_input(F.col("value"), system_prompt=F.lit("s")))[0]
+    assert found["system"] == "s"

@@ -3,18 +3,25 @@ from __future__ import annotations
 import json
 import math
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchlake.operators.documents import read_documents, vector_documents
+from watchlake.operators.documents import (
+    read_document_files,
+    read_documents,
+    vector_documents,
+    write_documents,
+)
 from watchlake.operators.embedding import (
     HashEmbedder,
     ModelEmbedder,
     build_vectors,
     embed_texts,
 )
+from watchlake.plans.answers import search_text
 from watchlake.operators.sampling import sample_order, sample_per_user
 from watchlake.operators.search import search, search_ranked
 from watchlake.sources.tables import VECTOR_SCHEMA, has_vectors, read_vectors, write_vectors
@@ -216,3 +223,43 @@ def test_documents(spark, per_document, parts):
     columns = ["idx", "text", "title", "channel_name", "video_id", "watched_at", "embedding"]
     back = read_documents(documents, per_document).select(*columns).orderBy("idx").collect()
     assert back == vectors.select(*columns).orderBy("idx").collect()
+
+
+def test_document_files(spark, tmp_path):
+    vectors = build_vectors(history(spark, {"u1": 30, "007": 2}), HashEmbedder(4))
+    write_documents(vector_documents(vectors, 4), str(tmp_path / "vectors"))
+    # The layout with one file per user is read as well.
+    single = tmp_path / "vectors" / "u9" / "embeddings.json"
+    single.parent.mkdir()
+    document = {
+        "user_id": "u9",
+        "count": 1,
+        "dimension": 2,
+        "vectors": [[0.5, 1.0]],
+        "texts": ["t - c"],
+        "metadata": [
+            {
+                "title": "t",
+                "channel_name": None,
+                "video_id": "v",
+                "watched_at": "2025-12-27 10:26:59.596000+00:00",
+            }
+        ],
+    }
+    single.write_text(json.dumps(document, ensure_ascii=False))
+    rows = read_documents(read_document_files(spark, str(tmp_path / "vectors")))
+    counts = {r["user_id"]: r["count"] for r in rows.groupBy("user_id").count().collect()}
+    assert counts == {"u1": 30, "007": 2, "u9": 1}
+    row = rows.where("user_id = 'u9'").first()
+    assert row["embedding"] == [0.5, 1.0] and row["channel_name"] is None
+    assert row["watched_at"] == datetime(2025, 12, 27, 10, 26, 59, 596000)
+
+
+def test_search_one_text(spark):
+    vectors = build_vectors(history(spark, {"u1": 30, "u2": 30}), HashEmbedder(64))
+    rows = search_text("title 3", "u1", vectors, HashEmbedder(64), 4).collect()
+    assert [r["rank"] for r in rows] == [1, 2, 3, 4]
+    assert {r["user_id"] for r in rows} == {"u1"}
+    assert {r["title"] for r in rows} == {"title 3"}
+    assert rows[0]["score"] >= rows[1]["score"] >= rows[2]["score"]
+    assert search_text("title 3", "nobody", vectors, HashEmbedder(64)).isEmpty()

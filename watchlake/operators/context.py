@@ -96,8 +96,13 @@ def data_blocks(rows: DataFrame, keys: list[str], line: str = "line") -> DataFra
     )
 
 
-def data_summary(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, summary): number of rows and the first five as `name: value` lists."""
+def data_summary(
+    rows: DataFrame, keys: list[str], columns: list[str], every: DataFrame | None = None
+) -> DataFrame:
+    """(keys, summary): number of rows and the first five as `name: value` lists.
+
+    Keys of `every` without rows get the sentence for no data.
+    """
     pairs = [
         F.concat(F.lit(f"{name}: "), F.coalesce(F.col(name).cast("string"), F.lit("None")))
         for name in columns
@@ -105,7 +110,7 @@ def data_summary(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFr
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.concat_ws(", ", *pairs), F.lit("\n"))
     shown = F.when(F.col("rank") <= fixed.SUMMARY_ROWS, F.struct("rank", line.alias("line")))
     lines = F.transform(F.array_sort(F.collect_list(shown)), lambda item: item["line"])
-    return (
+    summaries = (
         rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), lines.alias("_lines"))
         .select(
@@ -117,6 +122,14 @@ def data_summary(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFr
             ).alias("summary"),
         )
     )
+    if every is None:
+        return summaries
+    return (
+        every.select(*keys)
+        .distinct()
+        .join(summaries, keys, "left")
+        .select(*keys, F.coalesce("summary", F.lit(fixed.NO_SUMMARY_DATA)).alias("summary"))
+    )
 
 
 def sql_prompt(question: Column, data_text: Column) -> Column:
@@ -159,6 +172,19 @@ def message_lists(turns: DataFrame, turns_per_part: int = 1000) -> DataFrame:
     )
 
 
+def model_input(
+    message: Column, history: Column | None = None, system_prompt: Column | None = None
+) -> Column:
+    """What a chat model is given: system prompt and messages, the new message last."""
+    system = F.lit(None).cast("string") if system_prompt is None else system_prompt
+    if history is None:
+        history = F.lit(None).cast("array<struct<role:string,content:string>>")
+    return F.struct(
+        F.coalesce(F.nullif(system, F.lit("")), F.lit(fixed.CHAT_SYSTEM_PROMPT)).alias("system"),
+        append_message(history, message).alias("messages"),
+    )
+
+
 def answer_envelope(answer: Column, data_count: Column, source: Column) -> Column:
     return F.to_json(
         F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
@@ -54,6 +54,23 @@ def vector_documents(
     )
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One JSON document per line, one folder per user; users not in `documents` stay."""
+    (
+        documents.select("user_id", "document")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("user_id")
+        .text(path)
+    )
+
+
+def read_document_files(spark: SparkSession, path: str) -> DataFrame:
+    """(document) of all files below `path`, one JSON document per line."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    return lines.select(F.col("value").alias("document"))
+
+
 def read_documents(
     documents: DataFrame, rows_per_document: int = fixed.MAX_SAMPLE_ROWS
 ) -> DataFrame:

@@ -66,6 +66,33 @@ def _template_blocks(history: DataFrame, needed: DataFrame) -> DataFrame:
     return every.join(needed, ["user_id", "plan"], "left_semi")
 
 
+def search_texts(
+    questions: DataFrame,
+    vectors: DataFrame,
+    embedder: Embedder | None = None,
+    k: int = fixed.SEARCH_DEFAULT_K,
+) -> DataFrame:
+    """Search hits of text questions (question_id, user_id, question)."""
+    embedded = embed_texts(
+        questions.select("question_id", "user_id", "question"), "question", embedder
+    )
+    return search(vectors, embedded, k)
+
+
+def search_text(
+    question: str,
+    user_id: str,
+    vectors: DataFrame,
+    embedder: Embedder | None = None,
+    k: int = fixed.SEARCH_DEFAULT_K,
+) -> DataFrame:
+    """Search hits of one question of one user, best first."""
+    asked = vectors.sparkSession.createDataFrame(
+        [(0, user_id, question)], "question_id long, user_id string, question string"
+    )
+    return search_texts(asked, vectors, embedder, k).drop("question_id").orderBy("rank")
+
+
 def answer_batch(
     questions: DataFrame,
     history: DataFrame,
@@ -114,10 +141,7 @@ def answer_batch(
     )
 
     by_vector = planned.where(F.col("plan") == _VECTOR)
-    embedded = embed_texts(
-        by_vector.select("question_id", "user_id", "question"), "question", embedder
-    )
-    hits = search(vectors, embedded, k)
+    hits = search_texts(by_vector, vectors, embedder, k)
     from_vectors = by_vector.join(search_context(hits), "question_id").select(
         *labels,
         "data_count",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchlake.functions.binding import let
 from watchlake.session import is_small
 
 # VARIANT values are limited in size; longer files are split into elements first.
@@ -48,9 +49,12 @@ def user_of_processed_key(key: Column) -> Column:
 def key_below(path: Column, root: str) -> Column:
     """Object key of a file path: what follows the storage root (an absolute path), decoded."""
     bare = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    at = F.locate(bare, decoded)
-    return F.when(at > 0, F.substring(decoded, at + len(bare), F.length(decoded)))
+
+    def below(decoded: Column) -> Column:
+        at = F.locate(bare, decoded)
+        return F.when(at > 0, F.substring(decoded, at + len(bare), F.length(decoded)))
+
+    return let(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), below)
 
 
 def with_user(files: DataFrame, root: str) -> DataFrame:
@@ -62,7 +66,7 @@ def with_user(files: DataFrame, root: str) -> DataFrame:
             F.col("_metadata.file_modification_time").alias("modified"),
             F.col("_metadata.file_size").alias("file_size"),
         )
-        .withColumn("user_id", user_of_raw_key(key_below(F.col("file_path"), root)))
+        .withColumn("user_id", let(key_below(F.col("file_path"), root), user_of_raw_key))
         .where(F.col("user_id").isNotNull())
     )
 

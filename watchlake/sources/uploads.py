@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.sources.raw_files import parse_file_text
@@ -12,6 +12,12 @@ EMPTY_ARRAY = "empty_array"
 MISSING_KEYS = "missing_keys"
 
 
+def read_upload_files(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value) of all files below `path`, to be validated."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    return files.select(F.col("_metadata.file_name").alias("name"), "value")
+
+
 def validate_uploads(files: DataFrame, name: str = "name") -> DataFrame:
     """Add `valid` and `reason` to (name, value) files.
 

@@ -300,11 +300,12 @@ planned AS (
         AS data_text
     FROM recent GROUP BY user_id""",
     "data_summary": _with(_RAW, _CHANNELS_ALL)
-    + """SELECT user_id, 'データ件数: ' || count(*) || '件' || chr(10) || chr(10)
+    + """SELECT c_custkey::VARCHAR AS user_id, CASE WHEN count(rank) = 0 THEN 'データなし' ELSE
+      'データ件数: ' || count(*) || '件' || chr(10) || chr(10)
       || 'サンプル（最初の' || least(5, count(*)) || '件）:' || chr(10)
       || string_agg(rank || '. channel_name: ' || channel_name || ', watch_count: '
-        || watch_count || chr(10), '' ORDER BY rank) FILTER (rank <= 5) AS summary
-    FROM channels GROUP BY user_id""",
+        || watch_count || chr(10), '' ORDER BY rank) FILTER (rank <= 5) END AS summary
+    FROM customer LEFT JOIN channels ON user_id = c_custkey::VARCHAR GROUP BY 1""",
     "message_array": """
       SELECT conv_id, turn // 1000 AS part, count(*) + 1 AS message_count,
         string_agg(role, ',' ORDER BY turn) || ',user' AS roles,

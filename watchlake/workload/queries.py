@@ -192,7 +192,7 @@ def embedding_texts(spark: SparkSession, folder: str) -> DataFrame:
 def truncate_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as the embedder gets them, and which of them are blank."""
     text = truncate_text(F.col("text"))
-    return mapping.table(spark, folder, "documents").select(
+    return spread(mapping.table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id",
         F.md5(text).alias("cut_md5"),
         F.length(text).cast("bigint").alias("cut_chars"),
@@ -411,9 +411,12 @@ def prompt_data_block(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def data_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Summary of every user's top channels."""
+    """Summary of the top channels of every customer, most of whom have no data."""
     rows = templates.most_watched_channels(mapping.history(spark, folder))
-    return context.data_summary(rows, ["user_id"], ["channel_name", "watch_count"])
+    customers = mapping.table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("user_id")
+    )
+    return context.data_summary(rows, ["user_id"], ["channel_name", "watch_count"], customers)
 
 
 @_query
