@@ -31,9 +31,6 @@ BROADCAST_QUESTIONS = 2_000
 # Bounds of one cell: 4,096 x 1,024 floats are 16 MB, 512 questions 2 MB.
 VECTORS_PER_BLOCK = 4_096
 QUESTIONS_PER_BLOCK = 512
-# Rows scored at once, small enough to stay in the processor cache.
-_SLICE = 256
-
 _KEYS = ("user_id", "idx", "embedding")
 
 
@@ -50,48 +47,76 @@ def _meta(vectors: DataFrame):
     return F.struct(*others or [F.lit(None).cast("string").alias("_none")]).alias("meta")
 
 
-def _matrices(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Vectors of a list column grouped by length: [(row numbers, matrix of doubles)]."""
-    column = _one_array(column)
-    lengths = np.nan_to_num(
-        np.asarray(pc.list_value_length(column).to_numpy(zero_copy_only=False), "f8")
-    ).astype("i8")
-    groups = []
-    for length in np.unique(lengths):
-        rows = np.flatnonzero(lengths == length)
-        values = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-        groups.append((rows, values.astype("f8").reshape(len(rows), int(length))))
-    return groups
-
+class _Block:
+    """Vectors of one user, ready to be scored against many queries.
 
-def _scores(query: np.ndarray, groups: list, count: int) -> np.ndarray:
-    """Cosine of one query with `count` vectors; 0.0 for other lengths and zero vectors.
-
-    Each score is a sum along its own row, so equal vectors get equal scores wherever they
-    stand and ties can be broken by position.
+    A matrix product finds the rows that can be among the best; only these get their exact
+    score. That score is a sum along the own row, so equal vectors get equal scores wherever
+    they stand, and ties can be broken by position. Matrix products do not promise that.
     """
-    scores = np.zeros(count)
-    norm = np.sqrt((query * query).sum())
-    for rows, matrix in groups:
-        if matrix.shape[1] != len(query) or norm == 0.0:
-            continue
-        for start in range(0, len(rows), _SLICE):
-            part = matrix[start : start + _SLICE]
-            scale = norm * np.sqrt((part * part).sum(axis=1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                found = np.where(scale == 0.0, 0.0, (part * query).sum(axis=1) / scale)
-            scores[rows[start : start + _SLICE]] = found
-    return scores
-
-
-def _best(scores: np.ndarray, idx: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k best: higher score first, lower idx first among equals."""
-    if len(scores) > k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        rows = np.flatnonzero(scores >= bar)
-    else:
-        rows = np.arange(len(scores))
-    return rows[np.lexsort((idx[rows], -scores[rows]))][:k]
+
+    # Far above the rounding error of a product of unit vectors.
+    MARGIN = 1e-9
+    # Queries multiplied at once; bounds the size of the product.
+    QUERIES = 64
+
+    def __init__(self, idx: np.ndarray, embeddings: pa.ListArray):
+        self.idx = idx
+        lengths = pc.fill_null(pc.list_value_length(embeddings), 0).to_numpy(zero_copy_only=False)
+        self.by_length = {}
+        for length in np.unique(lengths):
+            rows = np.flatnonzero(lengths == length)
+            values = embeddings.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+            matrix = values.astype("f8").reshape(len(rows), int(length))
+            self.by_length[int(length)] = (rows, matrix, np.sqrt((matrix * matrix).sum(axis=1)))
+
+    def best(self, queries: list[np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row numbers, scores) of the k best rows of each query, best first."""
+        for start in range(0, len(queries), self.QUERIES):
+            some = queries[start : start + self.QUERIES]
+            for query, likely in zip(some, self._likely(some, k)):
+                scores = self._exact(query, likely)
+                order = np.lexsort((self.idx[likely], -scores))[:k]
+                yield likely[order], scores[order]
+
+    def _likely(self, queries: list[np.ndarray], k: int) -> Iterator[np.ndarray]:
+        """Row numbers that include the k best of each query."""
+        count = len(self.idx)
+        if count <= k:
+            yield from (np.arange(count) for _ in queries)
+            return
+        near = np.zeros((len(queries), count))
+        for length, (rows, matrix, norms) in self.by_length.items():
+            same = [i for i, query in enumerate(queries) if len(query) == length]
+            if same and length:
+                asked = np.stack([queries[i] for i in same])
+                units = _divide(asked, np.sqrt((asked * asked).sum(axis=1))[:, None])
+                near[np.ix_(same, rows)] = _divide(units @ matrix.T, norms)
+        for row in near:
+            bar = np.partition(row, count - k)[count - k]
+            yield np.flatnonzero(row >= bar - self.MARGIN)
+
+    def _exact(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Cosine; 0.0 for vectors of another length and for zero vectors."""
+        scores = np.zeros(len(rows))
+        if len(query) not in self.by_length:
+            return scores
+        own, matrix, norms = self.by_length[len(query)]
+        if len(own) == len(self.idx):
+            at, known = rows, slice(None)
+        else:
+            at = np.searchsorted(own, rows)
+            known = np.flatnonzero((at < len(own)) & (own[np.minimum(at, len(own) - 1)] == rows))
+            at = at[known]
+        dots = (matrix[at] * query).sum(axis=1)
+        scores[known] = _divide(dots, norms[at] * np.sqrt((query * query).sum()))
+        return scores
+
+
+def _divide(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Quotient, 0.0 where the divisor is zero."""
+    shape = np.broadcast_shapes(left.shape, right.shape)
+    return np.divide(left, right, out=np.zeros(shape), where=right != 0.0)
 
 
 class _Hits:
@@ -101,16 +126,21 @@ class _Hits:
         self.k = k
         self.best: dict[int, tuple[str, np.ndarray, np.ndarray, pa.Array]] = {}
 
-    def add(self, question_id: int, user: str, scores, idx: np.ndarray, meta: pa.Array) -> None:
-        top = _best(scores, idx, self.k)
-        scores, idx, meta = scores[top], idx[top], meta.take(pa.array(top))
-        if question_id in self.best:
-            _, old_idx, old_scores, old_meta = self.best[question_id]
-            scores, idx = np.concatenate([old_scores, scores]), np.concatenate([old_idx, idx])
-            top = _best(scores, idx, self.k)
-            meta = pa.concat_arrays([old_meta, meta]).take(pa.array(top))
-            scores, idx = scores[top], idx[top]
-        self.best[question_id] = (user, idx, scores, meta)
+    def add(
+        self, block: _Block, meta: pa.Array, user: str, questions: list[tuple[int, np.ndarray]]
+    ) -> None:
+        queries = [query for _, query in questions]
+        for (question_id, _), (top, scores) in zip(questions, block.best(queries, self.k)):
+            found = (user, block.idx[top], scores, meta.take(pa.array(top)))
+            if question_id in self.best:
+                found = self._merge(self.best[question_id], found)
+            self.best[question_id] = found
+
+    def _merge(self, old: tuple, new: tuple) -> tuple:
+        idx, scores = np.concatenate([old[1], new[1]]), np.concatenate([old[2], new[2]])
+        top = np.lexsort((idx, -scores))[: self.k]
+        meta = pa.concat_arrays([old[3], new[3]]).take(pa.array(top))
+        return old[0], idx[top], scores[top], meta
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         for question_id, (user, idx, scores, meta) in self.best.items():
@@ -156,11 +186,8 @@ def _search_broadcast(vectors: DataFrame, questions: DataFrame, k: int) -> DataF
             for code, user in enumerate(users.dictionary.to_pylist()):
                 own = batch.take(pa.array(np.flatnonzero(codes == code)))
                 idx = own.column("idx").to_numpy(zero_copy_only=False)
-                meta = _nullable(own.column("meta"))
-                groups = _matrices(own.column("embedding"))
-                for question_id, query in shared.value.get(user, ()):
-                    scores = _scores(query, groups, len(idx))
-                    hits.add(question_id, user, scores, idx, meta)
+                block = _Block(idx, own.column("embedding"))
+                hits.add(block, _nullable(own.column("meta")), user, shared.value.get(user, []))
         yield from hits.batches()
 
     # A filter on the user prunes the partitions of a stored vector table.
@@ -218,15 +245,18 @@ def _search_cells(
     )
 
     def score(cell_vectors: pa.Table, cell_questions: pa.Table) -> pa.Table:
-        idx = cell_vectors.column("idx").to_numpy()
         meta = _nullable(_one_array(cell_vectors.column("meta")))
-        groups = _matrices(cell_vectors.column("embedding"))
+        idx = cell_vectors.column("idx").to_numpy()
+        block = _Block(idx, _one_array(cell_vectors.column("embedding")))
+        asked = [
+            (question_id.as_py(), _vector(embedding))
+            for question_id, embedding in zip(
+                cell_questions.column("question_id"), cell_questions.column("embedding")
+            )
+        ]
         hits = _Hits(k)
-        for question_id, user, embedding in zip(
-            *[cell_questions.column(c) for c in ("question_id", "user_id", "embedding")]
-        ):
-            scores = _scores(_vector(embedding), groups, len(idx))
-            hits.add(question_id.as_py(), user.as_py(), scores, idx, meta)
+        if asked:
+            hits.add(block, meta, cell_questions.column("user_id")[0].as_py(), asked)
         empty = pa.schema(
             [
                 ("question_id", pa.int64()),
