@@ -27,7 +27,7 @@ from watchlake.plans.templates import (
     recent_history,
     total_videos,
 )
-from watchlake.session import is_small, prepare_session
+from watchlake.session import cut_lineage, is_small, prepare_session
 from watchlake.sources.tables import as_result_strings
 
 # Longest list of asking users that is broadcast to thin out the history before it is read.
@@ -127,6 +127,8 @@ def answer_batch(
         )
         .drop("_stored")
     )
+    # Size checks, blocks, search and prompts all start from here.
+    planned = cut_lineage(planned)
 
     labels = ["question_id", "user_id", "question", "route", "source", "plan"]
     by_template = planned.where(F.col("plan") != _VECTOR)
