@@ -296,3 +296,14 @@ def test_only_files_of_the_asked_size_are_opened(spark, root):
     assert [r["user_id"] for r in large.collect()] == ["large"]
     scan = large._jdf.queryExecution().executedPlan().collectLeaves().head()
     assert scan.metrics().get("numFiles").get().value() == 1
+
+
+def test_clustered_copy(spark, root, tmp_path):
+    result = ingest(spark, str(root), str(tmp_path / "out"))
+    tables.write_clustered(result.history, str(tmp_path / "copy"), "src_pos")
+    copy = spark.read.schema(tables.HISTORY_SCHEMA).parquet(str(tmp_path / "copy"))
+    assert sorted(copy.collect()) == sorted(result.history.select(*copy.columns).collect())
+    one = copy.where(F.col("user_id") == "u1").select("title")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,u1)]" in plan
+    assert one.count() == 3

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check_oracles
-from conftest import SF_CHECK
+from conftest import SF_CHECK, SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +24,10 @@ def test_only_registered_queries_have_sql():
 def test_query_equals_sql(spark, connection, name):
     result, _, _ = check_oracles.compare(spark, connection, SF_CHECK, name)
     assert result == "ok"
+
+
+def test_answers_of_users_without_history(spark):
+    """On the smallest tables some asking users have no rows at all."""
+    connection = check_oracles.oracle_connection(SF_SMALL)
+    result, _, _ = check_oracles.compare(spark, connection, SF_SMALL, "answer_batch")
+    assert result == "ok"

@@ -263,3 +263,16 @@ def test_search_one_text(spark):
     assert {r["title"] for r in rows} == {"title 3"}
     assert rows[0]["score"] >= rows[1]["score"] >= rows[2]["score"]
     assert search_text("title 3", "nobody", vectors, HashEmbedder(64)).isEmpty()
+
+
+def test_unreadable_vectors_count_as_none(spark, tmp_path):
+    path = tmp_path / "vectors"
+    write_vectors(build_vectors(history(spark, {"u1": 3, "u2": 3}), HashEmbedder(8)), str(path))
+    for file in (path / "user_id=u2").glob("*.parquet"):
+        file.write_bytes(b"broken")
+    for checksum in (path / "user_id=u2").glob(".*.crc"):
+        checksum.unlink()
+    stored = read_vectors(spark, str(path))
+    assert [r["user_id"] for r in stored.select("user_id").distinct().collect()] == ["u1"]
+    assert search_text("title 1", "u2", stored, HashEmbedder(8)).isEmpty()
+    assert search_text("title 1", "u1", stored, HashEmbedder(8)).count() == 3

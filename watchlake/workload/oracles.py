@@ -264,19 +264,20 @@ sizes AS (
   FROM hist GROUP BY user_id
 ),
 planned AS (
-  SELECT q.*, views, channels, days, coalesce(route, CASE WHEN views IS NOT NULL
+  SELECT q.*, coalesce(views, 0) AS views, coalesce(channels, 0) AS channels,
+    coalesce(days, 0) AS days, coalesce(route, CASE WHEN views IS NOT NULL
       AND c.c_custkey IS NULL THEN 'vector' ELSE 'recent_history' END) AS plan
   FROM questions q LEFT JOIN sizes USING (user_id)
   LEFT JOIN customer c ON c.c_custkey::VARCHAR = q.user_id AND c.c_mktsegment = 'MACHINERY'
 )""",
     )
     + f"""SELECT question_id, user_id, route, {_source('route')} AS source, plan,
-      coalesce(CASE plan
+      (CASE plan
         WHEN 'vector' THEN least(20, views)
         WHEN 'most_watched_channels' THEN least(10, channels)
         WHEN 'total_videos' THEN 1
         WHEN 'daily_watch_count' THEN least(30, days)
-        ELSE least(100, views) END, 0)::BIGINT AS data_count
+        ELSE least(100, views) END)::BIGINT AS data_count
     FROM planned""",
     "search_context": _with(_PAIRS)
     + """SELECT question_id, count(*) AS data_count,
