@@ -156,7 +156,8 @@ def test_answer_batch(spark):
         (9, "7", "  "),
     ]
     questions = spark.createDataFrame(asked, "question_id long, user_id string, question string")
-    rows = {r["question_id"]: r for r in answer_batch(questions, history, vectors, embedder).collect()}
+    answers = answer_batch(questions, history, vectors, embedder).collect()
+    rows = {r["question_id"]: r for r in answers}
     assert sorted(rows) == [1, 2, 3, 4, 5, 6, 7, 8]
     labels = {i: (r["route"], r["source"], r["plan"]) for i, r in rows.items()}
     assert labels[1] == ("most_watched_channels", "sql", "most_watched_channels")

@@ -109,6 +109,19 @@ def test_zero_query_takes_the_first_positions(spark):
     ]
 
 
+@pytest.mark.parametrize("limit", [100, 0])
+def test_vectors_with_nan_do_not_hide_others(spark, limit):
+    nan = float("nan")
+    vectors = [("u", i, [nan, 1.0] if i % 2 else [1.0, float(i)]) for i in range(20)]
+    hits = search_ranked(
+        spark.createDataFrame(vectors, VECTORS),
+        spark.createDataFrame([(1, "u", [1.0, 0.0])], QUESTIONS),
+        3,
+        broadcast_limit=limit,
+    )
+    assert [r["idx"] for r in hits.orderBy("rank").collect()] == [0, 2, 4]
+
+
 def test_search_without_questions_or_vectors(spark):
     vectors, questions = fixture_rows()
     some = spark.createDataFrame(vectors, VECTORS)
@@ -172,7 +185,8 @@ def test_failed_texts_get_zero_vectors(spark):
 
         return model
 
-    df = spark.createDataFrame([(0, "ab"), (1, "bad"), (2, " "), (3, None), (4, "abc")], "i int, t string")
+    texts = [(0, "ab"), (1, "bad"), (2, " "), (3, None), (4, "abc")]
+    df = spark.createDataFrame(texts, "i int, t string")
     embedded = embed_texts(df.repartition(1), "t", ModelEmbedder(load, dim=2)).orderBy("i")
     rows = embedded.collect()
     assert [r["embedding"] for r in rows] == [[2, 1], [0, 0], [0, 0], [0, 0], [3, 1]]

@@ -107,7 +107,8 @@ def data_summary(
         F.concat(F.lit(f"{name}: "), F.coalesce(F.col(name).cast("string"), F.lit("None")))
         for name in columns
     ]
-    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.concat_ws(", ", *pairs), F.lit("\n"))
+    number = F.col("rank").cast("string")
+    line = F.concat(number, F.lit(". "), F.concat_ws(", ", *pairs), F.lit("\n"))
     shown = F.when(F.col("rank") <= fixed.SUMMARY_ROWS, F.struct("rank", line.alias("line")))
     lines = F.transform(F.array_sort(F.collect_list(shown)), lambda item: item["line"])
     summaries = (

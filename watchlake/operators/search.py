@@ -31,6 +31,8 @@ BROADCAST_QUESTIONS = 2_000
 # Bounds of one cell: 4,096 x 1,024 floats are 16 MB, 512 questions 2 MB.
 VECTORS_PER_BLOCK = 4_096
 QUESTIONS_PER_BLOCK = 512
+# Longest list of vector blocks that is broadcast; some 50 bytes each.
+BROADCAST_BLOCKS = 200_000
 _KEYS = ("user_id", "idx", "embedding")
 
 
@@ -114,9 +116,10 @@ class _Block:
 
 
 def _divide(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Quotient, 0.0 where the divisor is zero."""
+    """Quotient, 0.0 where the divisor is zero or a value is not a number."""
     shape = np.broadcast_shapes(left.shape, right.shape)
-    return np.divide(left, right, out=np.zeros(shape), where=right != 0.0)
+    quotient = np.divide(left, right, out=np.zeros(shape), where=right != 0.0)
+    return np.nan_to_num(quotient, copy=False, nan=0.0)
 
 
 class _Hits:
@@ -167,7 +170,9 @@ def _nullable(meta: pa.StructArray) -> pa.StructArray:
 
 
 def _vector(value: pa.Scalar) -> np.ndarray:
-    return value.values.to_numpy(zero_copy_only=False).astype("f8") if value.is_valid else np.empty(0)
+    if not value.is_valid:
+        return np.empty(0)
+    return value.values.to_numpy(zero_copy_only=False).astype("f8")
 
 
 def _search_broadcast(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -225,9 +230,12 @@ def _search_cells(
     )
     sizes = last.join(asked, "user_id")
     zero = F.lit(0).cast("long")
-    # One light row per vector block; joined on the block, so a user with many vectors is
-    # spread over tasks, and users who asked nothing drop out here.
+    # One light row per vector block of the users who asked; all other vectors drop out here.
+    # A short list is broadcast. A long one is joined on user and block, so that a user with
+    # many vectors is spread over tasks.
     blocks = sizes.withColumn("block", F.explode(F.sequence(zero, F.col("last_block"))))
+    if is_small(blocks, BROADCAST_BLOCKS):
+        blocks = F.broadcast(blocks)
     left = vectors.join(blocks, ["user_id", "block"]).withColumn(
         "part", F.explode(F.sequence(zero, F.col("parts") - 1))
     )
@@ -285,7 +293,7 @@ def search_ranked(
     vectors_per_block: int = VECTORS_PER_BLOCK,
     questions_per_block: int = QUESTIONS_PER_BLOCK,
 ) -> DataFrame:
-    """(question_id, user_id, rank, idx, score, ...): the k best vectors of each question's user.
+    """The k best vectors of each question's user: question_id, user_id, rank, idx, score, ...
 
     vectors: user_id, idx (unique per user, from 0, best without large gaps), embedding, and
     any further columns, which the result carries along; so hits need no join.

@@ -27,7 +27,9 @@ def raw_fields(spark: SparkSession, folder: str) -> DataFrame:
     channel = F.concat(F.lit("Channel "), (n % 17).cast("string"))
     kind = F.col("event_type")
     title = (
-        F.when(kind.isin("view", "click"), F.concat(F.lit("動画 "), number, F.lit(" を視聴しました")))
+        F.when(
+            kind.isin("view", "click"), F.concat(F.lit("動画 "), number, F.lit(" を視聴しました"))
+        )
         .when(kind == "purchase", F.concat(F.lit("clip "), number, F.lit("　を視聴しました")))
         .when(kind == "signup", F.concat(F.lit("Post "), number))
         .otherwise("YouTube のトップページで広告を視聴しました")
