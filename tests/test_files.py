@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from watchlake.plans.ingest import IngestError, ingest
 from watchlake.sources import raw_files, retention, tables, uploads
+from watchlake.sources.large_files import explode_large
 from watchlake.sources.arrivals import normalise_arrivals
 
 TIME = "2025-12-27T10:26:59.596Z"
@@ -48,6 +49,13 @@ def root(tmp_path):
     return tmp_path
 
 
+def read_large(spark, root, **settings):
+    """All files of a folder by the way for large files."""
+    listing = raw_files.list_raw_files(spark, str(root))
+    pieces = raw_files.scan_pieces(spark, str(root))
+    return explode_large(pieces, raw_files.newest_per_user(listing), **settings)
+
+
 EXPECTED_HISTORY = [
     ("mixed", 2, "e"),
     ("u 2+%41", 0, "d"),
@@ -141,11 +149,11 @@ def test_file_beyond_the_size_of_one_variant(spark, tmp_path):
     assert result.quarantine.isEmpty()
 
 
-def test_too_large_has_its_own_reason(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(raw_files, "MAX_FILE_BYTES", 10)
-    write(tmp_path, "raw/u/a.json", views("a"))
-    result = ingest(spark, str(tmp_path), str(tmp_path / "out"), variant_bytes=5)
-    assert quarantine_rows(result) == [("u", None, "too_large")]
+def test_element_beyond_the_size_of_one_variant(spark, root):
+    write(root, "raw/u/a.json", views("a", "b", header="x" * 5000))
+    records = read_large(spark, root, element_bytes=3000)
+    errors = {r["user_id"]: r["file_error"] for r in records.where("rec IS NULL").collect()}
+    assert errors["u"] == "too_large"
 
 
 @pytest.mark.parametrize(

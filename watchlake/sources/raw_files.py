@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.functions.binding import let
 from watchlake.session import is_small
 
-# VARIANT values are limited in size; longer files are split into elements first.
+# VARIANT values are limited in size; larger files are read in pieces (large_files.py).
 VARIANT_TEXT_BYTES = 64 * 1024 * 1024
-# A file is read as one value, which the JVM limits to two gigabytes.
-MAX_FILE_BYTES = 1024 * 1024 * 1024
-
 # Longest list of paths that is broadcast; at some hundred bytes each it stays below 100 MB.
 BROADCAST_PATHS = 200_000
 
 BAD_UTF8 = "bad_utf8"
 BAD_JSON = "bad_json"
 NOT_AN_ARRAY = "not_an_array"
+# One element of a file is larger than a VARIANT can be.
 TOO_LARGE = "too_large"
 NOT_AN_OBJECT = "not_an_object"
 
 # Appended behind the file text: it is the second value only if the file is one whole value.
-_END = "\u241c end of file"
+END_MARK = "\u241c end of file"
 
 
 def user_of_raw_key(key: Column) -> Column:
@@ -71,43 +71,53 @@ def with_user(files: DataFrame, root: str) -> DataFrame:
     )
 
 
-def scan_raw_files(spark: SparkSession, root: str) -> DataFrame:
-    """All export files below `{root}/raw/{user_id}/`, one row per file with its whole text."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(f"{root.rstrip('/')}/raw")
-    )
-    return with_user(files, root)
+def _load(reader, root: str, paths: list[str] | None) -> DataFrame:
+    """All files below `{root}/raw`, or only those in `paths`."""
+    reader = reader.option("recursiveFileLookup", True)
+    if paths is None:
+        return reader.load(f"{root.rstrip('/')}/raw")
+    # Names are not patterns.
+    return reader.load([re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in paths])
 
 
-def list_raw_files(spark: SparkSession, root: str) -> DataFrame:
-    """The same files without their texts: only names and times are read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(f"{root.rstrip('/')}/raw")
-        .select("path")
-    )
-    return with_user(files, root).drop("path")
+def scan_raw_files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """Export files `{root}/raw/{user_id}/...json`, one row per file with its whole text."""
+    reader = spark.read.format("text").option("wholetext", True)
+    return with_user(_load(reader, root, paths), root)
 
 
-def latest_per_user(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """Keep only the newest file of every user; ties go to the greater path.
+def scan_pieces(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """The same files cut behind every closing brace, so that one file has many splits.
 
-    The newest paths come from `listing` (user_id, modified, file_path), which by default is
-    `files` itself. A short list of paths is broadcast, so file texts are not shuffled; a
-    long one is joined on the path, which is unique per file.
+    `split` is the start of the piece's split in the file.
     """
-    newest = (
-        (listing or files)
-        .groupBy("user_id")
-        .agg(F.max(F.struct("modified", "file_path"))["file_path"].alias("file_path"))
-        .select("file_path")
+    reader = spark.read.format("text").option("lineSep", "}")
+    files = _load(reader, root, paths)
+    return with_user(files.withColumn("split", F.col("_metadata.file_block_start")), root)
+
+
+def list_raw_files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """The same files without their texts: only names, times and sizes are read."""
+    reader = spark.read.format("binaryFile")
+    return with_user(_load(reader, root, paths).select("path"), root)
+
+
+def newest_per_user(listing: DataFrame) -> DataFrame:
+    """(file_path, file_size) of the newest file of every user; ties go to the greater path."""
+    newest = F.max(F.struct("modified", "file_path", "file_size"))
+    return (
+        listing.groupBy("user_id")
+        .agg(newest.alias("newest"))
+        .select("newest.file_path", "newest.file_size")
     )
-    if is_small(newest, BROADCAST_PATHS):
-        newest = F.broadcast(newest)
-    return files.join(newest, "file_path", "left_semi")
+
+
+def only_files(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the wanted files. A short list is broadcast, so texts are not shuffled."""
+    wanted = wanted.select("file_path")
+    if is_small(wanted, BROADCAST_PATHS):
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, "file_path", "left_semi")
 
 
 def parse_file_text(files: DataFrame) -> DataFrame:
@@ -116,7 +126,7 @@ def parse_file_text(files: DataFrame) -> DataFrame:
     The parser stops after the first value. With a marker appended behind the text, an
     unclosed file or one with trailing text does not give exactly [array, marker].
     """
-    whole = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(f',"{_END}"]')))
+    whole = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(f',"{END_MARK}"]')))
     return (
         files.withColumn("_whole", whole)
         .withColumn("_first", F.try_variant_get("_whole", "$[0]", "variant"))
@@ -124,7 +134,7 @@ def parse_file_text(files: DataFrame) -> DataFrame:
             "file_error",
             F.when(~F.is_valid_utf8("value"), BAD_UTF8)
             .when(
-                F.try_variant_get("_whole", "$[1]", "string").eqNullSafe(_END)
+                F.try_variant_get("_whole", "$[1]", "string").eqNullSafe(END_MARK)
                 & F.try_variant_get("_whole", "$[2]", "variant").isNull(),
                 F.when(~F.schema_of_variant("_first").startswith("ARRAY"), NOT_AN_ARRAY),
             )
@@ -135,55 +145,16 @@ def parse_file_text(files: DataFrame) -> DataFrame:
     )
 
 
-def _elements_of_large(files: DataFrame) -> DataFrame:
-    """Elements of files beyond the VARIANT limit, split as JSON text, then parsed one by one."""
-    text = F.expr("btrim(value, ' \\n\\r\\t')")
-    inner = F.expr("btrim(substring(_text, 2, length(_text) - 2), ' \\n\\r\\t')")
-    # The closing bracket gives way to the marker, so trailing text shows as a lost marker.
-    marked = F.concat(
-        F.lit("["), inner, F.when(inner == "", "").otherwise(","), F.lit(f'"{_END}"]')
-    )
-    return (
-        files.withColumn("_text", text)
-        .withColumn("_texts", F.from_json(marked, "array<string>"))
-        .withColumn(
-            "file_error",
-            F.when(F.col("file_size") > MAX_FILE_BYTES, TOO_LARGE)
-            .when(~F.is_valid_utf8("value"), BAD_UTF8)
-            .when((F.col("_text") != "") & ~F.col("_text").startswith("["), NOT_AN_ARRAY)
-            .when(
-                ~F.col("_text").endswith("]")
-                | ~F.try_element_at("_texts", F.lit(-1)).eqNullSafe(_END),
-                BAD_JSON,
-            ),
-        )
-        .withColumn(
-            "_texts",
-            F.when(
-                F.col("file_error").isNull(),
-                F.slice("_texts", F.lit(1), F.size("_texts") - 1),
-            ),
-        )
-        .drop("value", "_text")
-    )
-
-
-def explode_records(files: DataFrame, variant_bytes: int = VARIANT_TEXT_BYTES) -> DataFrame:
+def explode_small(files: DataFrame) -> DataFrame:
     """One row per array element: user_id, file_path, src_pos, rec (VARIANT), file_error.
 
     An unreadable file gives one row with its `file_error` and neither position nor record,
     so files are read and parsed once for both.
     """
-    small = parse_file_text(files.where(F.col("file_size") <= variant_bytes)).select(
-        "user_id", "file_path", "doc", "file_error"
-    )
-    large = _elements_of_large(files.where(F.col("file_size") > variant_bytes))
-
-    spark = files.sparkSession
-    from_small = (
-        small.lateralJoin(
-            spark.tvf.variant_explode_outer(F.col("doc").outer()).alias("e"), how="left"
-        )
+    parsed = parse_file_text(files).select("user_id", "file_path", "doc", "file_error")
+    elements = files.sparkSession.tvf.variant_explode_outer(F.col("doc").outer())
+    return (
+        parsed.lateralJoin(elements.alias("e"), how="left")
         .select(
             "user_id",
             "file_path",
@@ -194,23 +165,3 @@ def explode_records(files: DataFrame, variant_bytes: int = VARIANT_TEXT_BYTES) -
         # An empty array is no error and has no elements.
         .where(F.col("src_pos").isNotNull() | F.col("file_error").isNotNull())
     )
-    from_large = (
-        large.select(
-            "user_id",
-            "file_path",
-            "file_error",
-            F.posexplode_outer("_texts").alias("src_pos", "_text"),
-        )
-        .where(F.col("src_pos").isNotNull() | F.col("file_error").isNotNull())
-        .select(
-            "user_id",
-            "file_path",
-            "src_pos",
-            # Only objects keep their braces here; any other element becomes a JSON string.
-            F.try_parse_json(
-                F.when(F.col("_text").startswith("{"), F.col("_text")).otherwise(F.lit('""'))
-            ).alias("rec"),
-            "file_error",
-        )
-    )
-    return from_small.unionByName(from_large)
