@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -315,3 +316,75 @@ def test_clustered_copy(spark, root, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,u1)]" in plan
     assert one.count() == 3
+
+
+def random_value(rnd, depth=0):
+    kind = rnd.randrange(8 if depth < 3 else 5)
+    if kind == 0:
+        return rnd.choice([None, True, False, 0, -1.5, 12345])
+    if kind < 5:
+        signs = ["{", "}", "[", "]", '"', "\\", ",", ":", "動", "\n", " ", "a", "\\\\", '\\"', "/"]
+        return "".join(rnd.choices(signs, k=rnd.randrange(12)))
+    if kind == 5:
+        return [random_value(rnd, depth + 1) for _ in range(rnd.randrange(4))]
+    return {f"k{i}": random_value(rnd, depth + 1) for i in range(rnd.randrange(4))}
+
+
+@pytest.fixture
+def small_splits(spark):
+    settings = {
+        "spark.sql.files.maxPartitionBytes": "97",
+        "spark.sql.files.openCostInBytes": "0",
+        "spark.sql.files.minPartitionNum": "1",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def test_pieces_of_random_files(spark, tmp_path, small_splits):
+    """Splits of 97 bytes: braces in strings, escapes, nesting and odd elements."""
+    rnd = random.Random(11)
+    expected = {}
+    for number in range(30):
+        values = [random_value(rnd) for _ in range(rnd.randrange(12))]
+        text = json.dumps(values, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1]))
+        write(tmp_path, f"raw/u{number}/a.json", rnd.choice(["", " \n"]) + text + "\n")
+        expected[f"u{number}"] = values
+    for number in range(30, 60):
+        values = [random_value(rnd) for _ in range(rnd.randrange(1, 12))]
+        text = json.dumps(values, ensure_ascii=False)
+        at = rnd.randrange(len(text))
+        text = rnd.choice([text[:at], text[:at] + text[at + 1 :], text + rnd.choice("]},1")])
+        try:
+            values = json.loads(text)
+        except ValueError:
+            values = None
+        write(tmp_path, f"raw/u{number}/a.json", text or " ")
+        expected[f"u{number}"] = values if isinstance(values, list) else None
+    rows = read_large(spark, tmp_path).withColumn("rec", F.to_json("rec")).collect()
+    found = {user: [] for user, values in expected.items()}
+    for row in sorted(rows, key=lambda r: (r["user_id"], r["src_pos"] or 0)):
+        if row["file_error"]:
+            found[row["user_id"]] = None
+        else:
+            assert row["src_pos"] == len(found[row["user_id"]])
+            # Only objects are records; what other elements hold does not matter.
+            found[row["user_id"]].append(json.loads(row["rec"]))
+    for user, values in expected.items():
+        assert found[user] == values, user
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    write(tmp_path, "raw/u/a.json", views(*map(str, range(100))))
+    pieces = raw_files.scan_pieces(spark, str(tmp_path))
+    assert pieces.select(F.spark_partition_id().alias("task")).distinct().count() > 20
+    records = read_large(spark, tmp_path)
+    titles = records.select(
+        "src_pos", F.try_variant_get("rec", "$.title", "string").alias("title")
+    ).orderBy("src_pos")
+    assert [(r[0], r[1].split(" ")[0]) for r in titles.collect()] == [
+        (i, str(i)) for i in range(100)
+    ]
