@@ -10,6 +10,7 @@ from watchlake.operators.embedding import HashEmbedder, build_vectors
 from watchlake.operators.ranking import top_per_key
 from watchlake.operators.search import search_ranked
 from watchlake.plans import templates
+from watchlake.plans.ingest import read_records
 from watchlake.sources.tables import (
     HISTORY_SCHEMA,
     read_vectors,
@@ -79,9 +80,19 @@ def test_records_are_parsed_once(spark):
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
-def test_default_embedding_needs_no_python(stored):
+def test_default_embedding_needs_no_python_and_shuffles_no_vectors(stored):
     text = plan(build_vectors(stored))
     assert "Python" not in text
+    above, below = text.split("Exchange", 1)
+    assert "md5" in above.split("row_number")[0] and "array_repeat" not in below
+
+
+def test_ingest_writes_rows_where_they_were_parsed(spark, tmp_path):
+    path = tmp_path / "raw" / "u" / "a.json"
+    path.parent.mkdir(parents=True)
+    path.write_text('[{"title": "x", "time": "2025-01-01"}]')
+    rows = valid_rows(read_records(spark, str(tmp_path)))
+    assert "Exchange hashpartitioning" not in plan(rows).split("BroadcastExchange")[0]
 
 
 def test_salted_ranking_spreads_the_hot_user(stored):
