@@ -52,9 +52,8 @@ def root(tmp_path):
 
 def read_large(spark, root, **settings):
     """All files of a folder by the way for large files."""
-    listing = raw_files.list_raw_files(spark, str(root))
-    pieces = raw_files.scan_pieces(spark, str(root))
-    return explode_large(pieces, raw_files.newest_per_user(listing), **settings)
+    newest = raw_files.newest_per_user(raw_files.scan_raw_files(spark, str(root)))
+    return explode_large(raw_files.scan_pieces(spark, str(root)), newest, **settings)
 
 
 EXPECTED_HISTORY = [
@@ -301,8 +300,11 @@ def test_upload_files(spark, root):
 
 def test_only_files_of_the_asked_size_are_opened(spark, root):
     write(root, "raw/large/a.json", views(*["x"] * 1000))
-    large = raw_files.scan_raw_files(spark, str(root)).where(F.col("file_size") > 10_000)
+    files = raw_files.scan_raw_files(spark, str(root)).where(F.col("file_size") > 10_000)
+    large = files.select("user_id", "value")
     assert [r["user_id"] for r in large.collect()] == ["large"]
+    names = raw_files.newest_per_user(raw_files.scan_raw_files(spark, str(root)))
+    assert "content" not in names._jdf.queryExecution().executedPlan().toString()
     scan = large._jdf.queryExecution().executedPlan().collectLeaves().head()
     assert scan.metrics().get("numFiles").get().value() == 1
 

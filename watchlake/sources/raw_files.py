@@ -81,9 +81,12 @@ def _load(reader, root: str, paths: list[str] | None) -> DataFrame:
 
 
 def scan_raw_files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """Export files `{root}/raw/{user_id}/...json`, one row per file with its whole text."""
-    reader = spark.read.format("text").option("wholetext", True)
-    return with_user(_load(reader, root, paths), root)
+    """Export files `{root}/raw/{user_id}/...json`, one row per file with its whole text.
+
+    Files are listed once, here. Steps that do not use `value` do not open them.
+    """
+    files = _load(spark.read.format("binaryFile"), root, paths)
+    return with_user(files.select("path", F.col("content").cast("string").alias("value")), root)
 
 
 def scan_pieces(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
@@ -96,19 +99,13 @@ def scan_pieces(spark: SparkSession, root: str, paths: list[str] | None = None)
     return with_user(files.withColumn("split", F.col("_metadata.file_block_start")), root)
 
 
-def list_raw_files(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
-    """The same files without their texts: only names, times and sizes are read."""
-    reader = spark.read.format("binaryFile")
-    return with_user(_load(reader, root, paths).select("path"), root)
-
-
-def newest_per_user(listing: DataFrame) -> DataFrame:
-    """(file_path, file_size) of the newest file of every user; ties go to the greater path."""
-    newest = F.max(F.struct("modified", "file_path", "file_size"))
+def newest_per_user(files: DataFrame) -> DataFrame:
+    """(file_path, path, file_size) of the newest file of every user; ties: the greater path."""
+    newest = F.max(F.struct("modified", "file_path", "path", "file_size"))
     return (
-        listing.groupBy("user_id")
+        files.groupBy("user_id")
         .agg(newest.alias("newest"))
-        .select("newest.file_path", "newest.file_size")
+        .select("newest.file_path", "newest.path", "newest.file_size")
     )
 
 
