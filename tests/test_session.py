@@ -1,0 +1,31 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from watchlake.session import cut_lineage, is_small, prepare_session, shared_dir, spread
+
+
+def test_results_settings_are_pinned(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    prepare_session(spark)
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_is_small(spark):
+    rows = spark.range(10)
+    assert is_small(rows, 10) and not is_small(rows, 9)
+
+
+def test_spread_only_for_few_splits(spark):
+    few = spark.range(0, 100, 1, 2)
+    many = spark.range(0, 100, 1, 64)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(many) is many
+
+
+def test_cut_lineage_reads_the_stored_rows(spark):
+    folder = shared_dir(spark)
+    assert folder
+    stored = cut_lineage(spark.range(5).withColumn("v", F.rand()))
+    assert stored.collect() == stored.collect()
+    assert "Range" not in stored._jdf.queryExecution().executedPlan().toString()

@@ -61,6 +61,38 @@ channels AS (
   FROM hist GROUP BY user_id, channel_name QUALIFY rank <= 10
 )"""
 
+_PLANNED = """
+sizes AS (
+  SELECT user_id, count(*) AS views, count(DISTINCT channel_name) AS channels,
+    count(DISTINCT watched_at::DATE) AS days
+  FROM hist GROUP BY user_id
+),
+planned AS (
+  SELECT q.*, coalesce(views, 0) AS views, coalesce(channels, 0) AS channels,
+    coalesce(days, 0) AS days, coalesce(route, CASE WHEN views IS NOT NULL
+      AND c.c_custkey IS NULL THEN 'vector' ELSE 'recent_history' END) AS plan
+  FROM questions q LEFT JOIN sizes USING (user_id)
+  LEFT JOIN customer c ON c.c_custkey::VARCHAR = q.user_id AND c.c_mktsegment = 'MACHINERY'
+)"""
+
+
+def _block(plan: str, rows: str, **values: str) -> str:
+    """Data block per user as a SELECT: values are SQL texts, keys the JSON names."""
+    fields = " || ',' || chr(10) || ".join(
+        f"""'    "{name}": "' || {value} || '"'""" for name, value in values.items()
+    )
+    item = f"'  {{' || chr(10) || {fields} || chr(10) || '  }}'"
+    return f"""
+  SELECT user_id, '{plan}' AS plan, count(*) AS data_count,
+    '[' || chr(10) || string_agg({item}, ',' || chr(10) ORDER BY rank) FILTER (rank <= 50)
+    || chr(10) || ']' || CASE WHEN count(*) > 50
+      THEN chr(10) || chr(10) || '（全' || count(*) || '件中、最初の50件を表示）' ELSE '' END
+      AS context
+  FROM {rows} GROUP BY user_id"""
+
+
+_MILLISECONDS = "strftime(date_trunc('millisecond', watched_at), '%Y-%m-%d %H:%M:%S.%g')"
+
 _PAIRS = """
 scored AS (
   SELECT q.vec_id AS question_id, v.vec_id, v.label,
@@ -257,19 +289,7 @@ drawn AS (
     "answer_batch": _with(
         _RAW,
         _QUESTIONS,
-        """
-sizes AS (
-  SELECT user_id, count(*) AS views, count(DISTINCT channel_name) AS channels,
-    count(DISTINCT watched_at::DATE) AS days
-  FROM hist GROUP BY user_id
-),
-planned AS (
-  SELECT q.*, coalesce(views, 0) AS views, coalesce(channels, 0) AS channels,
-    coalesce(days, 0) AS days, coalesce(route, CASE WHEN views IS NOT NULL
-      AND c.c_custkey IS NULL THEN 'vector' ELSE 'recent_history' END) AS plan
-  FROM questions q LEFT JOIN sizes USING (user_id)
-  LEFT JOIN customer c ON c.c_custkey::VARCHAR = q.user_id AND c.c_mktsegment = 'MACHINERY'
-)""",
+        _PLANNED,
     )
     + f"""SELECT question_id, user_id, route, {_source('route')} AS source, plan,
       (CASE plan
@@ -279,6 +299,54 @@ planned AS (
         WHEN 'daily_watch_count' THEN least(30, days)
         ELSE least(100, views) END)::BIGINT AS data_count
     FROM planned""",
+    "template_answers": _with(
+        _RAW,
+        _QUESTIONS,
+        _PLANNED,
+        _RECENT_ALL,
+        _CHANNELS_ALL,
+        """
+days AS (
+  SELECT user_id, watched_at::DATE AS day, count(*) AS views,
+    row_number() OVER (PARTITION BY user_id ORDER BY watched_at::DATE DESC) AS rank
+  FROM hist GROUP BY user_id, watched_at::DATE QUALIFY rank <= 30
+),
+totals AS (
+  SELECT DISTINCT user_id, views, 1 AS rank FROM planned
+)""",
+        "blocks AS ("
+        + " UNION ALL ".join(
+            [
+                _block(
+                    "most_watched_channels",
+                    "channels",
+                    channel_name="channel_name",
+                    watch_count="watch_count",
+                ),
+                _block("total_videos", "totals", total="views"),
+                _block(
+                    "recent_history",
+                    "recent",
+                    title="title",
+                    channel_name="channel_name",
+                    watched_at=_MILLISECONDS,
+                ),
+                _block("daily_watch_count", "days", watch_date="day", count="views"),
+            ]
+        )
+        + ")",
+        f"""
+answered AS (
+  SELECT question_id, question, plan, coalesce(data_count, 0) AS data_count,
+    coalesce(context, '{fixed.NO_DATA_BLOCK}') AS context
+  FROM planned LEFT JOIN blocks USING (user_id, plan) WHERE plan <> 'vector'
+)""",
+    )
+    + "SELECT question_id, plan, data_count, context, md5('"
+    + fixed.SQL_PROMPT.replace("{data}", "' || context || '").replace(
+        "{question}", "' || regexp_replace(question, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') || '"
+    )
+    + "') AS prompt_md5 FROM answered",
     "search_context": _with(_PAIRS)
     + """SELECT question_id, count(*) AS data_count,
       '関連する視聴履歴 ' || count(*) || '件:' || chr(10) || string_agg(

@@ -381,6 +381,19 @@ def answer_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return batch.select("question_id", "context", "prompt", envelope.alias("envelope"))
 
 
+@_query
+def template_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Context and prompt of all questions that the query templates answer."""
+    batch = _batch(spark, folder).where(F.col("plan") != "vector")
+    return batch.select(
+        "question_id",
+        "plan",
+        "data_count",
+        "context",
+        F.md5("prompt").alias("prompt_md5"),
+    )
+
+
 @_query
 def search_context(spark: SparkSession, folder: str) -> DataFrame:
     """Context text of the hits of every vector's search in its tenant."""
