@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,10 +120,14 @@ def parse_records(records: DataFrame, rec: str = "rec") -> DataFrame:
     into every filter on it, and so read each record several times.
     """
     keep = [c for c in records.columns if c != rec]
+    return records.select(*keep, _cleaned_row(rec)).select(*keep, "_row.*")
+
+
+@functools.cache
+def _cleaned_row(rec: str) -> Column:
+    """Generator of the cleaned row; the expression is large and always the same."""
     cleaned = let(F.try_variant_get(rec, "$", _RECORD), _cleaned)
-    return records.select(*keep, F.explode(F.array(cleaned)).alias("_row")).select(
-        *keep, "_row.*"
-    )
+    return F.explode(F.array(cleaned)).alias("_row")
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:
