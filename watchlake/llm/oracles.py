@@ -49,6 +49,33 @@ SELECT conv_id, n::BIGINT AS n_turns, sha256(said) AS turns_sha256,
 FROM s
 """
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP5 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {WORD}) AS w
+  FROM documents),
+sh AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, greatest(length(w) - 2, 2))) AS i FROM d WHERE length(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM sh GROUP BY r),
+pair AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r < b.r
+  GROUP BY a.r, b.r),
+link AS MATERIALIZED (
+  SELECT a, b FROM pair JOIN n x ON x.r = a JOIN n y ON y.r = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+two AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT r AS a, r AS b FROM d
+  UNION SELECT reach.a, two.b FROM reach JOIN two ON two.a = reach.b),
+c AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id,
+  doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN c ON c.a = d.r LEFT JOIN n ON n.r = d.r
+"""
+
 _FAILS = f"""(NOT regexp_matches(l, {quoted(END_PUNCTUATION)})
     AND length(regexp_extract_all(l, {WORD})) > 4
   OR regexp_matches(l, {quoted(NAVIGATION)}) OR regexp_matches(l, {quoted(BOILERPLATE)})
@@ -115,6 +142,7 @@ FROM p
 ORACLES = {
     "op1_warc": OP1,
     "op4_chat_formatting": OP4,
+    "op5_minhash": OP5,
     "op7_quality_rules": OP7,
     "op8_mixing": OP8,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import chat, mixing, quality, sharding, warc
+from watchlake.llm import chat, mixing, neardup, quality, sharding, warc
 from watchlake.llm.common import document_table, run_folder
 
 
@@ -48,6 +48,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = neardup.near_duplicates(document_table(spark, sf_dir), shingle=4)
+    return marks.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first(document_table(spark, sf_dir)).select(
         "doc_id",
@@ -77,6 +82,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_sharding": op3_sharding,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_minhash": op5_minhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
 }
