@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import column, hidden, stored
+from watchlake.llm.common import column, hidden, small_batches, stored
 from watchlake.llm.tokens import mix, runs, slices, words
 
 #: 32 bands of 4 values, the smallest and largest of 2 permutations each. Two sets of similarity 0.8
@@ -88,6 +88,7 @@ def with_class(docs: DataFrame, text: str, shingle: int, name: str, also: str |
                 table = table.append_column(also, pa.array(extra, kind))
             yield from table.to_batches()
 
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     fields = ", ".join(
         f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}"

@@ -139,10 +139,36 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP10 = """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (
+  SELECT r, i, md5(b[i:i + 199]) AS h
+  FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+steps AS (
+  SELECT r, i, i > 200 + lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) AS fresh FROM twice),
+spans AS MATERIALIZED (
+  SELECT r, k, min(i) AS a, max(i) + 200 AS z
+  FROM (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM steps) GROUP BY r, k),
+pieces AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS x, a - 1 AS y FROM spans
+  UNION ALL
+  SELECT r, coalesce(max(z), 1), max(octet_length(b)) FROM d LEFT JOIN spans USING (r) GROUP BY r),
+kept AS (
+  SELECT r, coalesce(string_agg(hex(b[x:y]), '' ORDER BY x), '') AS h
+  FROM pieces JOIN d USING (r) WHERE y >= x GROUP BY r),
+n AS (SELECT r, sum(z - a) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+  coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
 ORACLES = {
     "op1_warc": OP1,
     "op4_chat_formatting": OP4,
     "op5_minhash": OP5,
     "op7_quality_rules": OP7,
     "op8_mixing": OP8,
+    "op10_suffix_dedup": OP10,
 }

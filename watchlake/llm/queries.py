@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import chat, mixing, neardup, quality, sharding, warc
+from watchlake.llm import chat, mixing, neardup, quality, repeats, sharding, warc
 from watchlake.llm.common import document_table, run_folder
 
 
@@ -78,6 +78,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeats.remove_repeats(document_table(spark, sf_dir))
+    return docs.select(
+        "doc_id", "removal.n_bytes", "removal.n_removed", "removal.n_spans", "removal.kept_sha256"
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_sharding": op3_sharding,
@@ -85,4 +92,5 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
