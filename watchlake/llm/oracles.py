@@ -26,6 +26,23 @@ FROM h
 """
 
 
+OP2 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.r, c.r AS cr, q.vec_id AS query_id, c.vec_id,
+    list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS rank FROM s)
+WHERE rank <= 5
+"""
+
+
 def _escape(column: str) -> str:
     return f"replace(replace(replace({column}, '%', '%25'), '<', '%3C'), '[', '%5B')"
 
@@ -166,6 +183,7 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
 
 ORACLES = {
     "op1_warc": OP1,
+    "op2_topk": OP2,
     "op4_chat_formatting": OP4,
     "op5_minhash": OP5,
     "op7_quality_rules": OP7,

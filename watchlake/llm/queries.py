@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import chat, mixing, neardup, quality, repeats, sharding, warc
+from watchlake.llm import chat, licences, mixing, neardup, quality, repeats, sharding, topk, warc
 from watchlake.llm.common import document_table, run_folder
 
 
@@ -15,6 +15,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.read_archive(spark, path))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = document_table(spark, sf_dir, "embeddings")
+    return topk.top_products(table, every=50, vector="embedding")
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
 
@@ -53,6 +58,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(document_table(spark, sf_dir), keep=["doc_id"])
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return found.select("doc_id", *(F.col(f"licences.{name}").alias(name) for name in names))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first(document_table(spark, sf_dir)).select(
         "doc_id",
@@ -87,9 +98,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_topk": op2_topk,
     "op3_sharding": op3_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_minhash": op5_minhash,
+    "op6_license_scans": op6_license_scans,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
