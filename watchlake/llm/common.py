@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from watchlake.session import shared_dir
 
@@ -31,12 +32,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def hidden(df: DataFrame, name: str) -> str:
-    """`name`, lengthened until no column of `df` bears it (in any case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+class Masked:
+    """A table under column names of our own, so that no name in it can clash with one of ours.
+
+    Columns called `replaced`, in any case, are left out at the end.
+    """
+
+    def __init__(self, df: DataFrame, replaced: tuple[str, ...] = ()):
+        self.names = df.columns
+        self.df = df.toDF(*(f"c{i}" for i in range(len(self.names))))
+        self.kept = [i for i, name in enumerate(self.names) if name.lower() not in replaced]
+
+    def at(self, name: str) -> str:
+        """What the column `name` is called here."""
+        return f"c{self.names.index(name)}"
+
+    def columns(self) -> list[str]:
+        return [f"c{i}" for i in self.kept]
+
+    def fields(self, more: str) -> StructType:
+        """The kept columns and further ones, as a schema."""
+        own = [StructField(f"c{i}", self.df.schema[i].dataType) for i in self.kept]
+        return StructType(own + StructType.fromDDL(more).fields)
+
+    def back(self, df: DataFrame, *more: str | Column) -> DataFrame:
+        """The kept columns under their own names, and `more`."""
+        return df.select(*(F.col(f"c{i}").alias(self.names[i]) for i in self.kept), *more)
 
 
 def column(name: str) -> Column:

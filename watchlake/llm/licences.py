@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import column, small_batches
+from watchlake.llm.common import Masked, small_batches
 from watchlake.llm.tokens import ALNUM, Words, slices, words
 
 # Phrases that count wherever they stand, with their labels.
@@ -257,7 +257,8 @@ def scan_licences(
     `licences` is replaced.
     """
     small_batches(files.sparkSession)
-    keep = [c for c in (files.columns if keep is None else keep) if c != text and c.lower() != "licences"]
+    table = Masked(files, replaced=("licences",))
+    table.kept = [i for i in table.kept if table.names[i] != text and (keep is None or table.names[i] in keep)]
     shared = files.sparkSession.sparkContext.broadcast(Scanner(templates, phrases, **limits))
 
     def run(batches):
@@ -269,9 +270,10 @@ def scan_licences(
                 numbers = scanner.numbers(w.hashes)
                 found += [scanner.report(w, numbers, doc) for doc in range(len(ends))]
             yield pa.RecordBatch.from_arrays(
-                [*(batch[i] for i in range(len(keep))), pa.array(found, _ARROW)], [*keep, "licences"]
+                [*(batch[i] for i in range(len(names))), pa.array(found, _ARROW)], [*names, "__licences"]
             )
 
-    plain = files.select(*(column(c) for c in keep), column(text).cast("string").alias("__text"))
-    fields = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in plain.schema[:-1])
-    return plain.mapInArrow(run, f"{fields}licences {RESULT}")
+    names = table.columns()
+    plain = table.df.select(*names, F.col(table.at(text)).cast("string").alias("__text"))
+    found = plain.mapInArrow(run, table.fields(f"__licences {RESULT}"))
+    return table.back(found, F.col("__licences").alias("licences"))

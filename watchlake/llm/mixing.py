@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import WORD, column
+from watchlake.llm.common import WORD, Masked
 
 #: The weights of the sources in code point order, again and again; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -79,16 +79,17 @@ def systematic_mix(
     empty table stays empty.
     """
     digits = max(0, math.ceil(math.log(max(docs.count(), 1) / part, 16)))
-    kept = [column(c) for c in docs.columns if c.lower() != "mix"]
+    table = Masked(docs, replaced=("mix",))
+    body, own_key = F.col(table.at(text)), F.col(table.at(key))
     binary = F.bin("__size")
-    df = docs.select(
-        *kept,
-        column(source).alias("__source"),
-        F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("__size"),
+    df = table.df.select(
+        "*",
+        F.col(table.at(source)).alias("__source"),
+        F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("bigint").alias("__size"),
         F.md5(
-            F.concat(F.lit(f"{seed}:"), F.coalesce(column(key).cast("string"), F.lit(""))).cast("binary")
+            F.concat(F.lit(f"{seed}:"), F.coalesce(own_key.cast("string"), F.lit(""))).cast("binary")
         ).alias("__hash"),
-        F.xxhash64(column(text)).alias("__tie"),
+        F.xxhash64(body).alias("__tie"),
     ).select(
         "*",
         # size classes: the length of the binary number and its first four digits
@@ -127,8 +128,8 @@ def systematic_mix(
     ).withColumn("__place", F.col("__before") + F.row_number().over(inside))
     place, expected, offset = F.col("__place"), F.col("__expected"), F.col("__offset")
     copies = F.floor(place * expected + offset) - F.floor((place - 1) * expected + offset)
-    return df.select(
-        *kept,
+    return table.back(
+        df,
         F.struct(
             F.col("__size").alias("size"),
             F.col("__source_size").alias("source_size"),
@@ -140,8 +141,8 @@ def systematic_mix(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken."""
-    df = systematic_mix(docs, **options)
-    # a sequence of as many entries as copies, none for a row not taken
-    times = F.array_repeat(F.lit(0), F.col("mix.copies").cast("int"))
-    kept = [column(c) for c in df.columns if c != "mix"]
-    return df.select(*kept, F.explode(times).alias("__copy")).select(*kept)
+    table = Masked(systematic_mix(docs, **options))
+    # a list of as many entries as copies, none for a row not taken
+    times = F.array_repeat(F.lit(0), F.col(table.at("mix"))["copies"].cast("int"))
+    table.kept.pop()
+    return table.back(table.df.withColumn("__copy", F.explode(times)))

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from watchlake.llm.common import column, hidden, small_batches, stored
+from watchlake.llm.common import Masked, column, small_batches, stored
 from watchlake.llm.tokens import mix, runs, slices, words
 
 #: 32 bands of 4 values, the smallest and largest of 2 permutations each. Two sets of similarity 0.8
@@ -90,13 +91,9 @@ def with_class(docs: DataFrame, text: str, shingle: int, name: str, also: str |
 
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
-    fields = ", ".join(
-        f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}"
-        for f in docs.schema
-        if not also or f.name != text
-    )
+    fields = [f for f in docs.schema if not also or f.name != text]
     more = {"bands": ", size bigint, bands array<bigint>", "set": ", size bigint, `set` binary"}.get(also, "")
-    return docs.mapInArrow(run, f"{fields}, `{name}` binary{more}")
+    return docs.mapInArrow(run, StructType(fields + StructType.fromDDL(f"{name} binary{more}").fields))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -260,7 +257,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
     Of equal rows with that key one stays; rows without words all stay.
     """
-    name = hidden(docs, "own_class")
+    table = Masked(docs)
+    own_key = F.col(table.at(key))
     marks = near_duplicates(docs, key, text, shingle, percent)
     chosen = (
         marks.where("kept AND class IS NOT NULL")
@@ -268,7 +266,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         .agg(F.min(F.struct(column(key).alias("k"), F.col("class").alias("c"))).alias("one"))
         .select("one.k", "one.c")
     )
-    classed = with_class(docs, text, shingle, name)
-    same = classed[name].eqNullSafe(F.col("c")) & column(key).eqNullSafe(F.col("k"))
-    kept = classed.where(column(name).isNotNull()).join(chosen, same, "left_semi").dropDuplicates([key, name])
-    return kept.unionByName(classed.where(column(name).isNull())).drop(name)
+    classed = with_class(table.df, table.at(text), shingle, "__class")
+    same = (F.col("__class") == F.col("c")) & own_key.eqNullSafe(F.col("k"))
+    kept = classed.where("__class IS NOT NULL").join(chosen, same, "left_semi").dropDuplicates(["__class"])
+    return table.back(kept.unionByName(classed.where("__class IS NULL")))

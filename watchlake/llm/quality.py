@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import WORD, column
+from watchlake.llm.common import WORD, Masked
 
 #: Characters that may end a sentence, with closing quotes and brackets behind them.
 END_PUNCTUATION = r"[.!?…。！？:;][\"'”’»)\]]*[ \t\r]*\z"
@@ -49,10 +49,8 @@ def line_first(
     A null text counts as empty: no words, rejected, cleaned text empty. An existing column
     `quality` is replaced. Repeated rows are judged each for itself.
     """
-    body = F.coalesce(column(text), F.lit(""))
-    df = docs.select(
-        *(column(c) for c in docs.columns if c.lower() != "quality"), body.alias("__body")
-    ).select(
+    table = Masked(docs, replaced=("quality",))
+    df = table.df.withColumn("__body", F.coalesce(table.at(text), F.lit(""))).select(
         "*",
         F.regexp_extract_all("__body", F.lit(WORD), F.lit(0)).alias("__words"),
         F.split("__body", "\n").alias("__lines"),
@@ -138,4 +136,4 @@ def line_first(
             & (F.col("__chars") - F.col("__chars_left") <= F.col("__chars") * max_loss)
         ).alias("kept"),
     )
-    return df.select(*(column(c) for c in docs.columns if c.lower() != "quality"), quality.alias("quality"))
+    return table.back(df, quality.alias("quality"))

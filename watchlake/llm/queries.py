@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import chat, licences, mixing, neardup, quality, repeats, sharding, topk, warc
+from watchlake.llm import chat, licences, mixing, neardup, pieces, quality, repeats, sharding, topk, warc
 from watchlake.llm.common import document_table, run_folder
 
 
@@ -89,6 +89,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The vocabulary of the registered query and the pipeline; only the driver reads the file.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(document_table(spark, sf_dir), MODEL, keep=["doc_id"])
+    return coded.select(
+        "doc_id", "encoding.n_tokens", "encoding.ids_sha256", "encoding.round_trip"
+    )
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = repeats.remove_repeats(document_table(spark, sf_dir))
     return docs.select(
@@ -105,5 +116,6 @@ QUERIES = {
     "op6_license_scans": op6_license_scans,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import column, small_batches, stored
+from watchlake.llm.common import Masked, small_batches, stored
 from watchlake.llm.tokens import BASE, mix, powers
 
 #: Bytes of a gram; a window has length - GRAM + 1 of them.
@@ -383,16 +383,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     Repeated rows are copies of each other. Keys may be null or repeated. A column `removal` is
     replaced.
     """
-    names = [c for c in docs.columns if c.lower() != "removal"]
-    rows = docs.select(
-        column(key).alias("id"), F.hash(column(text)).alias("dh"), column(text).cast("string").alias("text")
-    )
+    table = Masked(docs, replaced=("removal",))
+    names = table.columns()
+    own_key, body = F.col(table.at(key)), F.col(table.at(text))
+    rows = table.df.select(own_key.alias("id"), F.hash(body).alias("dh"), body.cast("string").alias("text"))
     spans = repeated_spans(rows, length).select(F.col("id").alias("__id"), F.col("dh").alias("__dh"), "spans")
-    docs = docs.select(*(column(c) for c in names), F.hash(column(text)).alias("__own"))
-    joined = docs.join(
-        spans, column(key).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__dh")), "left"
-    ).select(*(column(c) for c in names), "spans")
-    place = names.index(text)
+    joined = (
+        table.df.withColumn("__own", F.hash(body))
+        .join(spans, own_key.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__dh")), "left")
+        .select(*names, "spans")
+    )
+    place = names.index(table.at(text))
 
     def run(batches):
         for batch in batches:
@@ -408,9 +409,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 [pa.array([f[i] for f in facts], pa.int64() if i < 3 else pa.string()) for i in range(4)],
                 ["n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
-            yield pa.RecordBatch.from_arrays([*columns, removal], [*names, "removal"])
+            yield pa.RecordBatch.from_arrays([*columns, removal], [*names, "__removal"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__own")
-    return joined.mapInArrow(
-        run, f"{fields}, removal struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string>"
-    )
+    result = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string>"
+    done = joined.mapInArrow(run, table.fields(f"__removal {result}"))
+    return table.back(done, F.col("__removal").alias("removal"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import column, hidden
+from watchlake.llm.common import Masked
 
 #: A prime, about a hundred times the number of shards or more.
 SLOTS = 65_537
@@ -73,10 +73,9 @@ def place(rows: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> D
     names = np.array(shards, dtype=object)
     frame = pd.DataFrame({"slot": np.arange(slots, dtype=np.int64), "shard": names[table]})
     lookup = F.broadcast(spark.createDataFrame(frame, "slot bigint, shard string"))
-    kept = [column(c) for c in rows.columns if c.lower() not in ("slot", "shard")]
-    own = hidden(rows, "own_slot")
-    placed = rows.select(*kept, slot_of(column(key), slots).alias(own))
-    return placed.join(lookup, placed[own] == lookup["slot"], "left").select(*kept, "slot", "shard")
+    own = Masked(rows, replaced=("slot", "shard"))
+    placed = own.df.withColumn("__slot", slot_of(F.col(own.at(key)), slots))
+    return own.back(placed.join(lookup, F.col("__slot") == F.col("slot"), "left"), "slot", "shard")
 
 
 def write_shards(rows: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS) -> None:
