@@ -136,4 +136,5 @@ def line_first(
             & (F.col("__chars") - F.col("__chars_left") <= F.col("__chars") * max_loss)
         ).alias("kept"),
     )
-    return table.back(df, quality.alias("quality"))
+    # as output of a generator: a filter on it must not be pushed down with copies of all of the above
+    return table.back(df, F.explode(F.array(quality)).alias("quality"))
