@@ -217,8 +217,9 @@ def top_products(
             .select("part", "uid", "v", "beat", F.col("e.b").alias("block"))
         )
         asking = stored(asking, "asking")
-        coming = asking.select("part", "block").distinct()
-        found = found.unionByName(cells(asking, ordered.join(coming, "block")))
+        coming = asking.select(F.col("part").alias("p"), F.col("block").alias("b")).distinct()
+        parts = ordered.join(coming, F.col("block") == F.col("b")).withColumnRenamed("p", "part")
+        found = found.unionByName(cells(asking, parts))
     names = queries.select(F.col("uid").alias("query_uid"), F.col("id").alias("query_id"))
     order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
