@@ -52,8 +52,7 @@ def root(tmp_path):
 
 def read_large(spark, root, **settings):
     """All files of a folder by the way for large files."""
-    newest = raw_files.newest_per_user(raw_files.scan_raw_files(spark, str(root)))
-    return explode_large(raw_files.scan_pieces(spark, str(root)), newest, **settings)
+    return explode_large(raw_files.scan_pieces(spark, str(root)), **settings)
 
 
 EXPECTED_HISTORY = [
@@ -151,9 +150,13 @@ def test_file_beyond_the_size_of_one_variant(spark, tmp_path):
 
 def test_element_beyond_the_size_of_one_variant(spark, root):
     write(root, "raw/u/a.json", views("a", "b", header="x" * 5000))
-    records = read_large(spark, root, element_bytes=3000)
-    errors = {r["user_id"]: r["file_error"] for r in records.where("rec IS NULL").collect()}
-    assert errors["u"] == "too_large"
+    body = json.loads(json.dumps(views("a", "b", "c")))
+    body[1]["header"] = "x" * 5000
+    write(root, "raw/u/a.json", body)
+    records = read_large(spark, root, element_bytes=3000).where("user_id = 'u'")
+    found = sorted((r["src_pos"], r["too_large"], r["rec"] is None) for r in records.collect())
+    # The fault stays with the element.
+    assert found == [(0, False, False), (1, True, True), (2, False, False)]
 
 
 @pytest.mark.parametrize(
@@ -303,7 +306,7 @@ def test_only_files_of_the_asked_size_are_opened(spark, root):
     files = raw_files.scan_raw_files(spark, str(root)).where(F.col("file_size") > 10_000)
     large = files.select("user_id", "value")
     assert [r["user_id"] for r in large.collect()] == ["large"]
-    names = raw_files.newest_per_user(raw_files.scan_raw_files(spark, str(root)))
+    names = raw_files.scan_raw_files(spark, str(root)).select("user_id", "file_path", "modified")
     assert "content" not in names._jdf.queryExecution().executedPlan().toString()
     scan = large._jdf.queryExecution().executedPlan().collectLeaves().head()
     assert scan.metrics().get("numFiles").get().value() == 1

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from watchlake.functions import fixed
+from watchlake.functions import fixed, prompts
 from watchlake.operators import context
 from watchlake.operators.embedding import HashEmbedder, build_vectors
 from watchlake.operators.routing import check_questions, route_of, route_questions
@@ -103,11 +103,15 @@ def test_messages(spark):
         [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 2, "user", "c")],
         "conv_id int, turn int, role string, text string",
     )
-    lists = context.message_lists(turns, turns_per_part=2).orderBy("part").collect()
+    lists = context.message_lists(turns).collect()
     assert [[tuple(m) for m in r["messages"]] for r in lists] == [
-        [("user", "a"), ("assistant", "b")],
-        [("user", "c")],
+        [("user", "a"), ("assistant", "b"), ("user", "c")],
     ]
+    long = context.message_lists(
+        spark.range(2500).selectExpr("1 AS conv_id", "id AS turn", "'user' AS role", "string(id) AS text")
+    )
+    extended = long.select(context.append_message(F.col("messages"), F.lit("new")).alias("m")).collect()
+    assert [len(r["m"]) for r in extended] == [2501] and extended[0]["m"][-1]["content"] == "new"
     df = context.message_lists(turns)
     extended = df.select(context.append_message(F.col("messages"), F.lit("new")).alias("m"))
     assert [tuple(m) for m in extended.first()["m"]][-1] == ("user", "new")
@@ -214,7 +218,7 @@ def test_hot_user_is_salted(spark):
 
 def test_model_input(one_row):
     found = one_row(["hi"], context.model_input(F.col("value")))[0]
-    assert found["system"] == fixed.CHAT_SYSTEM_PROMPT
+    assert found["system"] == prompts.CHAT_SYSTEM
     assert [tuple(m) for m in found["messages"]] == [("user", "hi")]
     found = one_row(["hi"], context.model_input(F.col("value"), system_prompt=F.lit("s")))[0]
     assert found["system"] == "s"

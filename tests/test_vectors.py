@@ -24,7 +24,7 @@ from watchlake.operators.embedding import (
 from watchlake.plans.answers import search_text
 from watchlake.operators.sampling import sample_order, sample_per_user
 from watchlake.operators.search import search, search_ranked
-from watchlake.sources.tables import VECTOR_SCHEMA, has_vectors, read_vectors, write_vectors
+from watchlake.sources.tables import VECTOR_SCHEMA, has_vectors, read_vectors, read_whole_users, write_vectors
 
 VECTORS = "user_id string, idx int, embedding array<float>"
 QUESTIONS = "question_id long, user_id string, embedding array<float>"
@@ -196,7 +196,8 @@ def test_failed_texts_get_zero_vectors(spark):
 def test_texts_are_cut_before_the_model(spark):
     model = ModelEmbedder(lambda: lambda texts: [[float(len(t))] for t in texts], dim=1)
     df = spark.createDataFrame([("x" * 9000,)], "t string")
-    assert embed_texts(df, "t", model).first()["embedding"] == [8000.0]
+    assert embed_texts(df, "t", model).first()["embedding"] == [9000.0]
+    assert embed_texts(df, "t", model, cut_text=True).first()["embedding"] == [8000.0]
 
 
 def test_vector_table_round_trip(spark, tmp_path):
@@ -226,7 +227,7 @@ def test_documents(spark, per_document, parts):
     documents = vector_documents(vectors, 4, per_document)
     assert documents.count() == parts
     first = json.loads(documents.where("part = 0").first()["document"])
-    assert list(first) == ["user_id", "count", "dimension", "vectors", "texts", "metadata"]
+    assert list(first) == ["user_id", "count", "dimension", "first", "vectors", "texts", "metadata"]
     assert first["count"] == len(first["vectors"]) == min(30, per_document)
     assert first["metadata"][1] == {
         "title": "title 1",
@@ -235,7 +236,7 @@ def test_documents(spark, per_document, parts):
         "watched_at": "1970-01-01 00:00:01+00:00",
     }
     columns = ["idx", "text", "title", "channel_name", "video_id", "watched_at", "embedding"]
-    back = read_documents(documents, per_document).select(*columns).orderBy("idx").collect()
+    back = read_documents(documents).select(*columns).orderBy("idx").collect()
     assert back == vectors.select(*columns).orderBy("idx").collect()
 
 
@@ -279,6 +280,27 @@ def test_search_one_text(spark):
     assert search_text("title 3", "nobody", vectors, HashEmbedder(64)).isEmpty()
 
 
+def test_documents_keep_positions_through_files(spark, tmp_path):
+    vectors = build_vectors(history(spark, {"u1": 30}), HashEmbedder(4))
+    write_documents(vector_documents(vectors, 4, 7), str(tmp_path / "documents"))
+    back = read_documents(read_document_files(spark, str(tmp_path / "documents")))
+    assert sorted(r["idx"] for r in back.collect()) == list(range(30))
+
+
+def test_users_are_never_read_in_part(spark, tmp_path):
+    path = tmp_path / "vectors"
+    built = build_vectors(history(spark, {"u1": 40, "u 2": 3}), HashEmbedder(8))
+    built.repartition(2).write.partitionBy("user_id").parquet(str(path))
+    broken = next((path / "user_id=u1").glob("*.parquet"))
+    broken.write_bytes(b"broken")
+    for checksum in (path / "user_id=u1").glob(".*.crc"):
+        checksum.unlink()
+    whole = read_whole_users(spark, str(path))
+    assert {r["user_id"] for r in whole.collect()} == {"u 2"} and whole.count() == 3
+    with pytest.raises(Exception, match="(?i)parquet"):
+        read_vectors(spark, str(path)).select("embedding").collect()
+
+
 def test_unreadable_vectors_count_as_none(spark, tmp_path):
     path = tmp_path / "vectors"
     write_vectors(build_vectors(history(spark, {"u1": 3, "u2": 3}), HashEmbedder(8)), str(path))
@@ -286,7 +308,7 @@ def test_unreadable_vectors_count_as_none(spark, tmp_path):
         file.write_bytes(b"broken")
     for checksum in (path / "user_id=u2").glob(".*.crc"):
         checksum.unlink()
-    stored = read_vectors(spark, str(path))
+    stored = read_whole_users(spark, str(path))
     assert [r["user_id"] for r in stored.select("user_id").distinct().collect()] == ["u1"]
     assert search_text("title 1", "u2", stored, HashEmbedder(8)).isEmpty()
     assert search_text("title 1", "u1", stored, HashEmbedder(8)).count() == 3

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from watchlake.functions.binding import let
 
-# date [any one separator HH[:MM[:SS[.fff|.ffffff]]] [+-HH:MM[:SS]]], nothing around it.
+# date [any one separator HH[:MM[:SS[.fff|.ffffff]]] [+-HH:MM[:SS[.ffffff]]]], nothing around it.
 _ISO = (
     r"(?s)\A[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"(.[0-9]{2}(:[0-9]{2}(:[0-9]{2}(\.([0-9]{3}|[0-9]{6}))?)?)?"
-    r"([+-][0-9]{2}:[0-9]{2}(:[0-9]{2})?)?)?\z"
+    r"([+-][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{6})?)?)?)?\z"
 )
 _MIDNIGHT = "00:00:00.000000"
 
@@ -54,8 +54,10 @@ def parse_iso(text: Column) -> Column:
 
 
 def _interval(offset: Column) -> Column:
-    """`+HH:MM[:SS]` as an interval; NULL for a day or more."""
+    """`+HH:MM[:SS[.ffffff]]` as an interval; NULL for a day or more."""
+    fraction = F.coalesce(F.substring(offset, 10, 7).try_cast("decimal(18,6)"), F.lit(0))
     seconds = _number(offset, 2) * 3600 + _number(offset, 5) * 60 + _number(offset, 8)
+    seconds = seconds + fraction
     return let(
         seconds,
         lambda s: F.when(

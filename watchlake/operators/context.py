@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.functions import fixed
+from watchlake.functions import fixed, prompts
 from watchlake.functions.text import fill_template
 from watchlake.functions.timestamps import timestamp_text
 
@@ -48,9 +48,20 @@ def search_context(hits: DataFrame) -> DataFrame:
     )
 
 
+# Control characters whose \\u escape has a letter in it; it is written in lower case.
+_LETTER_ESCAPES = ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F")
+
+
 def json_string(text: Column) -> Column:
     """A string as a JSON literal, NULL as null."""
     quoted = F.to_json(F.array(text))
+    lower = quoted
+    for code in _LETTER_ESCAPES:
+        # An escape, not the end of an escaped backslash.
+        lower = F.regexp_replace(
+            lower, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}"
+        )
+    quoted = F.when(text.rlike(r"[\x0B\x0E\x0F\x1A-\x1F]"), lower).otherwise(quoted)
     return F.when(text.isNull(), "null").otherwise(
         F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     )
@@ -156,32 +167,30 @@ def append_message(history: Column, message: Column) -> Column:
     return F.when(history.isNull(), F.array(message)).otherwise(F.array_append(history, message))
 
 
-def message_lists(turns: DataFrame, turns_per_part: int = 1000) -> DataFrame:
-    """(conv_id, part, messages) from rows (conv_id, turn, role, text).
+def message_lists(turns: DataFrame) -> DataFrame:
+    """(conv_id, messages) from rows (conv_id, turn, role, text): one list per conversation.
 
-    A conversation is one list up to `turns_per_part` turns; longer ones continue in further
-    parts, so no group grows with the conversation.
+    What a model is given in one call is one value, so a conversation is one row.
     """
     item = F.struct("turn", "role", F.col("text").alias("content"))
     ordered = F.array_sort(F.collect_list(item))
-    return (
-        turns.withColumn("part", F.floor(F.col("turn") / turns_per_part))
-        .groupBy("conv_id", "part")
-        .agg(
-            F.transform(ordered, lambda m: F.struct(m["role"], m["content"])).alias("messages")
-        )
+    return turns.groupBy("conv_id").agg(
+        F.transform(ordered, lambda m: F.struct(m["role"], m["content"])).alias("messages")
     )
 
 
 def model_input(
-    message: Column, history: Column | None = None, system_prompt: Column | None = None
+    message: Column,
+    history: Column | None = None,
+    system_prompt: Column | None = None,
+    default_system: str = prompts.CHAT_SYSTEM,
 ) -> Column:
     """What a chat model is given: system prompt and messages, the new message last."""
     system = F.lit(None).cast("string") if system_prompt is None else system_prompt
     if history is None:
         history = F.lit(None).cast("array<struct<role:string,content:string>>")
     return F.struct(
-        F.coalesce(F.nullif(system, F.lit("")), F.lit(fixed.CHAT_SYSTEM_PROMPT)).alias("system"),
+        F.coalesce(F.nullif(system, F.lit("")), F.lit(default_system)).alias("system"),
         append_message(history, message).alias("messages"),
     )
 

@@ -9,7 +9,7 @@ from watchlake.functions import fixed
 from watchlake.functions.timestamps import timestamp_text
 
 _DOCUMENT = (
-    "struct<user_id:string,count:int,dimension:int,vectors:array<array<float>>,"
+    "struct<user_id:string,count:int,dimension:int,first:int,vectors:array<array<float>>,"
     "texts:array<string>,metadata:array<struct<title:string,channel_name:string,"
     "video_id:string,watched_at:string>>>"
 )
@@ -23,7 +23,8 @@ def vector_documents(
     """(user_id, part, document): header plus three arrays in the order of idx.
 
     A user within the sample limit has one document. A larger one has several, numbered by
-    `part`, because idx is cut into ranges; so no group exceeds rows_per_document rows.
+    `part`, because idx is cut into ranges; so no group exceeds rows_per_document rows. `first`
+    is the idx of a document's first row; idx counts without gaps.
     """
     metadata = F.struct(
         "title",
@@ -44,6 +45,7 @@ def vector_documents(
                     "user_id",
                     F.size("items").alias("count"),
                     F.lit(dim).alias("dimension"),
+                    F.try_element_at("items.idx", F.lit(1)).alias("first"),
                     F.col("items.embedding").alias("vectors"),
                     F.col("items.text").alias("texts"),
                     F.col("items.meta").alias("metadata"),
@@ -71,15 +73,13 @@ def read_document_files(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("value").alias("document"))
 
 
-def read_documents(
-    documents: DataFrame, rows_per_document: int = fixed.MAX_SAMPLE_ROWS
-) -> DataFrame:
-    """Vector rows of documents: the three arrays are zipped by position."""
-    has_part = "part" in documents.columns
-    first = F.col("part") * rows_per_document if has_part else F.lit(0)
-    parsed = documents.select(
-        F.from_json("document", _DOCUMENT).alias("d"), first.cast("int").alias("_first")
-    )
+def read_documents(documents: DataFrame) -> DataFrame:
+    """Vector rows of documents: the three arrays are zipped by position.
+
+    Documents without `first` are a user's only one and start at 0.
+    """
+    parsed = documents.select(F.from_json("document", _DOCUMENT).alias("d"))
+    parsed = parsed.withColumn("_first", F.coalesce("d.first", F.lit(0)))
     items = F.arrays_zip(
         F.col("d.vectors").alias("embedding"),
         F.col("d.texts").alias("text"),

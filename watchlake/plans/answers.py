@@ -6,10 +6,12 @@ itself is up to a model outside this library.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.functions import fixed
+from watchlake.functions import fixed, prompts
 from watchlake.operators.context import (
     data_blocks,
     json_object,
@@ -27,12 +29,9 @@ from watchlake.plans.templates import (
     recent_history,
     total_videos,
 )
-from watchlake.session import cut_lineage, is_small, prepare_session
+from watchlake.session import cut_lineage, prepare_session
 from watchlake.sources.tables import as_result_strings
 
-# Longest list of asking users that is broadcast to thin out the history before it is read.
-BROADCAST_USERS = 200_000
-
 _VECTOR = "vector"
 
 
@@ -40,11 +39,15 @@ def _template_blocks(history: DataFrame, needed: DataFrame) -> DataFrame:
     """(user_id, plan, data_count, data_text) for every needed (user_id, plan).
 
     Blocks are built once per user and template, not per question, and at most one hundred
-    rows per user reach the grouping.
+    rows per user reach the grouping. Each template reads the rows of the users who need it, and
+    one that nobody needs reads none; Spark broadcasts their list if it is short.
     """
-    users = needed.select("user_id").distinct()
-    if is_small(users, BROADCAST_USERS):
-        history = history.join(F.broadcast(users), "user_id", "left_semi")
+
+    def asking(name: str) -> DataFrame:
+        return needed.where(F.col("plan") == name).select("user_id").distinct()
+
+    def rows_for(name: str) -> DataFrame:
+        return history.join(asking(name), "user_id", "left_semi")
 
     def blocks(name: str, rows: DataFrame) -> DataFrame:
         columns = [c for c in rows.columns if c not in ("user_id", "rank")]
@@ -53,17 +56,22 @@ def _template_blocks(history: DataFrame, needed: DataFrame) -> DataFrame:
         )
         return data_blocks(lines, ["user_id"]).withColumn("plan", F.lit(name))
 
-    totals = total_videos(history, users=users).withColumn("rank", F.lit(1))
-    parts = [
-        blocks("most_watched_channels", most_watched_channels(history)),
-        blocks("total_videos", totals),
-        blocks("recent_history", recent_history(history)),
-        blocks("daily_watch_count", daily_watch_count(history)),
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.join(needed, ["user_id", "plan"], "left_semi")
+    def totals(rows: DataFrame) -> DataFrame:
+        return total_videos(rows, users=asking("total_videos")).withColumn("rank", F.lit(1))
+
+    templates = {
+        "most_watched_channels": most_watched_channels,
+        "total_videos": totals,
+        "recent_history": recent_history,
+        "daily_watch_count": daily_watch_count,
+    }
+    # At most one row per template.
+    wanted = {row["plan"] for row in needed.select("plan").distinct().collect()}
+    parts = [blocks(n, build(rows_for(n))) for n, build in templates.items() if n in wanted]
+    if not parts:
+        empty = "user_id string, data_count bigint, data_text string, plan string"
+        return needed.sparkSession.createDataFrame([], empty)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def search_texts(
@@ -100,6 +108,8 @@ def answer_batch(
     embedder: Embedder | None = None,
     k: int = fixed.ANSWER_SEARCH_K,
     hot_rows: int = HOT_ROWS,
+    data_system: str = prompts.DATA_SYSTEM,
+    search_system: str = prompts.SEARCH_SYSTEM,
 ) -> DataFrame:
     """One row per question: its labels, data_count, context, prompt and system_prompt.
 
@@ -112,9 +122,16 @@ def answer_batch(
     embedder = embedder or HashEmbedder()
     routed = route_questions(questions.select("question_id", "user_id", "question"))
     # One user may ask a large share of all questions; such users are salted in both joins.
-    hot = hot_keys(routed, "user_id", hot_rows)
+    # The list is stored, so that all joins below use the same salts.
+    hot = cut_lineage(hot_keys(routed, "user_id", hot_rows))
     routed = salt_rows(routed, hot, "user_id", F.col("question_id"))
-    stored = vectors.select("user_id").distinct().withColumn("_stored", F.lit(True))
+    asking = routed.select("user_id").distinct()
+    stored = (
+        vectors.select("user_id")
+        .join(asking, "user_id", "left_semi")
+        .distinct()
+        .withColumn("_stored", F.lit(True))
+    )
     planned = (
         routed.join(repeat_rows(stored, hot, "user_id"), ["user_id", "_salt"], "left")
         .withColumn(
@@ -139,7 +156,7 @@ def answer_batch(
         F.coalesce("data_count", F.lit(0).cast("bigint")).alias("data_count"),
         F.coalesce("data_text", F.lit(fixed.NO_DATA_BLOCK)).alias("context"),
         sql_prompt(F.col("question"), F.col("data_text")).alias("prompt"),
-        F.lit(fixed.SQL_SYSTEM_PROMPT).alias("system_prompt"),
+        F.lit(data_system).alias("system_prompt"),
     )
 
     by_vector = planned.where(F.col("plan") == _VECTOR)
@@ -149,6 +166,6 @@ def answer_batch(
         "data_count",
         "context",
         vector_prompt(F.col("question"), F.col("context")).alias("prompt"),
-        F.lit(fixed.VECTOR_SYSTEM_PROMPT).alias("system_prompt"),
+        F.lit(search_system).alias("system_prompt"),
     )
     return from_sql.unionByName(from_vectors)

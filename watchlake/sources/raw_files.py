@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.functions.binding import let
-from watchlake.session import is_small
 
 # VARIANT values are limited in size; larger files are read in pieces (large_files.py).
 VARIANT_TEXT_BYTES = 64 * 1024 * 1024
-# Longest list of paths that is broadcast; at some hundred bytes each it stays below 100 MB.
+# Longest list of paths or users that is broadcast; at some hundred bytes each it stays below 100 MB.
 BROADCAST_PATHS = 200_000
 
 BAD_UTF8 = "bad_utf8"
@@ -99,30 +98,15 @@ def scan_pieces(spark: SparkSession, root: str, paths: list[str] | None = None)
     return with_user(files.withColumn("split", F.col("_metadata.file_block_start")), root)
 
 
-def newest_per_user(files: DataFrame) -> DataFrame:
-    """(file_path, path, file_size) of the newest file of every user; ties: the greater path."""
-    newest = F.max(F.struct("modified", "file_path", "path", "file_size"))
-    return (
-        files.groupBy("user_id")
-        .agg(newest.alias("newest"))
-        .select("newest.file_path", "newest.path", "newest.file_size")
-    )
-
-
-def only_files(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of the wanted files. A short list is broadcast, so texts are not shuffled."""
-    wanted = wanted.select("file_path")
-    if is_small(wanted, BROADCAST_PATHS):
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, "file_path", "left_semi")
-
-
 def parse_file_text(files: DataFrame) -> DataFrame:
     """Add `doc` (VARIANT array or NULL) and `file_error` for files of VARIANT size.
 
     The parser stops after the first value. With a marker appended behind the text, an
-    unclosed file or one with trailing text does not give exactly [array, marker].
+    unclosed file or one with trailing text does not give exactly [array, marker]. What begins
+    with anything but a bracket is no array, whether it is JSON or not; `explode_large` tells
+    the two apart in the same way.
     """
+    first = F.substring(F.btrim("value", F.lit(" \n\r\t")), 1, 1)
     whole = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(f',"{END_MARK}"]')))
     return (
         files.withColumn("_whole", whole)
@@ -130,12 +114,16 @@ def parse_file_text(files: DataFrame) -> DataFrame:
         .withColumn(
             "file_error",
             F.when(~F.is_valid_utf8("value"), BAD_UTF8)
+            .when((first != "[") & (first != ""), NOT_AN_ARRAY)
             .when(
-                F.try_variant_get("_whole", "$[1]", "string").eqNullSafe(END_MARK)
-                & F.try_variant_get("_whole", "$[2]", "variant").isNull(),
-                F.when(~F.schema_of_variant("_first").startswith("ARRAY"), NOT_AN_ARRAY),
-            )
-            .otherwise(BAD_JSON),
+                ~F.coalesce(
+                    F.try_variant_get("_whole", "$[1]", "string").eqNullSafe(END_MARK)
+                    & F.try_variant_get("_whole", "$[2]", "variant").isNull()
+                    & F.schema_of_variant("_first").startswith("ARRAY"),
+                    F.lit(False),
+                ),
+                BAD_JSON,
+            ),
         )
         .withColumn("doc", F.when(F.col("file_error").isNull(), F.col("_first")))
         .drop("_whole", "_first")
@@ -143,21 +131,23 @@ def parse_file_text(files: DataFrame) -> DataFrame:
 
 
 def explode_small(files: DataFrame) -> DataFrame:
-    """One row per array element: user_id, file_path, src_pos, rec (VARIANT), file_error.
+    """One row per array element: user_id, file_path, modified, src_pos, rec (VARIANT), file_error.
 
     An unreadable file gives one row with its `file_error` and neither position nor record,
     so files are read and parsed once for both.
     """
-    parsed = parse_file_text(files).select("user_id", "file_path", "doc", "file_error")
+    parsed = parse_file_text(files).select("user_id", "file_path", "modified", "doc", "file_error")
     elements = files.sparkSession.tvf.variant_explode_outer(F.col("doc").outer())
     return (
         parsed.lateralJoin(elements.alias("e"), how="left")
         .select(
             "user_id",
             "file_path",
+            "modified",
             F.col("e.pos").alias("src_pos"),
             F.col("e.value").alias("rec"),
             "file_error",
+            F.lit(False).alias("too_large"),
         )
         # An empty array is no error and has no elements.
         .where(F.col("src_pos").isNotNull() | F.col("file_error").isNotNull())

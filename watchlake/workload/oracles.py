@@ -53,6 +53,12 @@ recent AS (
   FROM hist QUALIFY rank <= 100
 )"""
 
+_TENANTS = """
+tenants AS (
+  SELECT * REPLACE (CASE WHEN n % 10 < 8 THEN 'large' WHEN n % 10 = 8 THEN 'middle'
+    ELSE 'small' END AS user_id) FROM hist
+)"""
+
 _CHANNELS_ALL = """
 channels AS (
   SELECT user_id, channel_name, count(*) AS watch_count,
@@ -250,6 +256,73 @@ drawn AS (
     + """SELECT user_id, n::INTEGER AS src_pos,
       ((CASE WHEN total > 20 THEN drawn_at ELSE file_at END) - 1)::INTEGER AS idx
     FROM drawn WHERE drawn_at <= 20""",
+    "sample_large": _with(
+        _RAW,
+        _TENANTS,
+        """
+drawn AS (
+  SELECT user_id, n, count(*) OVER (PARTITION BY user_id) AS total,
+    row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || n), n) AS drawn_at,
+    row_number() OVER (PARTITION BY user_id ORDER BY n) AS file_at
+  FROM tenants
+)""",
+    )
+    + """SELECT user_id, n::INTEGER AS src_pos,
+      ((CASE WHEN total > 4000 THEN drawn_at ELSE file_at END) - 1)::INTEGER AS idx
+    FROM drawn WHERE drawn_at <= 4000""",
+    "recent_history_cut": _with(_RAW, _TENANTS)
+    + f"""SELECT user_id, title, channel_name, watched_at,
+      (row_number() OVER (PARTITION BY user_id ORDER BY {_RECENT_ORDER}))::INTEGER AS rank
+    FROM tenants QUALIFY rank <= 100""",
+    "dense_vector_positions": _with(_RAW, _TENANTS)
+    + """SELECT user_id, n::INTEGER AS src_pos,
+      (row_number() OVER (PARTITION BY user_id ORDER BY n) - 1)::INTEGER AS idx FROM tenants""",
+    "embedding_failures": _with(_RAW)
+    + """SELECT n::INTEGER AS src_pos, n % 5 <> 0 AND contains(title, 'Post') AS embed_failed,
+      CASE WHEN n % 5 = 0 OR contains(title, 'Post') THEN 0 ELSE length(title) END::DOUBLE AS first,
+      CASE WHEN n % 5 = 0 OR contains(title, 'Post') THEN 0 ELSE 1 END::DOUBLE AS second
+    FROM hist""",
+    "timestamp_forms": """
+      SELECT event_id, CASE event_id % 8
+        WHEN 0 THEN ts - INTERVAL 19815 SECOND
+        WHEN 1 THEN date_trunc('second', ts) + INTERVAL 1800500 MILLISECOND
+        WHEN 2 THEN date_trunc('hour', ts)
+        WHEN 6 THEN date_trunc('minute', ts) - INTERVAL 32430 SECOND END AS parsed_at
+      FROM events""",
+    "json_literals": """
+      SELECT event_id, '"é' || CASE event_id % 31 + 1
+          WHEN 8 THEN '\\b' WHEN 9 THEN '\\t' WHEN 10 THEN '\\n' WHEN 12 THEN '\\f' WHEN 13 THEN '\\r'
+          ELSE '\\u00' || lpad(lower(to_hex(event_id % 31 + 1)), 2, '0') END
+        || '\\\\u001B\\\\' || event_id || '"' AS literal
+      FROM events""",
+    "ingest_files": _with(
+        _RAW,
+        """
+files AS (
+  SELECT user_id, n % 2 = 1 AS newer, user_id::INT % 3 AS kind,
+    count(*) AS rows, count(*) FILTER (outcome = 'valid') AS valid,
+    md5(string_agg(title, ',' ORDER BY title) FILTER (outcome = 'valid')) AS titles
+  FROM fields GROUP BY ALL
+),
+judged AS (
+  SELECT *, CASE WHEN newer AND kind = 1 THEN 0 WHEN newer AND kind = 2 THEN 0 ELSE rows END
+      AS input_rows,
+    CASE WHEN newer AND kind <> 0 THEN 0 ELSE valid END AS valid_rows,
+    CASE WHEN newer AND kind = 2 THEN 'bad_json' END AS file_error
+  FROM files
+),
+best AS (
+  SELECT user_id, arg_max(newer, newer) AS newer, arg_max(valid, newer) AS table_rows,
+    arg_max(titles, newer) AS titles_md5
+  FROM judged WHERE valid_rows > 0 GROUP BY user_id
+)""",
+    )
+    + """SELECT j.user_id, 'raw/' || j.user_id || CASE WHEN j.newer THEN '/b.json' ELSE '/a.json' END
+        AS file_path, input_rows, valid_rows, file_error,
+      CASE WHEN file_error IS NOT NULL THEN 'failed' WHEN valid_rows = 0 THEN 'no_valid_rows'
+           WHEN j.newer = b.newer THEN 'written' ELSE 'superseded' END AS outcome,
+      table_rows, titles_md5
+    FROM judged j LEFT JOIN best b USING (user_id)""",
     "cosine_to_anchor": """
       SELECT v.vec_id, round(list_cosine_similarity(
         v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 4) AS score
@@ -266,11 +339,13 @@ drawn AS (
     "cosine_topk_batch": _TOPK_BATCH,
     "cosine_topk_cells": _TOPK_BATCH,
     "vector_doc_roundtrip": """
-      SELECT label::VARCHAR AS user_id, 'text ' || vec_id AS text, 'title ' || vec_id AS title,
+      SELECT label::VARCHAR AS user_id,
+        (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS idx,
+        'text ' || vec_id AS text, 'title ' || vec_id AS title,
         NULL::VARCHAR AS channel_name, '' AS video_id,
         epoch_ms(vec_id * 1000) AS watched_at, len(embedding)::INTEGER AS dimension,
-        round(embedding[1]::DOUBLE, 5) AS first_value,
-        round(embedding[-1]::DOUBLE, 5) AS last_value
+        md5(list_aggregate(list_transform(embedding,
+          lambda x: round(x::DOUBLE * 100000)::BIGINT::VARCHAR), 'string_agg', ',')) AS values_md5
       FROM embeddings""",
     "question_check": """
       SELECT conv_id, turn,
@@ -376,10 +451,10 @@ answered AS (
         || watch_count || chr(10), '' ORDER BY rank) FILTER (rank <= 5) END AS summary
     FROM customer LEFT JOIN channels ON user_id = c_custkey::VARCHAR GROUP BY 1""",
     "message_array": """
-      SELECT conv_id, turn // 1000 AS part, count(*) + 1 AS message_count,
+      SELECT conv_id, count(*) + 1 AS message_count,
         string_agg(role, ',' ORDER BY turn) || ',user' AS roles,
         md5(string_agg(text, chr(10) ORDER BY turn) || chr(10) || '続けて') AS contents_md5
-      FROM conversations GROUP BY conv_id, turn // 1000""",
+      FROM conversations GROUP BY conv_id""",
     "query_fingerprints": "SELECT doc_id, sha256(text) AS fingerprint FROM documents",
     "arrival_normalise": """
       SELECT event_id, 'b' AS bucket, 'raw/' || user_id || '/' || event_id || '.json' AS key
@@ -400,11 +475,10 @@ answered AS (
           WHEN event_id % 8 = 5 THEN 'missing_keys'
           WHEN event_id % 8 = 6 THEN 'bad_json' END AS reason
         FROM events)""",
-    "data_status": _with(_RAW)
-    + f"""SELECT c_custkey::VARCHAR AS user_id, stored IS NOT NULL AS has_data,
+    "data_status": f"""SELECT c_custkey::VARCHAR AS user_id, stored IS NOT NULL AS has_data,
       CASE WHEN stored IS NOT NULL THEN '{fixed.STATUS_READY}'
            ELSE '{fixed.STATUS_MISSING}' END AS message
-    FROM customer LEFT JOIN (SELECT DISTINCT user_id AS stored FROM hist)
+    FROM customer LEFT JOIN (SELECT DISTINCT label::VARCHAR AS stored FROM embeddings)
       ON stored = c_custkey::VARCHAR""",
     "retention_expired": """
       SELECT 'raw/' || user_id || '/' || event_id || '.json' AS file_path, ts AS modified

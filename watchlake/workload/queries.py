@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
@@ -23,20 +24,26 @@ from watchlake.functions.text import (
 from watchlake.functions.timestamps import parse_iso, timestamp_text
 from watchlake.functions.vectors import cosine_similarity, feature_codes, hash_embedding
 from watchlake.operators import context
-from watchlake.operators.clean import ingest_stats as stats_of
-from watchlake.operators.documents import read_documents, vector_documents
-from watchlake.operators.embedding import build_vectors
+from watchlake.operators.clean import ingest_stats as stats_of, parse_records
+from watchlake.operators.documents import (
+    read_document_files,
+    read_documents,
+    vector_documents,
+    write_documents,
+)
+from watchlake.operators.embedding import ModelEmbedder, build_vectors, embed_texts
 from watchlake.operators.routing import check_questions
 from watchlake.operators.routing import route_questions as route
-from watchlake.operators.sampling import sample_per_user
+from watchlake.operators.sampling import dense_positions, sample_per_user
 from watchlake.operators.search import search_ranked
 from watchlake.plans import templates
 from watchlake.plans.answers import answer_batch as answers
-from watchlake.session import cut_lineage, spread
+from watchlake.plans.ingest import load_records, read_report
+from watchlake.session import cut_lineage, shared_dir, spread
 from watchlake.sources.arrivals import normalise_arrivals
-from watchlake.sources.raw_files import user_of_processed_key, user_of_raw_key
+from watchlake.sources.raw_files import explode_small, user_of_processed_key, user_of_raw_key
 from watchlake.sources.retention import expired_files
-from watchlake.sources.tables import as_result_strings, data_status as status_of
+from watchlake.sources.tables import as_result_strings, data_status as status_of, read_history
 from watchlake.sources.uploads import validate_uploads
 from watchlake.workload import mapping
 
@@ -123,6 +130,77 @@ def timestamp_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def timestamp_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event time with rarer ends: offsets with seconds and fractions, good and bad ones."""
+    ends = [
+        "'T'HH:mm:ss.SSSSSS'+05:30:15.000000'",
+        "'T'HH:mm:ss'-00:30:00.500000'",
+        "'T'HH",
+        "'T'HH:mm:ss'+24:00'",
+        "'T'HH:mm:ss'.12345'",
+        "'T'HH:mm:ss'+09:00:00.000'",
+        "'x'HH:mm'+09:00:30'",
+        "'T'HH:mm:ss'+0900'",
+    ]
+    n = F.col("event_id") % len(ends)
+    text = F.date_format("ts", "yyyy-MM-dd" + ends[0])
+    for position, end in enumerate(ends[1:], 1):
+        text = F.when(n == position, F.date_format("ts", "yyyy-MM-dd" + end)).otherwise(text)
+    return mapping.table(spark, folder, "events").select(
+        "event_id", parse_iso(text).alias("parsed_at")
+    )
+
+
+@_query
+def json_literals(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with each control character, and with what looks like its escape, as JSON."""
+    n = F.col("event_id")
+    text = F.concat(F.lit("é"), F.char(n % 31 + 1), F.lit("\\u001B\\"), n.cast("string"))
+    return mapping.table(spark, folder, "events").select(
+        "event_id", context.json_string(text).alias("literal")
+    )
+
+
+@_query
+def ingest_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Two export files of every user, by the job that reads, cleans, writes and reports.
+
+    The newer one is good, empty or cut off. What is returned is what became of each file, and
+    of the table's rows a count and a digest.
+    """
+    user = F.col("user_id").cast("int")
+    newer = F.col("src_pos") % 2 == 1
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("src_pos", "json"))), lambda r: r["json"])
+    text = F.concat(F.lit("["), F.array_join(ordered, ","))
+    files = (
+        mapping.raw_json(spark, folder)
+        .groupBy("user_id", newer.alias("newer"))
+        .agg(text.alias("text"))
+        .select(
+            "user_id",
+            F.concat_ws("/", F.lit("raw"), "user_id", F.when(F.col("newer"), "b.json").otherwise("a.json")).alias(
+                "file_path"
+            ),
+            F.timestamp_seconds(F.col("newer").cast("int")).alias("modified"),
+            F.when(F.col("newer") & (user % 3 == 1), "[]")
+            .when(F.col("newer") & (user % 3 == 2), F.col("text"))
+            .otherwise(F.concat("text", F.lit("]")))
+            .alias("value"),
+        )
+    )
+    out = f"{shared_dir(spark).rstrip('/')}/ingested-{uuid.uuid4().hex}"
+    parsed = parse_records(explode_small(files))
+    listed = files.select("user_id", "file_path", "modified")
+    load_records(parsed, listed, f"{out}/history", f"{out}/reports", "run")
+    rows = read_history(spark, f"{out}/history").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("table_rows"),
+        F.md5(F.array_join(F.sort_array(F.collect_list("title")), ",")).alias("titles_md5"),
+    )
+    files = read_report(spark, f"{out}/reports", "files", "run").drop("modified")
+    return files.join(rows, "user_id", "left")
+
+
 # --- Templates ----------------------------------------------------------------------------
 
 
@@ -230,6 +308,58 @@ def sample_exact(spark: SparkSession, folder: str) -> DataFrame:
     return sample_per_user(rows, "src_pos", limit=20)
 
 
+def _few_tenants(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaned rows of three tenants, the first with most of them."""
+    n = F.col("src_pos") % 10
+    tenant = F.when(n < 8, "large").when(n == 8, "middle").otherwise("small")
+    return mapping.history(spark, folder).withColumn("user_id", tenant)
+
+
+@_query
+def sample_large(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample at its production size."""
+    rows = _few_tenants(spark, folder).select("user_id", "src_pos")
+    return sample_per_user(rows, "src_pos")
+
+
+@_query
+def recent_history_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest hundred rows of tenants with more."""
+    return templates.recent_history(_few_tenants(spark, folder))
+
+
+@_query
+def dense_vector_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of each tenant numbered without gaps, in small parts."""
+    rows = _few_tenants(spark, folder).select("user_id", "src_pos")
+    return dense_positions(rows, "src_pos", part_rows=50)
+
+
+@_query
+def embedding_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text by a model that fails for some; these and blank ones get the zero vector."""
+
+    def load():
+        def model(texts: list[str]) -> list[list[float]]:
+            if any("Post" in text for text in texts):
+                raise ValueError("not taken")
+            return [[float(len(text)), 1.0] for text in texts]
+
+        return model
+
+    n = F.col("src_pos")
+    rows = mapping.history(spark, folder).select(
+        "src_pos", F.when(n % 5 == 0, " ").otherwise(F.col("title")).alias("title")
+    )
+    done = embed_texts(rows, "title", ModelEmbedder(load, dim=2, batch_size=16))
+    return done.select(
+        "src_pos",
+        "embed_failed",
+        F.get("embedding", F.lit(0)).cast("double").alias("first"),
+        F.get("embedding", F.lit(1)).cast("double").alias("second"),
+    )
+
+
 @_query
 def cosine_to_anchor(spark: SparkSession, folder: str) -> DataFrame:
     """Similarity of every vector to the vector with the lowest id of its tenant."""
@@ -280,6 +410,8 @@ def cosine_topk_cells(spark: SparkSession, folder: str) -> DataFrame:
         asked,
         k=fixed.ANSWER_SEARCH_K,
         broadcast_limit=0,
+        vectors_per_block=16,
+        questions_per_block=8,
     )
     return hits.select(
         "question_id",
@@ -291,10 +423,11 @@ def cosine_topk_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def vector_doc_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of all tenants written as JSON documents and read back."""
+    """Vectors of all tenants written as JSON document files, some hundred rows each, and read back."""
+    place = Window.partitionBy("user_id").orderBy("idx")
     rows = mapping.tenant_vectors(spark, folder).select(
         "user_id",
-        "idx",
+        (F.row_number().over(place) - 1).cast("int").alias("idx"),
         "embedding",
         F.concat(F.lit("text "), F.col("idx").cast("string")).alias("text"),
         F.concat(F.lit("title "), F.col("idx").cast("string")).alias("title"),
@@ -302,17 +435,20 @@ def vector_doc_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("").alias("video_id"),
         F.timestamp_seconds(F.col("idx")).alias("watched_at"),
     )
-    back = read_documents(vector_documents(rows, dim=64))
+    path = f"{shared_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    write_documents(vector_documents(rows, dim=64, rows_per_document=100), path)
+    back = read_documents(read_document_files(spark, path))
+    values = F.transform("embedding", lambda x: F.round(x.cast("double") * 100_000).cast("bigint"))
     return back.select(
         "user_id",
+        "idx",
         "text",
         "title",
         "channel_name",
         "video_id",
         "watched_at",
         F.size("embedding").alias("dimension"),
-        F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first_value"),
-        F.round(F.element_at("embedding", -1).cast("double"), 5).alias("last_value"),
+        F.md5(F.array_join(values.cast("array<string>"), ",")).alias("values_md5"),
     )
 
 
@@ -439,7 +575,6 @@ def message_array(spark: SparkSession, folder: str) -> DataFrame:
     extended = context.append_message(F.col("messages"), F.lit("続けて"))
     return lists.select(
         "conv_id",
-        "part",
         F.size(extended).cast("bigint").alias("message_count"),
         F.array_join(F.transform(extended, lambda m: m["role"]), ",").alias("roles"),
         F.md5(F.array_join(F.transform(extended, lambda m: m["content"]), "\n")).alias(
@@ -523,11 +658,11 @@ def upload_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def data_status(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as users; vectors exist for the users with cleaned rows."""
+    """Customers as users; vectors are stored for the tenants."""
     customers = mapping.table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("user_id")
     )
-    return status_of(customers, mapping.history(spark, folder))
+    return status_of(customers, mapping.tenant_vectors(spark, folder))
 
 
 @_query
