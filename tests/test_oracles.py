@@ -1,12 +1,13 @@
-"""Every registered query against its SQL."""
+"""Every query of the library against its SQL."""
 
 from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
 import check_oracles
 from conftest import SF_CHECK, SF_SMALL
+from watchlake.workload.oracles import ORACLES
+from watchlake.workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +16,12 @@ def connection():
 
 
 def test_only_registered_queries_have_sql():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(ORACLES) <= set(QUERIES)
     # Its SQL would have to repeat the search; test_questions covers it.
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"answer_prompts"}
+    assert set(QUERIES) - set(ORACLES) == {"answer_prompts"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, connection, name):
     result, _, _ = check_oracles.compare(spark, connection, SF_CHECK, name)
     assert result == "ok"
