@@ -7,9 +7,8 @@ bring candidates together.
 
 Documents with the same set are one class from the start. In each bucket of a band all classes are
 compared with one of them, the leader, not with each other. Links found that way join classes to
-components; then only pairs of a bucket that are still apart are left, and of those, pairs whose
-distances to the leader differ by more than a link allows can't be linked either, because the
-Jaccard distance obeys the triangle inequality. Everything else is compared.
+components. Of each leader's classes most then are in one component; the others are compared with
+all of them, in cells of bounded size, and only links between components leave a cell.
 """
 
 from __future__ import annotations
@@ -29,6 +28,8 @@ from watchlake.llm.tokens import mix, runs, slices, words
 #: 32 bands of 4 values, the smallest and largest of 2 permutations each. Two sets of similarity 0.8
 #: share no band with a chance of 0.59 ** 32, below one in ten millions.
 BANDS, ROWS = 32, 4
+#: Shingles of the two sides of a cell.
+MEMBER_SHINGLES, REST_SHINGLES = 4_000_000, 1_000_000
 _PERMUTATIONS = BANDS * ROWS // 2
 _numbers = mix(np.arange(1, 4 * _PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = _numbers[:_PERMUTATIONS] | np.uint64(1)
@@ -190,40 +191,7 @@ def near_duplicates(
     link = F.col("shared") * 100 >= union * percent
     roots = stored(components(found.where(link).select("a", "b")), "roots")
 
-    # what is left of each bucket: classes that are not yet in one component
-    placed = members.join(roots, members["class"] == roots["node"], "left").select(
-        "bucket", "class", "size", "leader", F.coalesce("root", "class").alias("root")
-    )
-    apart = (
-        placed.groupBy("bucket")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low != high")
-        .select("bucket")
-    )
-    far = found.select(F.col("a").alias("leader"), F.col("b").alias("class"), (F.col("shared") / union).alias("near"))
-    left = stored(
-        placed.join(apart, "bucket", "left_semi")
-        .join(far, ["leader", "class"], "left")
-        .withColumn("near", F.when(F.col("class") == F.col("leader"), 1.0).otherwise(F.col("near"))),
-        "left",
-    )
-    x, y = left.alias("x"), left.alias("y")
-    gap = F.abs(F.col("x.near") - F.col("y.near"))
-    rest = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.class") < F.col("y.class"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (F.col("x.class") != F.col("x.leader"))
-        & alike("x.size", "y.size")
-        & (gap.isNull() | (gap <= 1 - percent / 100 + 1e-9)),
-    )
-    rest = rest.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    rest = stored(rest.distinct(), "rest")
-    wanted = rest.select(F.col("a").alias("class")).union(rest.select("b")).distinct()
-    more = _sets(plain, classes, wanted.join(first, "class", "left_anti"), shingle)
-    again = first.unionByName(more)
-    late = stored(compared(rest, again).where(link).select("a", "b"), "late")
+    late = stored(_left_over(plain, classes, members, roots, first, shingle, percent), "late")
     if not late.isEmpty():
         roots = stored(components(found.where(link).select("a", "b").unionByName(late)), "allroots")
     smallest = roots.join(classes, roots["node"] == classes["class"]).groupBy("root").agg(
@@ -244,6 +212,114 @@ def near_duplicates(
     ).withColumn("kept", column(key).eqNullSafe(F.col("component_id")))
 
 
+def _left_over(plain, classes, members, roots, known, shingle, percent) -> DataFrame:
+    """Links (a, b) between classes that share a bucket but no component yet.
+
+    All classes of a bucket are in the group of its leader, whatever the band, so groups are taken
+    by leader. Most of a group are in one component, its main one; the rest of it is compared with
+    the whole group, in cells of a bounded number of shingles on both sides. Of a class's links one
+    to each component is returned.
+    """
+    placed = (
+        members.select("leader", "class", "size")
+        .distinct()
+        .join(roots, F.col("class") == F.col("node"), "left")
+        .select("leader", "class", "size", F.coalesce("root", "class").alias("root"))
+    )
+    placed = stored(placed, "placed")
+    per_root = placed.groupBy("leader", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")
+    )
+    groups = (
+        per_root.groupBy(F.col("leader").alias("of"))
+        .agg(
+            F.max(F.struct("n", "root")).alias("main"),
+            F.count(F.lit(1)).alias("roots"),
+            F.sum("size").alias("all"),
+            F.max(F.struct("n", "size")).alias("most"),
+        )
+        .where("roots > 1")
+        .select(
+            "of",
+            F.col("main.root").alias("main"),
+            F.ceil(F.col("all") / MEMBER_SHINGLES).cast("int").alias("columns"),
+            # one row of cells at least; sizes of the others are bounded by those of all
+            F.greatest(F.ceil((F.col("all") - F.col("most.size")) / REST_SHINGLES), F.lit(1))
+            .cast("int")
+            .alias("rows"),
+        )
+    )
+    mixed = stored(placed.join(groups, F.col("leader") == F.col("of")).drop("of"), "mixed")
+    wanted = mixed.select("class").distinct().join(known.select("class"), "class", "left_anti")
+    sets = known.unionByName(_sets(plain, classes, wanted, shingle)).select("class", "set")
+    mixed = mixed.join(sets, "class")
+
+    def block(count):
+        return F.pmod(F.xxhash64("class"), F.col(count)).cast("int")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    rest = mixed.where(F.col("root") != F.col("main")).withColumn("i", block("rows"))
+    cells = mixed.withColumn("j", block("columns")).select(
+        "leader", every("rows").alias("i"), "j", F.lit(0).alias("side"), "class", "root", "set"
+    ).unionByName(
+        rest.select("leader", "i", every("columns").alias("j"), F.lit(1).alias("side"), "class", "root", "set")
+    )
+    order = ["leader", "i", "j", "side"]
+    return (
+        cells.repartition(*order[:3])
+        .sortWithinPartitions(*order)
+        .mapInArrow(_cell_links(percent), "a binary, b binary")
+        .distinct()
+    )
+
+
+def _cell_links(percent: int):
+    """Rows come cell by cell, in each all members (side 0) before the rest (side 1)."""
+
+    def links(held: list, asking: list) -> Iterator[tuple[bytes, bytes]]:
+        sets = [np.frombuffer(x, np.uint64) for _, _, x in held]
+        sizes = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        roots, root_of = np.unique([r for _, r, _ in held], return_inverse=True)
+        for name, root, raw in asking:
+            own = np.frombuffer(raw, np.uint64)
+            first = np.searchsorted(values, own, "left")
+            counts = np.searchsorted(values, own, "right") - first
+            at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+            shared = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero(shared * 100 >= (sizes + len(own) - shared) * percent)
+            for r in np.unique(root_of[near], return_index=True)[1]:
+                other, its_root, _ = held[near[r]]
+                if its_root != root:
+                    yield min(name, other), max(name, other)
+
+    def run(batches):
+        cell, held, asking, out = None, [], [], []
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in ("leader", "i", "j", "side", "class", "root", "set")]
+            for leader, i, j, side, *row in zip(*columns, strict=True):
+                if (leader, i, j) != cell:
+                    if held and asking:
+                        out += links(held, asking)
+                    cell, held, asking = (leader, i, j), [], []
+                (asking if side else held).append(row)
+            if out:
+                yield _pairs(out)
+                out = []
+        if held and asking:
+            yield _pairs(list(links(held, asking)))
+
+    return run
+
+
+def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
 def _sets(plain: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The full sets of the classes `wanted`, made again from the texts of their first rows."""
     keys = classes.join(wanted, "class", "left_semi").select("key", F.col("class").alias("own"))
