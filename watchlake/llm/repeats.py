@@ -42,7 +42,7 @@ CUTS = (16, 1)
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _INVERSE = pow(BASE, -1, 1 << 64)
-_STRING = "key bigint, th bigint, weight bigint, off int, n int, text binary"
+_STRING = "key bigint, th bigint, weight bigint, members bigint, off int, n int, text binary"
 
 
 def _grams(values: np.ndarray, size: int) -> np.ndarray:
@@ -277,18 +277,19 @@ def _cut(length: int, windows: int):
 
 
 def repeated_windows(found: DataFrame, length: int, cuts=CUTS, group: int = GROUP) -> DataFrame:
-    """For strings (key, th, weight, off, n, text): (key, th, low, high), their repeated windows."""
+    """For strings (key, th, weight, members, off, n, text): (key, th, low, high), repeated windows.
+
+    `members` says how many different strings have the key.
+    """
     result = "key bigint, th bigint, low bigint, high bigint"
-    large = found.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > group)
-    large = stored(large.select("key"), "largegroups")
-    small = found
-    if cuts and not large.isEmpty():
-        small = found.join(large, "key", "left_anti")
+    large = found.where(F.col("members") > group)
+    whole = not cuts or large.isEmpty()
+    small = found if whole else found.where(F.col("members") <= group)
     index = small.repartition("key").sortWithinPartitions("key", "th").mapInArrow(_indexed(length), result)
-    if small is found:
+    if whole:
         return index
     # repeated rows have given their strings repeatedly
-    parts = found.join(large, "key", "left_semi").dropDuplicates(["key", "th"]).mapInArrow(
+    parts = large.dropDuplicates(["key", "th"]).mapInArrow(
         _cut(length, cuts[0]),
         "key bigint, th bigint, at int, key2 bigint, th2 bigint, weight bigint, off int, n int, text binary",
     )
@@ -297,7 +298,10 @@ def repeated_windows(found: DataFrame, length: int, cuts=CUTS, group: int = GROU
         parts.groupBy(F.col("key2").alias("key"), F.col("th2").alias("th"))
         .agg(F.sum("weight").alias("weight"), F.first("off").alias("off"), F.first("n").alias("n"), F.first("text").alias("text"))
     )
-    inner = repeated_windows(stored(single, "cut"), length, cuts[1:], group)
+    single = stored(single, "cut")
+    members = single.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("members"))
+    single = stored(single.join(members, F.col("key") == F.col("of")).drop("of"), "groups")
+    inner = repeated_windows(single, length, cuts[1:], group)
     inner = inner.select(F.col("key").alias("key2"), F.col("th").alias("th2"), "low", "high")
     back = parts.select("key", "th", "at", "key2", "th2").join(inner, ["key2", "th2"])
     return index.unionByName(back.select("key", "th", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high")))
@@ -311,8 +315,9 @@ def _texts_of(length: int):
                 for text, start, n in zip(batch["text"].to_pylist(), batch["start"].to_pylist(), batch["n"].to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch[name] for name in ("key", "th", "weight", "off", "n")] + [pa.array(raw, pa.binary())],
-                ["key", "th", "weight", "off", "n", "text"],
+                [batch[name] for name in ("key", "th", "weight", "members", "off", "n")]
+                + [pa.array(raw, pa.binary())],
+                ["key", "th", "weight", "members", "off", "n", "text"],
             )
 
     return run
@@ -337,16 +342,17 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
         ),
         "strings",
     )
-    several = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    wanted = distinct.join(several, "key", "left_semi").select(
-        "key", "th", "weight", F.col("one.id").alias("one_id"), F.col("one.dh").alias("one_dh"), "one.start", "one.off", "one.n"
+    sizes = distinct.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("members"))
+    sized = distinct.join(sizes, F.col("key") == F.col("of"))
+    wanted = sized.where("members > 1").select(
+        "key", "th", "weight", "members", F.col("one.id").alias("one_id"), F.col("one.dh").alias("one_dh"), "one.start", "one.off", "one.n"
     )
     found = rows.join(
         wanted, rows["id"].eqNullSafe(wanted["one_id"]) & (rows["dh"] == wanted["one_dh"])
-    ).select("key", "th", "weight", "off", "n", "start", "text")
+    ).select("key", "th", "weight", "members", "off", "n", "start", "text")
     found = stored(found.mapInArrow(_texts_of(length), _STRING), "found")
     partly = repeated_windows(found, length)
-    alone = distinct.join(several, "key", "left_anti").where("weight > 1")
+    alone = sized.where("members = 1 AND weight > 1")
     wholly = alone.select("key", "th", F.lit(0).cast("bigint").alias("low"), (F.col("one.n") - 1).cast("bigint").alias("high"))
     windows = partly.unionByName(wholly)
     spans = places.join(windows, ["key", "th"]).select(
