@@ -26,8 +26,9 @@ from watchlake.llm.common import Masked, small_batches
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Units a worker remembers, and the longest that it does; beyond, it starts anew.
-REMEMBERED, LONGEST = 300_000, 64
+#: Units of a generation that a worker remembers, and the longest that it does. When one is full,
+#: it becomes the old one, from which units that are met again are taken over.
+REMEMBERED, LONGEST = 250_000, 64
 
 
 @dataclass
@@ -79,6 +80,7 @@ class Coder:
         if vocabulary.bpe:
             self._learn_merges()
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.plain = [
             bytes([int(p[3:5], 16)]) if kind == "b" else p.replace(SPACE, " ").encode() if kind == "n" else b""
             for p, kind in zip(vocabulary.pieces, vocabulary.kinds, strict=True)
@@ -185,8 +187,8 @@ class Coder:
         start = array[first[which] + inside]
         return start, start + self.lengths[which], self.ids[which]
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """The ids of each unit, which must not be empty."""
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, which must not be empty, as 32-bit numbers."""
         text = np.frombuffer(("\0".join(units) + "\0").encode("utf-32-le"), np.uint32)
         sizes = np.array([len(u) for u in units])
         begin = np.cumsum(sizes + 1) - sizes - 1
@@ -198,7 +200,7 @@ class Coder:
         start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
         piece = np.concatenate([piece, np.full(len(lone), self.n)])
         step = end - begin[unit_of[start]]
-        order = np.lexsort((start, step))
+        order = np.argsort(step.astype(np.uint16) if step.max() < 1 << 16 else step, kind="stable")
         start, end, piece, step = start[order], end[order], piece[order], step[order]
         through = np.full(len(text) + 1, -1, np.int64)  # the piece on the path into each place
         source = np.full(len(text) + 1, -1, np.int64)
@@ -224,21 +226,36 @@ class Coder:
                 ok &= np.isfinite(total)
                 value[e[ok]] = total[ok]
             through[e[ok]], source[e[ok]] = p[ok], s[ok]
-        return [self._path(text, through, source, b, b + n) for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
-
-    def _path(self, text, through, source, begin, at) -> np.ndarray:
-        found = []
-        while at > begin:
-            piece = int(through[at])
-            if piece < 0:
-                raise ValueError(f"no way through {bytes(text[begin:at]).decode('utf-32-le')!r}")
-            if piece == self.n:
-                raw = chr(text[at - 1]).encode("utf-8", "surrogatepass")
-                found += [self.bytes[x] for x in reversed(raw)] if self.bytes else [self.v.unknown]
-            else:
-                found.append(piece)
-            at = int(source[at])
-        return np.array(found[::-1], np.int32)
+        return self._paths(text, through, source, begin, begin + sizes)
+
+    def _paths(self, text, through, source, begin, end) -> list[bytes]:
+        """Follow all paths back from the ends of the units at once."""
+        unit, at = np.arange(len(begin)), end
+        units, places = [], []
+        while len(unit):
+            if (through[at] < 0).any():
+                raise ValueError("a unit without a way through it")
+            units.append(unit)
+            places.append(at)
+            at = source[at]
+            more = at > begin[unit]
+            unit, at = unit[more], at[more]
+        place = np.sort(np.concatenate(places))  # units lie one behind the other
+        piece = through[place]
+        lone = np.flatnonzero(piece == self.n)
+        if len(lone):
+            # characters that no piece has, as their bytes
+            parts = [
+                [self.bytes[x] for x in chr(c).encode("utf-8", "surrogatepass")] if self.bytes else [self.v.unknown]
+                for c in text[place[lone] - 1].tolist()
+            ]
+            times = np.ones(len(piece), np.int64)
+            times[lone] = [len(p) for p in parts]
+            place, piece = np.repeat(place, times), np.repeat(piece, times)
+            piece[piece == self.n] = [x for p in parts for x in p]
+        ids = piece.astype("<i4").tobytes()
+        bounds = np.searchsorted(place, np.append(begin, len(text)), "right") * 4
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     # texts ----------------------------------------------------------------------------------
 
@@ -250,12 +267,15 @@ class Coder:
         # a gap's character is a unit of its own, so that it can't be taken for a gap
         units = [[p for u in own for p in (re.split("(\0)", u) if "\0" in u else (u,)) if p] for own in units]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = sorted({u for own in units for u in own if u not in self.known and u != "\0"})
+            self.old, self.known = self.known, {}
+        met = set().union(*units) - self.known.keys()
+        for unit in met & self.old.keys():
+            self.known[unit] = self.old[unit]
+        new = sorted(met - self.known.keys() - {"\0"})
         local = {"\0": np.array([self.bytes[0]] if self.bytes else [self.v.unknown], np.int32).tobytes()}
         for first, last in _parts(new):
             for unit, ids in zip(new[first:last], self.encode_units(new[first:last]), strict=True):
-                (self.known if len(unit) <= LONGEST else local)[unit] = ids.tobytes()
+                (self.known if len(unit) <= LONGEST else local)[unit] = ids
         known = self.known
         return [
             np.frombuffer(b"".join([known.get(u) or local[u] for u in own]), np.int32) for own in units
