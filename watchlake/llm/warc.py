@@ -96,29 +96,36 @@ def write_archive(
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archive: `header`, `payload` (also of revisits), `record` as in a file.
+    """Every record of the archive: `header`, `payload` (also of revisits) with its length and SHA-1
+    (`payload_bytes`, `payload_digest`), and `record`, the bytes as in a file.
 
     A payload that doesn't have its digest, or is missing, raises.
     """
     payloads = spark.read.schema("digest binary, payload binary").parquet(f"{path}/payloads")
-    checked = payloads.withColumn(
-        "payload",
-        F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload")).otherwise(
-            F.raise_error(F.lit("payload does not have its digest")).cast("binary")
-        ),
+    checked = payloads.select(
+        "digest",
+        F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload"))
+        .otherwise(F.raise_error(F.lit("payload does not have its digest")).cast("binary"))
+        .alias("payload"),
+    ).select(
+        # facts of a payload are made once, before the join, which then needn't move payloads for them
+        "*",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest"),
     )
     headers = spark.read.schema("header string, digest binary").parquet(f"{path}/headers")
-    whole = F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(
-        F.raise_error(F.lit("no payload for a digest")).cast("binary")
-    )
     is_revisit = field("WARC-Type") == "revisit"
-    empty = F.lit("").cast("binary")
+    missing = F.raise_error(F.lit("no payload for a digest"))
     return headers.join(checked, "digest", "left").select(
         "header",
-        whole.alias("payload"),
+        "payload",
+        F.coalesce("payload_bytes", missing.cast("bigint")).alias("payload_bytes"),
+        F.coalesce("payload_digest", missing.cast("string")).alias("payload_digest"),
         F.concat(
             F.col("header").cast("binary"),
-            F.when(is_revisit, empty).otherwise(F.col("payload")),
+            F.when(is_revisit, F.lit("").cast("binary")).otherwise(
+                F.coalesce("payload", missing.cast("binary"))
+            ),
             F.lit("\r\n\r\n").cast("binary"),
         ).alias("record"),
     )
@@ -137,8 +144,8 @@ def page_rows(records: DataFrame) -> DataFrame:
     """Read from each record what the archive says of it, with length and digest of its payload."""
     return records.select(
         record_key("WARC-Record-ID").alias("page_id"),
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_bytes",
+        "payload_digest",
         field("WARC-Type").alias("record_type"),
         F.when(field("WARC-Type") == "revisit", record_key("WARC-Refers-To")).alias("refers_to"),
         field("WARC-Target-URI").alias("url"),
