@@ -70,22 +70,25 @@ def write_archive(
         "*",
         F.unhex(F.sha2("payload", 256)).alias("digest"),
         F.octet_length("payload").cast("bigint").alias("length"),
+        # never null, so that join and deduplication below can share one shuffle
+        F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("name"),
     )
     first = rows.groupBy("digest").agg(F.max("key").alias("first_key"))
     # keys are part of the join that picks payloads, so many copies of one payload are spread
-    chosen = F.col("digest").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("first_key"))
-    winners = first.withColumnRenamed("digest", "d")
-    rows.join(winners, chosen, "left_semi").select("key", "digest", "payload").dropDuplicates(
-        ["digest", "key"]
+    winners = first.select(
+        "digest", F.coalesce(F.col("first_key").cast("string"), F.lit("null")).alias("name")
+    )
+    rows.select("digest", "name", "payload").join(winners, ["digest", "name"], "left_semi").dropDuplicates(
+        ["digest", "name"]
     ).select("digest", "payload").write.parquet(f"{path}/payloads")
 
     revisits = (F.col("length") >= min_bytes) & ~F.col("key").eqNullSafe(F.col("first_key"))
     kind = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
-    narrow = rows.select("key", "uri", "digest", "length", base32_sha1(F.col("payload")).alias("sha1"))
+    narrow = rows.select("key", "name", "uri", "digest", "length", base32_sha1(F.col("payload")).alias("sha1"))
     narrow.join(first, "digest").select(
         _header(
             kind,
-            F.coalesce(F.col("key").cast("string"), F.lit("null")),
+            F.col("name"),
             F.col("uri"),
             F.col("length"),
             F.col("sha1"),
