@@ -6,7 +6,10 @@ text for DuckDB in `oracles.py`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
@@ -69,6 +72,50 @@ def raw_json(spark: SparkSession, folder: str) -> DataFrame:
     return raw_fields(spark, folder).select("user_id", "src_pos", F.to_json(record).alias("json"))
 
 
+def export_files(records: DataFrame, root: str, name: str) -> None:
+    """Write `{root}/raw/{user_id}/{name}`, one export of all records (user_id, src_pos, json, ending).
+
+    A record is a line, so files of any size are written as a stream. `ending` is the same for all
+    records of a user: "closed", "cut" (no closing bracket) or "empty" (an array of no elements).
+    Spark gives a file its folder but not its name, so each is renamed at the end.
+    """
+    spark = records.sparkSession
+    of_user = Window.partitionBy("user_id").orderBy("src_pos")
+    first = F.row_number().over(of_user) == 1
+    last = F.lead(F.lit(1)).over(of_user).isNull()
+    empty = F.col("ending") == "empty"
+    line = F.when(empty, "[]").otherwise(
+        F.concat(
+            F.when(F.col("first"), "[").otherwise(""),
+            "json",
+            F.when(~F.col("last"), ",").when(F.col("ending") == "closed", "]").otherwise(""),
+        )
+    )
+    lines = (
+        # never null: else the writer would sort anew, by the user alone
+        records.withColumn("user_id", F.coalesce("user_id", F.lit("")))
+        .select("*", first.alias("first"), last.alias("last"))
+        .where(~empty | F.col("first"))
+        .select("user_id", line.alias("value"))
+    )
+    folder = f"{root}/unnamed-{uuid.uuid4().hex}"
+    lines.write.partitionBy("user_id").text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def rename(at) -> None:
+        user = at.getParent().getName().removeprefix("user_id=")
+        target = path(f"{root}/raw/{user}/{name}")
+        files.mkdirs(target.getParent())
+        if not files.rename(at, target):
+            raise OSError(f"{at} could not be renamed to {target}")
+
+    with ThreadPoolExecutor(16) as pool:
+        written = files.globStatus(path(f"{folder}/user_id=*/part-*"))
+        list(pool.map(lambda status: rename(status.getPath()), written))
+    files.delete(path(folder), True)
+
+
 def parsed(spark: SparkSession, folder: str) -> DataFrame:
     """All records through the JSON parser and the record rules."""
     records = raw_json(spark, folder).select(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from watchlake.functions.text import (
 from watchlake.functions.timestamps import parse_iso, timestamp_text
 from watchlake.functions.vectors import cosine_similarity, feature_codes, hash_embedding
 from watchlake.operators import context
-from watchlake.operators.clean import ingest_stats as stats_of, parse_records
+from watchlake.operators.clean import ingest_stats as stats_of
 from watchlake.operators.documents import (
     read_document_files,
     read_documents,
@@ -38,12 +40,12 @@ from watchlake.operators.sampling import dense_positions, sample_per_user
 from watchlake.operators.search import search_ranked
 from watchlake.plans import templates
 from watchlake.plans.answers import answer_batch as answers
-from watchlake.plans.ingest import load_records, read_report
+from watchlake.plans.ingest import ingest
 from watchlake.session import cut_lineage, shared_dir, spread
 from watchlake.sources.arrivals import normalise_arrivals
-from watchlake.sources.raw_files import explode_small, user_of_processed_key, user_of_raw_key
+from watchlake.sources.raw_files import key_below, user_of_processed_key, user_of_raw_key
 from watchlake.sources.retention import expired_files
-from watchlake.sources.tables import as_result_strings, data_status as status_of, read_history
+from watchlake.sources.tables import as_result_strings, data_status as status_of
 from watchlake.sources.uploads import validate_uploads
 from watchlake.workload import mapping
 
@@ -162,6 +164,30 @@ def json_literals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _titles_digest(batches):
+    """Rows of each user and the MD5 of their titles joined by commas; users come one after the other."""
+    user, n, digest = None, 0, None
+    done = []
+    for batch in batches:
+        for key, title in zip(batch["user_id"].to_pylist(), batch["title"].to_pylist(), strict=True):
+            if digest is None or key != user:
+                if digest is not None:
+                    done.append((user, n, digest.hexdigest()))
+                user, n, digest, comma = key, 0, hashlib.md5(), b""
+            n += 1
+            if title is not None:
+                digest.update(comma + title.encode())
+                comma = b","
+        if done:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*done, strict=True))), _TITLES)
+            done = []
+    if digest is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (user, n, digest.hexdigest())], _TITLES)
+
+
+_TITLES = ["user_id", "table_rows", "titles_md5"]
+
+
 @_query
 def ingest_files(spark: SparkSession, folder: str) -> DataFrame:
     """Two export files of every user, by the job that reads, cleans, writes and reports.
@@ -169,35 +195,29 @@ def ingest_files(spark: SparkSession, folder: str) -> DataFrame:
     The newer one is good, empty or cut off. What is returned is what became of each file, and
     of the table's rows a count and a digest.
     """
-    user = F.col("user_id").cast("int")
+    kind = F.col("user_id").cast("int") % 3
+    number = uuid.uuid4().hex
+    root, out = (f"{shared_dir(spark).rstrip('/')}/{name}-{number}" for name in ("exports", "ingested"))
+    records = mapping.raw_json(spark, folder)
     newer = F.col("src_pos") % 2 == 1
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("src_pos", "json"))), lambda r: r["json"])
-    text = F.concat(F.lit("["), F.array_join(ordered, ","))
-    files = (
-        mapping.raw_json(spark, folder)
-        .groupBy("user_id", newer.alias("newer"))
-        .agg(text.alias("text"))
-        .select(
-            "user_id",
-            F.concat_ws("/", F.lit("raw"), "user_id", F.when(F.col("newer"), "b.json").otherwise("a.json")).alias(
-                "file_path"
-            ),
-            F.timestamp_seconds(F.col("newer").cast("int")).alias("modified"),
-            F.when(F.col("newer") & (user % 3 == 1), "[]")
-            .when(F.col("newer") & (user % 3 == 2), F.col("text"))
-            .otherwise(F.concat("text", F.lit("]")))
-            .alias("value"),
-        )
-    )
-    out = f"{shared_dir(spark).rstrip('/')}/ingested-{uuid.uuid4().hex}"
-    parsed = parse_records(explode_small(files))
-    listed = files.select("user_id", "file_path", "modified")
-    load_records(parsed, listed, f"{out}/history", f"{out}/reports", "run")
-    rows = read_history(spark, f"{out}/history").groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("table_rows"),
-        F.md5(F.array_join(F.sort_array(F.collect_list("title")), ",")).alias("titles_md5"),
-    )
-    files = read_report(spark, f"{out}/reports", "files", "run").drop("modified")
+    ending = F.when(kind == 1, "empty").when(kind == 2, "cut").otherwise("closed")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files_at = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files_at.deleteOnExit(path)
+    try:
+        # one after the other, so that their times tell which is newer
+        mapping.export_files(records.where(~newer).withColumn("ending", F.lit("closed")), root, "a.json")
+        mapping.export_files(records.where(newer).withColumn("ending", ending), root, "b.json")
+        result = ingest(spark, root, out, "run")
+    finally:
+        files_at.delete(path, True)
+    rows = (
+        result.history.select("user_id", "title")
+        .repartition("user_id")
+        .sortWithinPartitions("user_id", "title")
+        .mapInArrow(_titles_digest, "user_id string, table_rows long, titles_md5 string")
+    )
+    files = result.files.drop("modified").withColumn("file_path", key_below(F.col("file_path"), root))
     return files.join(rows, "user_id", "left")
 
 
