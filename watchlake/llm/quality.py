@@ -5,13 +5,39 @@ Only DataFrame functions; every document is one row from start to end, nothing i
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from watchlake.llm.common import WORD, Masked
 
-#: Characters that may end a sentence, with closing quotes and brackets behind them.
-END_PUNCTUATION = r"[.!?…。！？:;][\"'”’»)\]]*[ \t\r]*\z"
+
+def _class(characters) -> str:
+    """A class of these characters for the patterns of Java, RE2 and Python, runs as ranges."""
+    runs = []
+    for code in sorted(set(map(ord, characters))):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    escaped = [[f"\\{c}" if (c := chr(code)) in "\\[]^-&~|" else c for code in run] for run in runs]
+    return "[" + "".join(first if first == last else f"{first}-{last}" for first, last in escaped) + "]"
+
+
+#: Unicode's sentence ends (danda, Arabic, Ethiopic, fullwidth and so on), ellipses, colons, semicolons.
+SENTENCE_ENDS = (
+    ".!?:;…‥⋯։؛؝؞؟۔܀܁܂߹।॥။၊።፤፥፦፧፨᙮។៕៖᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᭽᭾᭿᰻᰼᱾᱿․‼‽⁇⁈⁉⳹⳺⳻⸮⸼⹓⹔"
+    "\u0837\u0839\u083d\u083e\u1735\u1736\u1b4e\u1b4f\ua4ff\ua60e\ua60f\ua6f3\ua6f7\ua876\ua877\ua8ce\ua8cf\ua92f"
+    "\ua9c8\ua9c9\uaa5d\uaa5e\uaa5f\uaaf0\uaaf1\uabeb\u037e"
+    "。！．：；？｡︒︓︔︕︖︙﹒﹔﹕﹖﹗"
+)
+_CLOSING = [c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Pe", "Pf", "Pi")]
+_BLANKS = [c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Zs"]
+#: Behind an end: quotes and closing brackets, blanks of any width, no-break and invisible ones.
+BEHIND_ENDS = "".join(_CLOSING + _BLANKS) + "\"'＂＇\t\r\v\f\x85\u200b\u200e\u200f\u2060\ufeff"
+#: A sentence end, and any run of quotes, brackets and blanks behind it.
+END_PUNCTUATION = rf"{_class(SENTENCE_ENDS)}{_class(BEHIND_ENDS)}*\z"
 #: Menu lines: separators between short entries, arrows, or nothing but the name of an action.
 NAVIGATION = (
     r"^[^|»›·•]{0,40}([|»›·•][^|»›·•]{0,40}){2,}\z"
