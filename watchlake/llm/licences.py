@@ -197,16 +197,15 @@ class Scanner:
                     chains.append(grown)
                 else:
                     chains.append((first, last, end, length))
-                # as many open chains as a template has words at most
-                by_end = {}
-                for c in chains:
-                    if c[2] not in by_end or by_end[c[2]][3] < c[3]:
-                        if c[2] in by_end:
-                            spans.append((t, *by_end[c[2]]))
-                        by_end[c[2]] = c
-                    else:
-                        spans.append((t, *c))
-                running[t] = list(by_end.values())
+                # of chains with one template end, a chain goes if another has as much cover and
+                # ends as late in the file; the gap bounds how many stay
+                kept, ahead = set(), None
+                for i in sorted(range(len(chains)), key=lambda i: (chains[i][2], -chains[i][3], -chains[i][1])):
+                    if ahead is None or chains[ahead][2] != chains[i][2] or chains[ahead][1] < chains[i][1]:
+                        kept.add(i)
+                        ahead = i
+                spans += [(t, *c) for i, c in enumerate(chains) if i not in kept]
+                running[t] = [c for i, c in enumerate(chains) if i in kept]
         spans += [(t, *c) for t, chains in running.items() for c in chains]
         return [(t, first, last, min(1.0, covered / self.sizes[t])) for t, first, last, _, covered in spans]
 
