@@ -99,8 +99,8 @@ def write_archive(
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archive: `header`, `payload` (also of revisits) with its length and SHA-1
-    (`payload_bytes`, `payload_digest`), and `record`, the bytes as in a file.
+    """Every record of the archive: `header`, `payload` (also of revisits), and `record`, the bytes
+    as in a file.
 
     A payload that doesn't have its digest, or is missing, raises.
     """
@@ -110,25 +110,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload"))
         .otherwise(F.raise_error(F.lit("payload does not have its digest")).cast("binary"))
         .alias("payload"),
-    ).select(
-        # facts of a payload are made once, before the join, which then needn't move payloads for them
-        "*",
-        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
     )
     headers = spark.read.schema("header string, digest binary").parquet(f"{path}/headers")
     is_revisit = field("WARC-Type") == "revisit"
-    missing = F.raise_error(F.lit("no payload for a digest"))
+    missing = F.raise_error(F.lit("no payload for a digest")).cast("binary")
     return headers.join(checked, "digest", "left").select(
         "header",
-        "payload",
-        F.coalesce("payload_bytes", missing.cast("bigint")).alias("payload_bytes"),
-        F.coalesce("payload_digest", missing.cast("string")).alias("payload_digest"),
+        F.coalesce("payload", missing).alias("payload"),
         F.concat(
             F.col("header").cast("binary"),
-            F.when(is_revisit, F.lit("").cast("binary")).otherwise(
-                F.coalesce("payload", missing.cast("binary"))
-            ),
+            F.when(is_revisit, F.lit("").cast("binary")).otherwise(F.coalesce("payload", missing)),
             F.lit("\r\n\r\n").cast("binary"),
         ).alias("record"),
     )
@@ -144,11 +135,17 @@ def record_key(name: str) -> Column:
 
 
 def page_rows(records: DataFrame) -> DataFrame:
-    """Read from each record what the archive says of it, with length and digest of its payload."""
+    """Read from each record what the archive says of it, with length and digest of its payload.
+
+    The payload of a response is taken out of its rebuilt record, that of a revisit is the joined one.
+    """
+    head, end = F.octet_length("header"), F.octet_length(F.lit("\r\n\r\n"))
+    inside = F.substring("record", head + 1, F.octet_length("record") - head - end)
+    payload = F.when(field("WARC-Type") == "revisit", F.col("payload")).otherwise(inside)
     return records.select(
         record_key("WARC-Record-ID").alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
+        F.octet_length(payload).cast("bigint").alias("payload_bytes"),
+        base32_sha1(payload).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         F.when(field("WARC-Type") == "revisit", record_key("WARC-Refers-To")).alias("refers_to"),
         field("WARC-Target-URI").alias("url"),
