@@ -25,8 +25,10 @@ from pyspark.sql.types import StructType
 from watchlake.llm.common import Masked, column, small_batches, stored
 from watchlake.llm.tokens import mix, runs, slices, words
 
-#: 32 bands of 4 values, the smallest and largest of 2 permutations each. Two sets of similarity 0.8
-#: share no band with a chance of 0.59 ** 32, below one in ten millions.
+#: 32 bands of 4 values, the smallest and largest of 2 permutations each. Two large
+#: sets of similarity 0.8 share no band with a chance of 0.59 ** 32, 5e-8. Smallest and largest of one
+#: permutation are two members, so m of n shingles agree on both with m (m - 1) / (n (n - 1)): at worst,
+#: for 4 of 5, the chance is 0.64 ** 32, 6.3e-7.
 BANDS, ROWS = 32, 4
 #: Shingles of the two sides of a cell.
 MEMBER_SHINGLES, REST_SHINGLES = 4_000_000, 1_000_000
