@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -32,6 +32,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def numbered(df: DataFrame, order: list[Column], number: str, part: str = "__part") -> DataFrame:
+    """`df` with `number` from 0 in the order of `order`, which should tell rows apart, and `part`.
+
+    Ranges of the order go to one task each; a row's number is the rows of the ranges before and its
+    place in its own. `part` names the range; there are at most as many as shuffle partitions, so
+    their starts are broadcast. Rows are stored once, sorted.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = stored(ranged.withColumn("__at", F.monotonically_increasing_id()), "order")
+    table = table.withColumn(part, F.shiftright("__at", 33))
+    sizes = table.groupBy(F.col(part).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__of", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = table.join(F.broadcast(starts), F.col(part) == F.col("__of"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(number, F.col("__start") + inside).drop("__at", "__of", "__n", "__start")
+
+
 class Masked:
     """A table under column names of our own, so that no name in it can clash with one of ours.
 

@@ -181,6 +181,124 @@ SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT
 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
 """
 
+_WORD_CHARS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _crc32(column: str) -> str:
+    """The CRC of a string's UTF-8 bytes, by the table `t` of `CRC`."""
+    byte = f"('0x' || substr(hex(encode({column})), 2 * i + 1, 2))::BIGINT"
+    found = f"list_transform(range(octet_length(encode({column}))), lambda i: {byte})"
+    step = "xor(c // 256, t[(xor(c, y) % 256) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {found}), lambda c, y: {step}), 4294967295)"
+
+
+CRC = """crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"""
+
+OP11 = f"""
+WITH {CRC},
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD_CHARS}) AS w
+  FROM documents),
+dw AS (SELECT r, unnest(w) AS x FROM d),
+bw AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), {_WORD_CHARS})) AS x
+  FROM benchmark),
+coded AS MATERIALIZED (
+  SELECT x, {_crc32('x')} % 10000 AS b
+  FROM (SELECT x FROM dw UNION SELECT x FROM bw), crc),
+s AS (SELECT b, count(*) AS n FROM dw JOIN coded USING (x) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM bw JOIN coded USING (x) GROUP BY b),
+total AS (
+  SELECT (SELECT count(*) + 10000 FROM dw)::DOUBLE AS s, (SELECT count(*) + 10000 FROM bw)::DOUBLE AS t),
+gain AS (
+  SELECT s.b, floor(1000 * ln((coalesce(t.n, 0) + 1) * total.s / ((s.n + 1) * total.t))) AS g
+  FROM s LEFT JOIN t USING (b), total),
+sums AS (
+  SELECT r, count(*) AS n, floor(sum(g) / count(*)) AS weight
+  FROM dw JOIN coded USING (x) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln(
+      (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN sums USING (r)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, r) AS place,
+    count(*) FILTER (n_features >= 20) OVER () AS fit
+  FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= 10 * fit // 100 THEN place END::BIGINT AS rank
+FROM ranked
+"""
+
+
+def _merkle_levels(name: str, first: str, key: str, levels: int) -> str:
+    """The levels of trees from `first` (key, idx, n, h) on, and `<name>_root`."""
+    parts = [
+        f"""{name}{k} AS MATERIALIZED (
+  SELECT {key}, idx // 8 AS idx, (any_value(n) + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY idx)) AS h
+  FROM {name if k > 1 else first}{k - 1 if k > 1 else ''} WHERE n > 1 GROUP BY {key}, idx // 8)"""
+        for k in range(1, levels + 1)
+    ]
+    ends = [first, *(f"{name}{k}" for k in range(1, levels + 1))]
+    parts.append(f"{name}_root AS (" + " UNION ALL ".join(f"SELECT {key}, h FROM {e} WHERE n = 1" for e in ends) + ")")
+    return ",\n".join(parts)
+
+
+def _merkle_ways(name: str, first: str, nodes: str, own: str, key: str, levels: int) -> str:
+    """Siblings and folded digest of each way from `first` (r, key, idx, n, folded, sib) up the levels."""
+    parts = []
+    for k in range(levels):
+        way = f"{name}{k}" if k else first
+        level = f"{nodes}{k}" if k else own
+        parts.append(f"""{name}{k + 1} AS (
+  SELECT p.r, p.{key}, any_value(p.idx) // 8 AS idx, (any_value(p.n) + 7) // 8 AS n,
+    sha256(string_agg(CASE WHEN s.idx = p.idx THEN p.folded ELSE s.h END, '' ORDER BY s.idx)) AS folded,
+    any_value(p.sib) || coalesce(string_agg(s.h, '' ORDER BY s.idx) FILTER (s.idx <> p.idx), '') AS sib
+  FROM {way} p JOIN {level} s ON p.{key} IS NOT DISTINCT FROM s.{key} AND p.idx // 8 = s.idx // 8
+  WHERE p.n > 1 GROUP BY p.r, p.{key}
+  UNION ALL SELECT r, {key}, idx, n, folded, sib FROM {way} WHERE n = 1)""")
+    return ",\n".join(parts)
+
+
+def _field(name: str) -> str:
+    return f"coalesce(octet_length(encode(({name})::VARCHAR)) || ':' || ({name})::VARCHAR, '-')"
+
+
+#: As many levels as 8 ** 7 documents of a language and 8 ** 3 languages need.
+_DEEP, _TOPS = 7, 3
+_HEAD = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+OP13 = f"""
+WITH {CRC},
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, sha256({_HEAD} || {_field('text')}) AS leaf,
+    CASE WHEN {_crc32('doc_id::VARCHAR')} % 3 = 0
+      THEN sha256({_HEAD} || {_field(f"translate(text, '{_UPPER}', '{_LOWER}')")})
+      ELSE sha256({_HEAD} || {_field('text')}) END AS claimed
+  FROM documents, crc),
+n0 AS MATERIALIZED (
+  SELECT r, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS n, leaf AS h FROM d),
+{_merkle_levels('n', 'n0', 'lang', _DEEP)},
+t0 AS MATERIALIZED (
+  SELECT 0 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n, h
+  FROM n_root),
+{_merkle_levels('t', 't0', 'one', _TOPS)},
+w0 AS (SELECT n0.r, n0.lang, idx, n, claimed AS folded, '' AS sib FROM n0 JOIN d ON d.r = n0.r),
+{_merkle_ways('w', 'w0', 'n', 'n0', 'lang', _DEEP)},
+v0 AS (
+  SELECT w.r, one, t0.idx, t0.n, folded, sib, h AS subroot
+  FROM w{_DEEP} w JOIN t0 ON w.lang IS NOT DISTINCT FROM t0.lang),
+{_merkle_ways('v', 'v0', 't', 't0', 'one', _TOPS)}
+SELECT doc_id, leaf, subroot, t_root.h AS root, sha256(v.sib) AS proof_sha256, v.folded AS folded_root,
+  v.folded = t_root.h AS verified
+FROM d JOIN v{_TOPS} v ON v.r = d.r JOIN v0 ON v0.r = d.r, t_root
+"""
+
+
 ORACLES = {
     "op1_warc": OP1,
     "op2_topk": OP2,
@@ -189,4 +307,6 @@ ORACLES = {
     "op7_quality_rules": OP7,
     "op8_mixing": OP8,
     "op10_suffix_dedup": OP10,
+    "op11_resampling": OP11,
+    "op13_merkle": OP13,
 }

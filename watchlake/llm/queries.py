@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import chat, licences, mixing, neardup, pieces, quality, repeats, sharding, topk, warc
-from watchlake.llm.common import document_table, run_folder
+from watchlake.llm import (
+    chat,
+    fingerprints,
+    licences,
+    merkle,
+    mixing,
+    neardup,
+    pieces,
+    quality,
+    repeats,
+    resampling,
+    sharding,
+    topk,
+    warc,
+)
+from watchlake.llm.common import document_table, numbered, run_folder, stored
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +121,76 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(
+        document_table(spark, sf_dir), document_table(spark, sf_dir, "benchmark"), keep=["doc_id"]
+    )
+    names = ["n_features", "weight", "score", "rank"]
+    return drawn.select("doc_id", *(F.col(f"resampling.{name}").alias(name) for name in names))
+
+
+def next_documents(docs: DataFrame) -> DataFrame:
+    """(row, next, taken) for rows (row, doc_id, n_chars): the next row by descending doc_id, null last,
+    after the last the first, and a third of the row's length."""
+    placed = numbered(docs, [F.desc_nulls_last("doc_id"), F.col("row")], "at")
+    every = placed.count()
+    own = placed.select("row", F.expr("n_chars div 3").cast("int").alias("taken"), F.pmod(F.col("at") + 1, F.lit(max(every, 1))).alias("then"))
+    return own.join(placed.select(F.col("row").alias("next"), "at"), F.col("then") == F.col("at")).select("row", "next", "taken")
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a row's file and place in it tell rows apart in every scan
+    row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    docs = document_table(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
+    links = stored(next_documents(docs.select("row", "doc_id", F.length("text").cast("bigint").alias("n_chars"))), "next")
+    own = stored(fingerprints.fingerprint(docs, keep=["doc_id", "row"]), "fingerprints")
+    given = docs.join(links, docs["row"] == links["next"]).select(
+        links["row"].alias("to"), F.substring("text", F.lit(1), F.col("taken")).alias("begin"), "taken"
+    )
+    left = F.substring("text", F.lit(1), F.length("text") - F.col("taken"))
+    edited = docs.join(given, F.col("row") == F.col("to")).select(
+        "row", F.length("text").cast("bigint").alias("n_chars"), F.concat(left, F.col("begin")).alias("text")
+    )
+    edited = edited.select("*", F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))
+    changed = fingerprints.fingerprint(edited).select(
+        F.col("row").alias("of"), "n_chars", "edited_sha256", F.col("fingerprint").alias("edited")
+    )
+    after = own.select(F.col("row").alias("other"), F.col("fingerprint").alias("after"))
+    return (
+        own.join(changed, F.col("row") == F.col("of"))
+        .join(links.select(F.col("row").alias("one"), "next"), F.col("row") == F.col("one"))
+        .join(after, F.col("next") == F.col("other"))
+        .select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            F.col("fingerprint.code").alias("fingerprint"),
+            F.col("edited.code").alias("edited_fingerprint"),
+            fingerprints.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"),
+            fingerprints.likeness(F.col("fingerprint"), F.col("after")).alias("near_next"),
+        )
+    )
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = document_table(spark, sf_dir)
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", fingerprints.UPPER, fingerprints.LOWER)
+    claimed = merkle.leaf_digest(*(F.when(hit, lowered).otherwise(F.col(f)) if f == "text" else F.col(f) for f in fields))
+    found = merkle.manifest(docs.withColumn("claimed", claimed), fields, keep=["doc_id", "claimed"])
+    folded = found.select("doc_id", "merkle", merkle.fold(F.col("claimed"), F.col("merkle.path")).alias("folded_root"))
+    return folded.select(
+        "doc_id",
+        "merkle.leaf",
+        "merkle.subroot",
+        "merkle.root",
+        merkle.proof_digest(F.col("merkle.path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("merkle.root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
@@ -118,4 +202,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_resampling": op11_resampling,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_merkle": op13_merkle,
 }
