@@ -135,7 +135,7 @@ def test_collisions_tell_generalised_jaccard(spark):
     true = sum((left & right).values()) / sum((left | right).values())
     rows = [(0, " ".join(left.elements())), (1, " ".join(right.elements()))]
     df = spark.createDataFrame(rows, "k int, text string")
-    pair = fingerprints.fingerprint(df, samples=512).groupBy().pivot("k", [0, 1]).agg(F.first("fingerprint"))
+    pair = fingerprints.fingerprint(df, samples=512).groupBy().pivot("k", [0, 1]).agg(F.first("fingerprint.samples"))
     near = pair.select(fingerprints.likeness(F.col("0"), F.col("1"))).first()[0]
     assert abs(near - true) < 4 * math.sqrt(true * (1 - true) / 512)
 

@@ -103,13 +103,17 @@ def fingerprint(
     found = terms.groupBy(*names, "__row").agg(*smallest)
     numbers = F.array(*(F.coalesce(F.col(f"__s{j}").bitwiseAND(F.lit(_LOW32)), F.lit(-1).cast("bigint")) for j in range(samples)))
     found = found.select(*names, numbers.alias("__samples"))
-    digits = F.array_join(F.transform("__samples", lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
-    code = F.when(F.get("__samples", F.lit(0)) < 0, F.lit("")).otherwise(digits)
-    return table.back(found, F.struct(F.col("__samples").alias("samples"), code.alias("code")).alias("fingerprint"))
+    both = F.struct(F.col("__samples").alias("samples"), code_of(F.col("__samples")).alias("code"))
+    return table.back(found, both.alias("fingerprint"))
+
+
+def code_of(samples: Column) -> Column:
+    """Samples as hex digits; empty for a text without words."""
+    digits = F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.when(F.get(samples, F.lit(0)) < 0, F.lit("")).otherwise(digits)
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Share of samples in which two fingerprints agree; two texts without words are alike."""
-    same = F.zip_with(left["samples"], right["samples"], lambda a, b: F.when(a == b, 1).otherwise(0))
-    agreeing = F.aggregate(same, F.lit(0), lambda total, x: total + x)
-    return agreeing.cast("double") / F.size(left["samples"])
+    """Share of samples in which two fingerprints' `samples` agree; two texts without words are alike."""
+    same = F.zip_with(left, right, lambda a, b: F.when(a == b, 1).otherwise(0))
+    return F.aggregate(same, F.lit(0), lambda total, x: total + x).cast("double") / F.size(left)

@@ -143,7 +143,9 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     docs = document_table(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
     links = stored(next_documents(docs.select("row", "doc_id", F.length("text").cast("bigint").alias("n_chars"))), "next")
-    own = stored(fingerprints.fingerprint(docs, keep=["doc_id", "row"]), "fingerprints")
+    # codes are made from samples at the end, so that joins needn't carry both
+    own = fingerprints.fingerprint(docs, keep=["doc_id", "row"])
+    own = stored(own.select("doc_id", "row", F.col("fingerprint.samples").alias("own")), "fingerprints")
     given = docs.join(links, docs["row"] == links["next"]).select(
         links["row"].alias("to"), F.substring("text", F.lit(1), F.col("taken")).alias("begin"), "taken"
     )
@@ -153,9 +155,9 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     edited = edited.select("*", F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))
     changed = fingerprints.fingerprint(edited).select(
-        F.col("row").alias("of"), "n_chars", "edited_sha256", F.col("fingerprint").alias("edited")
+        F.col("row").alias("of"), "n_chars", "edited_sha256", F.col("fingerprint.samples").alias("edited")
     )
-    after = own.select(F.col("row").alias("other"), F.col("fingerprint").alias("after"))
+    after = own.select(F.col("row").alias("other"), F.col("own").alias("after"))
     return (
         own.join(changed, F.col("row") == F.col("of"))
         .join(links.select(F.col("row").alias("one"), "next"), F.col("row") == F.col("one"))
@@ -164,10 +166,10 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
             "doc_id",
             "n_chars",
             "edited_sha256",
-            F.col("fingerprint.code").alias("fingerprint"),
-            F.col("edited.code").alias("edited_fingerprint"),
-            fingerprints.likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"),
-            fingerprints.likeness(F.col("fingerprint"), F.col("after")).alias("near_next"),
+            fingerprints.code_of(F.col("own")).alias("fingerprint"),
+            fingerprints.code_of(F.col("edited")).alias("edited_fingerprint"),
+            fingerprints.likeness(F.col("own"), F.col("edited")).alias("near_edited"),
+            fingerprints.likeness(F.col("own"), F.col("after")).alias("near_next"),
         )
     )
 
