@@ -33,6 +33,12 @@ def most_watched_channels(history: DataFrame, user_id: str | None = None) -> Dat
         .groupBy("user_id", "channel_name")
         .agg(F.count(F.lit(1)).alias("watch_count"))
     )
+    return first_channels(counts, user_id)
+
+
+def first_channels(counts: DataFrame, user_id: str | None = None) -> DataFrame:
+    """The ten largest of counts (user_id, channel_name, watch_count)."""
+    counts = _of_user(counts, user_id)
     order = [F.desc("watch_count"), F.asc_nulls_last("channel_name")]
     return _first_rows(
         counts, order, fixed.TOP_CHANNELS, user_id, ["channel_name", "watch_count"]
@@ -79,6 +85,12 @@ def daily_watch_count(history: DataFrame, user_id: str | None = None) -> DataFra
         .groupBy("user_id", F.to_date("watched_at").alias("watch_date"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    return first_days(counts, user_id)
+
+
+def first_days(counts: DataFrame, user_id: str | None = None) -> DataFrame:
+    """The thirty newest days of counts (user_id, watch_date, count)."""
+    counts = _of_user(counts, user_id)
     return _first_rows(
         counts, [F.desc("watch_date")], fixed.RECENT_DAYS, user_id, ["watch_date", "count"]
     )

@@ -323,6 +323,68 @@ best AS (
            WHEN j.newer = b.newer THEN 'written' ELSE 'superseded' END AS outcome,
       table_rows, titles_md5
     FROM judged j LEFT JOIN best b USING (user_id)""",
+    "embed_incremental": """
+      WITH t AS (
+        SELECT event_id % 5 AS m, CASE WHEN event_id % 50 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN 'the same clip'
+          ELSE 'clip ' || event_id % 4001 END AS text FROM events),
+      b AS (
+        SELECT 0 AS batch, text FROM t WHERE m < 2
+        UNION ALL SELECT 1, text FROM t WHERE m IN (1, 2)
+        UNION ALL SELECT 2, text FROM t WHERE m >= 2),
+      first AS (SELECT text, min(batch) AS batch FROM b WHERE text <> ' ' GROUP BY text),
+      sent AS (SELECT batch, count(*) AS texts_sent FROM first GROUP BY batch)
+      SELECT batch, count(*) AS n_rows, count(*) FILTER (text = ' ') AS n_blank, 0::BIGINT AS n_different,
+        any_value(texts_sent) AS texts_sent
+      FROM b JOIN sent USING (batch) GROUP BY batch""",
+    "counts_incremental": _with(
+        _RAW,
+        """
+up AS (
+  SELECT *, n % 3 AS file FROM fields
+  WHERE n % 3 = 0 OR n % 3 = 1 AND user_id::INT % 2 = 0 OR n % 3 = 2 AND user_id::INT % 3 = 0
+),
+newest AS (SELECT user_id, max(file) AS file FROM up WHERE outcome = 'valid' GROUP BY user_id),
+last AS (SELECT up.* FROM up JOIN newest USING (user_id, file)),
+stats AS (
+  SELECT user_id, count(*) AS input_rows, count(*) FILTER (outcome = 'ad') AS ads_excluded,
+    count(*) FILTER (outcome = 'bad_time') AS bad_time, 0::BIGINT AS quarantined,
+    count(*) FILTER (outcome = 'valid') AS valid_rows,
+    count(DISTINCT channel_name) FILTER (outcome = 'valid') AS channels,
+    date_diff('day', DATE '2024-01-01', min(ts::DATE) FILTER (outcome = 'valid')) AS first_day,
+    date_diff('day', DATE '2024-01-01', max(ts::DATE) FILTER (outcome = 'valid')) AS last_day
+  FROM last GROUP BY user_id
+),
+top AS (
+  SELECT user_id, 'channel ' || channel_name AS name, count(*) AS n FROM last WHERE outcome = 'valid'
+  GROUP BY user_id, channel_name
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, channel_name NULLS LAST) <= 10
+),
+days AS (
+  SELECT user_id, ts::DATE::VARCHAR AS name, count(*) AS n FROM last WHERE outcome = 'valid'
+  GROUP BY user_id, ts::DATE
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts::DATE DESC) <= 30
+)""",
+    )
+    + """SELECT user_id, name, n FROM (UNPIVOT stats ON COLUMNS(* EXCLUDE user_id) INTO NAME name VALUE n)
+    UNION ALL SELECT * FROM top UNION ALL SELECT * FROM days
+    UNION ALL SELECT user_id, 'total', valid_rows FROM stats""",
+    "arrival_ingest": _with(
+        _RAW,
+        """
+files AS (
+  SELECT user_id, n % 2 = 1 AS newer, user_id::INT % 3 AS kind,
+    count(*) FILTER (outcome = 'valid') AS valid,
+    sum(('0x' || substr(md5(title), 1, 8))::BIGINT) FILTER (outcome = 'valid')::BIGINT AS titles
+  FROM fields GROUP BY ALL
+),
+best AS (
+  SELECT user_id, arg_max(valid, newer) AS views, arg_max(titles, newer) AS titles
+  FROM files WHERE valid > 0 AND NOT (newer AND kind <> 0) GROUP BY user_id
+)""",
+    )
+    + """SELECT f.user_id, count(*) FILTER (newer AND kind = 2) AS failed_files, count(*) AS files,
+      any_value(views) AS views, any_value(b.titles) AS titles, any_value(views) AS vectors
+    FROM files f LEFT JOIN best b USING (user_id) GROUP BY f.user_id""",
     "cosine_to_anchor": """
       SELECT v.vec_id, round(list_cosine_similarity(
         v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 4) AS score

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Callable
@@ -27,26 +28,31 @@ from watchlake.functions.timestamps import parse_iso, timestamp_text
 from watchlake.functions.vectors import cosine_similarity, feature_codes, hash_embedding
 from watchlake.operators import context
 from watchlake.operators.clean import ingest_stats as stats_of
+from watchlake.operators.clean import valid_rows
 from watchlake.operators.documents import (
     read_document_files,
     read_documents,
     vector_documents,
     write_documents,
 )
-from watchlake.operators.embedding import ModelEmbedder, build_vectors, embed_texts
+from watchlake.operators.embedding import HashEmbedder, ModelEmbedder, build_vectors, embed_texts
 from watchlake.operators.routing import check_questions
 from watchlake.operators.routing import route_questions as route
 from watchlake.operators.sampling import dense_positions, sample_per_user
 from watchlake.operators.search import search_ranked
 from watchlake.plans import templates
 from watchlake.plans.answers import answer_batch as answers
-from watchlake.plans.ingest import ingest
+from watchlake.plans.current import CurrentTables, record_counts
+from watchlake.plans.ingest import FAILED, REPORTS, ingest
 from watchlake.session import cut_lineage, shared_dir, spread
 from watchlake.sources.arrivals import normalise_arrivals
+from watchlake.sources.embedding_store import hash_store
 from watchlake.sources.raw_files import key_below, user_of_processed_key, user_of_raw_key
 from watchlake.sources.retention import expired_files
-from watchlake.sources.tables import as_result_strings, data_status as status_of
+from watchlake.sources.tables import as_result_strings, read_history, read_vectors
+from watchlake.sources.tables import data_status as status_of
 from watchlake.sources.uploads import validate_uploads
+from watchlake.streaming import arrival_stream
 from watchlake.workload import mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,6 +227,120 @@ def ingest_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(rows, "user_id", "left")
 
 
+# --- Kept current -------------------------------------------------------------------------
+
+
+def _fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the session ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+@_query
+def embed_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches of views through the embedding store: what each sent to the model, and its vectors.
+
+    Titles repeat within and between batches; every 50th is blank and every third row has one title.
+    """
+    n = F.col("src_pos")
+    title = F.when(n % 50 == 0, " ").when(n % 3 == 0, "the same clip").otherwise(F.concat(F.lit("clip "), n % 4001))
+    rows = cut_lineage(mapping.raw_fields(spark, folder).select("user_id", "src_pos", title.alias("text")))
+    store = hash_store(f"{_fresh_folder(spark, 'embeddings')}/vectors", dim=64)
+    batches = [n % 5 < 2, (n % 5 == 1) | (n % 5 == 2), n % 5 >= 2]
+    parts = []
+    for number, chosen in enumerate(batches):
+        batch = rows.where(chosen)
+        store.add(batch, "text", f"{number}")
+        made = embed_texts(store.attach(batch, "text", "stored"), "text", HashEmbedder(64))
+        counted = made.agg(
+            F.lit(number).alias("batch"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(is_blank(F.col("text"))).alias("n_blank"),
+            F.count_if(~F.col("stored").eqNullSafe(F.col("embedding"))).alias("n_different"),
+        )
+        # in one plan Spark takes scans of the growing store for equal, whenever it was listed
+        parts.append(cut_lineage(counted))
+    sent = store.known(spark).groupBy(F.col("batch").cast("int").alias("of")).agg(F.count(F.lit(1)).alias("texts_sent"))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    return every.join(sent, F.col("batch") == F.col("of")).drop("of")
+
+
+def _uploads(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """Parsed records of three batches: of all users, of every second and of every third one."""
+    parsed = cut_lineage(mapping.parsed(spark, folder))
+    user = F.col("user_id").cast("long")
+    chosen = [F.lit(True), user % 2 == 0, user % 3 == 0]
+    return [
+        parsed.where(fits & (F.col("src_pos") % 3 == number)).withColumn("file_path", F.lit(f"{number}.json"))
+        for number, fits in enumerate(chosen)
+    ]
+
+
+@_query
+def counts_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Template counts after three batches of uploads that replace users, the last one run twice."""
+    current = CurrentTables(f"{_fresh_folder(spark, 'current')}/state", every=2)
+    for number, records in [*enumerate(_uploads(spark, folder)), (2, None)]:
+        if records is not None:
+            last = records
+        rows = valid_rows(last)
+        valid = rows.select("user_id", "file_path").distinct()
+        files = record_counts(last).join(valid, ["user_id", "file_path"], "left_semi")
+        files = files.withColumn("modified", F.timestamp_seconds(F.lit(number)))
+        current.replace(files, rows, number)
+    stats = current.ingest_stats(spark)
+    measures = ["input_rows", "ads_excluded", "bad_time", "quarantined", "valid_rows", "channels"]
+    days = [F.datediff(F.col(name), F.lit("2024-01-01").cast("date")).cast("long").alias(name) for name in ("first_day", "last_day")]
+    long = stats.select("user_id", *measures, *days).unpivot("user_id", [*measures, "first_day", "last_day"], "name", "n")
+    channels = current.most_watched_channels(spark).select("user_id", F.concat(F.lit("channel "), "channel_name").alias("name"), F.col("watch_count").alias("n"))
+    per_day = current.daily_watch_count(spark).select("user_id", F.col("watch_date").cast("string").alias("name"), F.col("count").alias("n"))
+    totals = current.total_videos(spark).select("user_id", F.lit("total").alias("name"), F.col("total").alias("n"))
+    return long.unionByName(channels).unionByName(per_day).unionByName(totals)
+
+
+@_query
+def arrival_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Two uploads of every user, found by their notifications in two runs of the stream.
+
+    The first run has every notification twice and names files that aren't there. The second upload is
+    good, empty or cut off by user; its run also has all notifications of the first again, as a third
+    of the log always is of an unknown shape. Per user: rows, an order-free digest of their titles, vectors, bad files.
+    """
+    base = _fresh_folder(spark, "arrivals")
+    root, out, log = f"{base}/in", f"{base}/out", f"{base}/log"
+    kind = F.col("user_id").cast("long") % 3
+    records = cut_lineage(mapping.raw_json(spark, folder))
+    newer = F.col("src_pos") % 2 == 1
+    ending = F.when(kind == 1, "empty").when(kind == 2, "cut").otherwise("closed")
+    uploads = [records.where(~newer).withColumn("ending", F.lit("closed")), records.where(newer).withColumn("ending", ending)]
+    store = hash_store(f"{out}/embeddings", dim=16)
+
+    def body(name: str):
+        key = F.concat(F.lit("raw/"), "user_id", F.lit(f"/{name}"))
+        bus = F.format_string('{"source":"aws.s3","detail-type":"Object Created","detail":{"bucket":{"name":"b"},"object":{"key":"%s"}}}', key)
+        listed = F.format_string('{"Records":[{"s3":{"bucket":{"name":"b"},"object":{"key":"%s"}}}]}', key)
+        return F.when(F.col("user_id").cast("long") % 2 == 0, bus).otherwise(listed)
+
+    for number, upload in enumerate(uploads):
+        name = f"{'ab'[number]}.json"
+        mapping.export_files(upload, root, name)
+        users = upload.select("user_id").distinct()
+        names = ["a.json", "a.json", "gone.json"] if number == 0 else ["a.json", "b.json", "b.json"]
+        notes = [users.select(body(x).alias("body")) for x in names] + [users.select(F.lit('{"other": 1}').alias("body"))]
+        functools.reduce(DataFrame.unionAll, notes).write.mode("append").json(log)
+        run = arrival_stream.start(spark, log, root, out, f"{base}/checkpoint", store=store)
+        run.awaitTermination()
+    history = read_history(spark, f"{out}/history")
+    title = F.conv(F.substring(F.md5("title"), 1, 8), 16, 10).cast("long")
+    rows = history.groupBy("user_id").agg(F.count(F.lit(1)).alias("views"), F.sum(title).alias("titles"))
+    vectors = read_vectors(spark, f"{out}/vectors").groupBy("user_id").agg(F.count_if(~F.col("embed_failed")).alias("vectors"))
+    reports = spark.read.schema(REPORTS["files"]).parquet(f"{out}/reports/files")
+    bad = reports.groupBy("user_id").agg(F.count_if(F.col("outcome") == FAILED).alias("failed_files"), F.count_distinct("file_path").alias("files"))
+    return bad.join(rows, "user_id", "left").join(vectors, "user_id", "left")
+
+
 # --- Templates ----------------------------------------------------------------------------
 
 
