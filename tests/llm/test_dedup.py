@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from watchlake.llm import neardup, repeats
 
 
@@ -174,3 +176,41 @@ def test_remove_repeats(spark, monkeypatch):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         repeats.remove_repeats(df, length=63)
+
+
+def test_null_keys_do_not_meet_each_other(spark, monkeypatch):
+    """A class's text is found by key and digest: as many rows as classes, whatever the keys are."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(150)]
+    texts += [t + " more" for t in texts] + texts[:50]
+    for keys in (lambda i: None, lambda i: i % 2):
+        sets, asked = neardup._sets, []
+
+        def counted(plain, classes, wanted, shingle, sets=sets):
+            found = sets(plain, classes, wanted, shingle)
+            asked.append((wanted.count(), found.count()))
+            return found
+
+        monkeypatch.setattr(neardup, "_sets", counted)
+        df = spark.createDataFrame([(keys(i), t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+        found = neardup.near_duplicates(df).collect()
+        monkeypatch.setattr(neardup, "_sets", sets)
+        assert len(found) == len(texts) and len({r["component"] for r in found}) == 150
+        assert asked[0] == (300, 300) and all(n == m for n, m in asked)
+        assert neardup.keep_one(df).count() == 150
+
+
+def test_texts_of_equal_hash_are_told_apart(spark):
+    """Two texts with the same 32-bit hash, the same key, and one of them standing elsewhere too."""
+    made = spark.range(400_000).select(F.repeat(F.sha2(F.col("id").cast("string").cast("binary"), 256), 4).alias("text"))
+    pairs = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts"), F.count(F.lit(1)).alias("n"))
+    first, second = pairs.where("n > 1").first()["texts"][:2]
+    rng = random.Random(2)
+    elsewhere = "".join(rng.choices("ghijkl", k=300))
+    for key in (None, 2):
+        rows = [(key, first), (1, first), (key, second), (key, elsewhere)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        cut = repeats.remove_repeats(df, length=256).collect()
+        removed = {(r["doc_id"], r["removal"]["n_bytes"]): r["removal"]["n_removed"] for r in cut if r["removal"]["n_bytes"] == 300}
+        assert removed == {(key, 300): 0}
+        assert sorted(r["removal"]["n_removed"] for r in cut) == [0, 0, 256, 256]

@@ -29,7 +29,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     folder = run_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    copy = df.sparkSession.read.schema(df.schema).parquet(folder)
+    copy.stored_at = folder
+    return copy
+
+
+def release(*copies: DataFrame) -> None:
+    """Remove what `stored` wrote for these, once nothing that is still to be computed reads it."""
+    for copy in copies:
+        spark = copy.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(copy.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_digest(text: Column) -> Column:
+    """Half of a text's SHA-256: with it a row is told from others of its key. Rows equal in both are equal."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
 
 
 def numbered(df: DataFrame, order: list[Column], number: str, part: str = "__part") -> DataFrame:

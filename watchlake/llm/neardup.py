@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from watchlake.llm.common import Masked, column, small_batches, stored
+from watchlake.llm.common import WORD, Masked, column, release, small_batches, stored, text_digest
 from watchlake.llm.tokens import mix, runs, slices, words
 
 #: 32 bands of 4 values, the smallest and largest of 2 permutations each. Two large
@@ -117,7 +117,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         hung = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        spent = [edges, large]
         edges = stored(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        release(*spent)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -151,7 +153,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One row per row of `docs`: key, n_shingles, class, component,
+    """One row per row of `docs`: key, digest (of the text), n_shingles, class, component,
     component_id, kept.
 
     Words are what white space parts, A-Z in lower case; a text's set has all runs of `shingle`
@@ -163,12 +165,18 @@ def near_duplicates(
     clash. Rows with equal sets are compared once for all of them.
     """
     spark = docs.sparkSession
-    plain = docs.select(column(key).alias("key"), column(text).cast("string").alias("text"))
+    text = column(text).cast("string")
+    plain = docs.select(column(key).alias("key"), text_digest(text).alias("digest"), text.alias("text"))
     marked = stored(with_class(plain, "text", shingle, "class", "bands"), "classes")
     classes = stored(
         marked.where("class IS NOT NULL")
         .groupBy("class")
-        .agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("bands").alias("bands")),
+        .agg(
+            F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest")).alias("one"),
+            F.first("size").alias("size"),
+            F.first("bands").alias("bands"),
+        )
+        .select("class", "one.key", "one.digest", "size", "bands"),
         "sets",
     )
     buckets = classes.select("class", "size", F.explode("bands").alias("bucket"))
@@ -194,8 +202,11 @@ def near_duplicates(
     roots = stored(components(found.where(link).select("a", "b")), "roots")
 
     late = stored(_left_over(plain, classes, members, roots, first, shingle, percent), "late")
+    release(members, stars, first)
     if not late.isEmpty():
-        roots = stored(components(found.where(link).select("a", "b").unionByName(late)), "allroots")
+        spent, roots = roots, stored(components(found.where(link).select("a", "b").unionByName(late)), "allroots")
+        release(spent)
+    release(found, late)
     smallest = roots.join(classes, roots["node"] == classes["class"]).groupBy("root").agg(
         F.min("key").alias("component_id")
     )
@@ -207,6 +218,7 @@ def near_duplicates(
     )
     return marked.join(of_class, marked["class"] == of_class["c"], "left").select(
         F.col("key").alias(key),
+        F.col("digest"),
         F.col("size").alias("n_shingles"),
         "class",
         "component",
@@ -324,27 +336,43 @@ def _pairs(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def _sets(plain: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The full sets of the classes `wanted`, made again from the texts of their first rows."""
-    keys = classes.join(wanted, "class", "left_semi").select("key", F.col("class").alias("own"))
-    rows = plain.join(keys, plain["key"].eqNullSafe(keys["key"])).select("own", "text")
-    sets = with_class(rows, "text", shingle, "class", "set")
-    return sets.where("own = class").select("class", "size", "set").dropDuplicates(["class"])
+    firsts = classes.join(wanted, "class", "left_semi").select("key", "digest")
+    sets = with_class(_rows_of(plain, "key", "digest", firsts).select("text"), "text", shingle, "class", "set")
+    return sets.select("class", "size", "set")
+
+
+def _rows_of(rows: DataFrame, key: str, digest: str, wanted: DataFrame) -> DataFrame:
+    """Of `rows` one for each of the different `wanted` (key, digest); each row's text is moved once.
+
+    Keys may be null, and rows repeated. Rows equal in key and digest have equal texts.
+    """
+
+    def dealt(df: DataFrame, key: str, digest: str, names: list[str]) -> DataFrame:
+        at = [F.col(key).isNull(), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(digest)]
+        return df.select(*df.columns, *(c.alias(n) for c, n in zip(at, names, strict=True)))
+
+    own, met = ["__none", "__key", "__dig"], ["__none2", "__key2", "__dig2"]
+    left, right = dealt(rows, key, digest, own), dealt(wanted, "key", "digest", met).select(*met)
+    same = [F.col(a) == F.col(b) for a, b in zip(own, met, strict=True)]
+    # dealt by the same columns, so rows that stand repeatedly fall without another shuffle
+    return left.join(right, same, "left_semi").dropDuplicates(own).select(*rows.columns)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without all but one row of each group of near duplicates: that of the smallest key.
 
-    Of equal rows with that key one stays; rows without words all stay.
+    Of rows with that key one stays; rows without words all stay.
     """
     table = Masked(docs)
-    own_key = F.col(table.at(key))
+    own_key, own_text = table.at(key), table.at(text)
     marks = near_duplicates(docs, key, text, shingle, percent)
     chosen = (
         marks.where("kept AND class IS NOT NULL")
         .groupBy("component")
-        .agg(F.min(F.struct(column(key).alias("k"), F.col("class").alias("c"))).alias("one"))
-        .select("one.k", "one.c")
+        .agg(F.min(F.struct(column(key).alias("key"), "digest")).alias("one"))
+        .select("one.key", "one.digest")
     )
-    classed = with_class(table.df, table.at(text), shingle, "__class")
-    same = (F.col("__class") == F.col("c")) & own_key.eqNullSafe(F.col("k"))
-    kept = classed.where("__class IS NOT NULL").join(chosen, same, "left_semi").dropDuplicates(["__class"])
-    return table.back(kept.unionByName(classed.where("__class IS NULL")))
+    worded = F.coalesce(F.col(own_text).cast("string").rlike(WORD), F.lit(False))
+    rows = table.df.where(worded).withColumn("__digest", text_digest(F.col(own_text).cast("string")))
+    kept = _rows_of(rows, own_key, "__digest", stored(chosen, "chosen")).drop("__digest")
+    return table.back(kept.unionByName(table.df.where(~worded)))

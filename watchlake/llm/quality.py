@@ -36,7 +36,7 @@ _CLOSING = [c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("
 _BLANKS = [c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Zs"]
 #: Behind an end: quotes and closing brackets, blanks of any width, no-break and invisible ones.
 BEHIND_ENDS = "".join(_CLOSING + _BLANKS) + "\"'＂＇\t\r\v\f\x85\u200b\u200e\u200f\u2060\ufeff"
-#: A sentence end, and any run of quotes, brackets and blanks behind it.
+#: The same as a pattern for other engines: a sentence end, and any run of quotes, brackets and blanks behind it.
 END_PUNCTUATION = rf"{_class(SENTENCE_ENDS)}{_class(BEHIND_ENDS)}*\z"
 #: Menu lines: separators between short entries, arrows, or nothing but the name of an action.
 NAVIGATION = (
@@ -55,7 +55,8 @@ SYMBOLS = "#*$%&|<>"
 def line_first(
     docs: DataFrame,
     text: str = "text",
-    end_punctuation: str = END_PUNCTUATION,
+    sentence_ends: str = SENTENCE_ENDS,
+    behind_ends: str = BEHIND_ENDS,
     navigation: str = NAVIGATION,
     boilerplate: str = BOILERPLATE,
     short_line: int = 4,
@@ -66,8 +67,8 @@ def line_first(
 ) -> DataFrame:
     """One row per row of `docs`: its columns, and a struct `quality` with measures and verdict.
 
-    A line fails if it is longer than `short_line` words or shorter without end punctuation, reads
-    like a menu, holds a boilerplate phrase, or has symbols for more than `max_symbol_share` of its
+    A line fails if it is longer than `short_line` words and doesn't end with one of `sentence_ends`, any
+    of `behind_ends` after it left out, reads like a menu, holds a boilerplate phrase, or has symbols for more than `max_symbol_share` of its
     characters. Lines without words stay as they are. A document is rejected if its lines lose more
     than `max_loss` of its word characters, if it has fewer than `min_words` words, or if more than
     `max_repeat_percent` percent of its words lie in 5-word windows that it holds twice.
@@ -88,8 +89,10 @@ def line_first(
     )
 
     def fails(line):
-        # a heading of a few words needs no end punctuation
-        bare = ~line.rlike(end_punctuation) & (F.regexp_count(line, F.lit(WORD)) > short_line)
+        # only the line's tail is looked at; a heading of a few words needs no end punctuation
+        last = F.right(F.rtrim(line, F.lit(behind_ends)), F.lit(1))
+        ended = (last != "") & F.lit(sentence_ends).contains(last)
+        bare = ~ended & (F.regexp_count(line, F.lit(WORD)) > short_line)
         symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
         return (
             bare

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import Masked, small_batches, stored
+from watchlake.llm.common import Masked, small_batches, stored, text_digest
 from watchlake.llm.tokens import BASE, mix, powers
 
 #: Bytes of a gram; a window has length - GRAM + 1 of them.
@@ -333,7 +333,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     known = stored(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "anchors")
     kind = f"`id` {rows.schema['id'].dataType.simpleString()}"
     places = rows.mapInArrow(
-        _all_strings(length), f"key bigint, th bigint, {kind}, dh int, start bigint, off int, n int"
+        _all_strings(length), f"key bigint, th bigint, {kind}, dh binary, start bigint, off int, n int"
     )
     places = stored(places.join(known, "key", "left_semi"), "places")
     distinct = stored(
@@ -386,16 +386,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     left. Where these are no whole characters any more, their parts are left out of `text`.
 
     A null text is empty, has no bytes, and stays null. Texts shorter than `length` stay as they are.
-    Repeated rows are copies of each other. Keys may be null or repeated. A column `removal` is
+    Repeated rows are copies of each other. Keys may be null or repeated: rows of one key are told apart by
+    128 bits of their texts' SHA-256. A column `removal` is
     replaced.
     """
     table = Masked(docs, replaced=("removal",))
     names = table.columns()
     own_key, body = F.col(table.at(key)), F.col(table.at(text))
-    rows = table.df.select(own_key.alias("id"), F.hash(body).alias("dh"), body.cast("string").alias("text"))
+    rows = table.df.select(own_key.alias("id"), text_digest(body).alias("dh"), body.cast("string").alias("text"))
     spans = repeated_spans(rows, length).select(F.col("id").alias("__id"), F.col("dh").alias("__dh"), "spans")
     joined = (
-        table.df.withColumn("__own", F.hash(body))
+        table.df.withColumn("__own", text_digest(body))
         .join(spans, own_key.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__dh")), "left")
         .select(*names, "spans")
     )
