@@ -161,3 +161,44 @@ def test_best_scores_by_brute_force():
         ids = coder.encode([text])[0]
         total = sum(scores[i] if i else min(scores) - 10 for i in ids)
         assert abs(total - best("▁" + text)) < 1e-9
+
+
+def test_vocabularies_are_not_mixed_up(spark, monkeypatch):
+    """Two that differ only in early pieces, one after the other in the same workers."""
+    tail = [f"q{i}" for i in range(60)]
+    letters = ["<unk>", "▁", "a", "b", "q", *"0123456789", "ab", "▁a"]
+    both = {
+        "one": pieces.Vocabulary(letters + tail, [0.0] + [-float(i) for i in range(1, len(letters) + 60)], "x" + "n" * (len(letters) + 59), 0, False),
+        "two": pieces.Vocabulary(letters + tail, [0.0] + [-float(i % 15) for i in range(1, 17)] + [-float(i) for i in range(17, len(letters) + 60)], "x" + "n" * (len(letters) + 59), 0, False),
+    }
+    monkeypatch.setattr(pieces.Vocabulary, "load", lambda path, bpe: both[path])
+    df = spark.createDataFrame([(i, "ab aab b ab") for i in range(40)], "doc_id int, text string").repartition(8)
+    for name in ("one", "two", "one"):
+        expected = pieces.Coder(both[name]).encode(["ab aab b ab"])[0].tolist()
+        found = {tuple(r["ids"]) for r in pieces.encode(df, name, bpe=False).select("encoding.ids").collect()}
+        assert found == {tuple(expected)}
+    assert len({tuple(pieces.Coder(v).encode(["ab aab b ab"])[0].tolist()) for v in both.values()}) == 2
+
+
+def test_models_that_change_texts_are_refused():
+    def message(*fields):
+        out = b""
+        for number, value in fields:
+            if isinstance(value, bytes):
+                out += bytes([number << 3 & 127 | 2 | (128 if number > 15 else 0)]) + (bytes([number >> 4]) if number > 15 else b"") + bytes([len(value)]) + value
+            else:
+                out += bytes([number << 3 & 127 | (128 if number > 15 else 0)]) + (bytes([number >> 4]) if number > 15 else b"") + bytes([value])
+        return out
+
+    plain = (3, message((3, 1), (4, 0), (5, 1)))
+    pieces._check_plain(message((1, message((1, b"a"), (3, 1))), plain))
+    for bad in (
+        (plain, (1, message((1, b"a"), (3, 4)))),
+        ((3, message((2, b"rules"), (3, 1), (4, 0))),),
+        ((3, message((3, 0), (4, 0))),),
+        ((3, message((3, 1))),),
+        ((3, message((3, 1), (4, 0), (5, 0))),),
+        (plain, (2, message((24, 1)))),
+    ):
+        with pytest.raises(ValueError):
+            pieces._check_plain(message(*bad))

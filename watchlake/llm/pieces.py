@@ -16,10 +16,11 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.llm.common import Masked, small_batches
@@ -28,7 +29,7 @@ SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Units of a generation that a worker remembers, and the longest that it does. When one is full,
 #: it becomes the old one, from which units that are met again are taken over.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 
 @dataclass
@@ -43,10 +44,14 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str, bpe: bool = True) -> Vocabulary:
-        """Read a model file on the driver; its size is that of the vocabulary."""
+        """Read a model file on the driver; its size is that of the vocabulary.
+
+        Models that change texts before they cut them, or have pieces set by their user, are refused.
+        """
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        _check_plain(model.serialized_model_proto())
         ids = range(model.get_piece_size())
         kinds = "".join(
             "b" if model.is_byte(i) else "x" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else "n"
@@ -55,6 +60,66 @@ class Vocabulary:
         return cls([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], kinds, model.unk_id(), bpe)
 
 
+    @cached_property
+    def name(self) -> str:
+        """A digest of all of it; made on the driver, it goes with the vocabulary."""
+        whole = (self.bpe, self.unknown, self.kinds, self.pieces, self.scores)
+        return hashlib.sha256(repr(whole).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _fields(raw: bytes):
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+            continue
+        size = {1: 8, 5: 4}.get(tag & 7)
+        size = number() if size is None else size
+        yield tag >> 3, raw[at : at + size]
+        at += size
+
+
+#: Fixed numbers of the public model format: fields of the model, of a piece, of the normaliser, of the trainer.
+_PIECE, _TRAINER, _NORMALIZER, _KIND, _USER_DEFINED = 1, 2, 3, 3, 4
+_RULES, _DUMMY_PREFIX, _FEWER_BLANKS, _ESCAPED_BLANKS, _BLANK_BEHIND = 2, 3, 4, 5, 24
+
+
+def _check_plain(model: bytes) -> None:
+    """Raise for a model whose ids depend on more than its pieces and scores."""
+    normal, behind, defined = {}, False, False
+    for field, value in _fields(model):
+        if field == _NORMALIZER:
+            normal = dict(_fields(value))
+        elif field == _TRAINER:
+            behind = bool(dict(_fields(value)).get(_BLANK_BEHIND, 0))
+        elif field == _PIECE:
+            defined |= dict(_fields(value)).get(_KIND) == _USER_DEFINED
+    refused = {
+        "rules that change characters": bool(normal.get(_RULES)),
+        "no blank put before a text": not normal.get(_DUMMY_PREFIX, 1),
+        "blanks left out": bool(normal.get(_FEWER_BLANKS, 1)),
+        "blanks not escaped": not normal.get(_ESCAPED_BLANKS, 1),
+        "blanks as ends of pieces": behind,
+        "pieces set by the user": defined,
+    }
+    if any(refused.values()):
+        raise ValueError("not built for a model with " + ", ".join(name for name, found in refused.items() if found))
+
+
 class Coder:
     """Encodes and decodes with one vocabulary; lives in a Python worker."""
 
@@ -81,6 +146,7 @@ class Coder:
             self._learn_merges()
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # units that decoding does not give back
         self.plain = [
             bytes([int(p[3:5], 16)]) if kind == "b" else p.replace(SPACE, " ").encode() if kind == "n" else b""
             for p, kind in zip(vocabulary.pieces, vocabulary.kinds, strict=True)
@@ -261,13 +327,24 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, the same as the model's own; null gives none."""
+        return [ids for ids, _ in self.code(texts)]
+
+    def code(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
+        """The ids of each text, and whether decoding them gives the text again.
+
+        Decoding goes piece by piece, so a text comes back if each of its units does; units are decoded when they
+        are encoded, and only texts with one that does not come back are decoded as a whole.
+        """
         units = [
             _UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts
         ]
         # a gap's character is a unit of its own, so that it can't be taken for a gap
-        units = [[p for u in own for p in (re.split("(\0)", u) if "\0" in u else (u,)) if p] for own in units]
+        for i, text in enumerate(texts):
+            if text and "\0" in text:
+                units[i] = [p for u in units[i] for p in re.split("(\0)", u) if p]
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {}
+            self.odd &= self.old.keys()
         met = set().union(*units) - self.known.keys()
         for unit in met & self.old.keys():
             self.known[unit] = self.old[unit]
@@ -276,14 +353,30 @@ class Coder:
         for first, last in _parts(new):
             for unit, ids in zip(new[first:last], self.encode_units(new[first:last]), strict=True):
                 (self.known if len(unit) <= LONGEST else local)[unit] = ids
-        known = self.known
-        return [
-            np.frombuffer(b"".join([known.get(u) or local[u] for u in own]), np.int32) for own in units
-        ]
+                if self._bytes_of(np.frombuffer(ids, np.int32)) != unit.replace(SPACE, " ").encode():
+                    self.odd.add(unit)
+        coded = []
+        for text, own in zip(texts, units, strict=True):
+            try:
+                raw = b"".join(map(self.known.__getitem__, own))
+            except KeyError:
+                raw = b"".join([self.known.get(u) or local[u] for u in own])
+            ids = np.frombuffer(raw, np.int32)
+            if text is None:
+                same = True
+            elif SPACE in text or "\0" in text or not self.odd.isdisjoint(own):
+                same = self.decode(ids) == text.encode()
+            else:
+                same = True
+            coded.append((ids, same))
+        return coded
+
+    def _bytes_of(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.plain.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a text from its ids, without the blank put before it."""
-        plain = b"".join(map(self.plain.__getitem__, ids.tolist()))
+        plain = self._bytes_of(ids)
         return plain[1:] if plain[:1] == b" " else plain
 
 
@@ -305,11 +398,17 @@ _coders: dict[str, Coder] = {}
 def _coder(shared) -> Coder:
     """The coder of this worker for a vocabulary, made once."""
     vocabulary = shared.value
-    name = repr((vocabulary.bpe, vocabulary.kinds, vocabulary.pieces[-50:], vocabulary.scores[-50:]))
-    if name not in _coders:
+    if vocabulary.name not in _coders:
         _coders.clear()
-        _coders[name] = Coder(vocabulary)
-    return _coders[name]
+        _coders[vocabulary.name] = Coder(vocabulary)
+    return _coders[vocabulary.name]
+
+
+def _shared(spark: SparkSession, model: str, bpe: bool):
+    """The vocabulary of a model file for all workers, with its name."""
+    vocabulary = Vocabulary.load(model, bpe)
+    assert vocabulary.name
+    return spark.sparkContext.broadcast(vocabulary)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None, bpe: bool = True) -> DataFrame:
@@ -317,7 +416,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | No
 
     `model` is a SentencePiece file the driver can read. `encoding` has ids (as the model itself
     gives them), n_tokens, ids_sha256 over the ids as 32-bit little-endian numbers, and round_trip:
-    whether decoding the ids gives the text again. That is so for all texts without U+2581, which
+    whether decoding the ids gives the text again. A model with a normaliser, without the blank before a text, or
+    with pieces set by its user is refused. That is so for all texts without U+2581, which
     stands for a blank in pieces and comes back as one.
 
     A null text has null ids, no tokens, and a null round_trip; an empty text has none. Rows stand
@@ -327,7 +427,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | No
     table = Masked(docs, replaced=("encoding",))
     table.kept = [i for i in table.kept if keep is None or table.names[i] in keep]
     names = table.columns()
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model, bpe))
+    shared = _shared(docs.sparkSession, model, bpe)
     kind = pa.struct(
         [("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]
     )
@@ -336,11 +436,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | No
         coder = _coder(shared)
         for batch in batches:
             texts = batch[-1].to_pylist()
-            coded = coder.encode(texts)
+            done = coder.code(texts)
+            coded = [ids for ids, _ in done]
             facts = [hashlib.sha256(ids.tobytes()).hexdigest() for ids in coded]
-            same = [
-                None if t is None else coder.decode(ids) == t.encode() for t, ids in zip(texts, coded, strict=True)
-            ]
+            same = [None if t is None else good for t, (_, good) in zip(texts, done, strict=True)]
             sizes = np.array([len(ids) for ids in coded])
             missing = np.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(
@@ -366,7 +465,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", bpe: bool = True) -> D
     small_batches(rows.sparkSession)
     table = Masked(rows, replaced=("text",))
     names = table.columns()
-    shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model, bpe))
+    shared = _shared(rows.sparkSession, model, bpe)
 
     def run(batches):
         coder = _coder(shared)
