@@ -204,6 +204,36 @@ def _search_broadcast(vectors: DataFrame, questions: DataFrame, k: int) -> DataF
     )
 
 
+def cell_scorer(k: int):
+    """Scores the vectors of a cell against its questions, all of one user: k candidates per question."""
+
+    def score(cell_vectors: pa.Table, cell_questions: pa.Table) -> pa.Table:
+        meta = _nullable(_one_array(cell_vectors.column("meta")))
+        idx = cell_vectors.column("idx").to_numpy()
+        block = _Block(idx, _one_array(cell_vectors.column("embedding")))
+        asked = [
+            (question_id.as_py(), _vector(embedding))
+            for question_id, embedding in zip(
+                cell_questions.column("question_id"), cell_questions.column("embedding")
+            )
+        ]
+        hits = _Hits(k)
+        if asked:
+            hits.add(block, meta, cell_questions.column("user_id")[0].as_py(), asked)
+        empty = pa.schema(
+            [
+                ("question_id", pa.int64()),
+                ("user_id", pa.string()),
+                ("idx", pa.int64()),
+                ("score", pa.float64()),
+                ("meta", meta.type),
+            ]
+        )
+        return pa.Table.from_batches(hits.batches(), empty)
+
+    return score
+
+
 def _search_cells(
     vectors: DataFrame,
     questions: DataFrame,
@@ -252,36 +282,12 @@ def _search_cells(
         .withColumn("block", F.explode(F.sequence(zero, F.col("last_block"))))
     )
 
-    def score(cell_vectors: pa.Table, cell_questions: pa.Table) -> pa.Table:
-        meta = _nullable(_one_array(cell_vectors.column("meta")))
-        idx = cell_vectors.column("idx").to_numpy()
-        block = _Block(idx, _one_array(cell_vectors.column("embedding")))
-        asked = [
-            (question_id.as_py(), _vector(embedding))
-            for question_id, embedding in zip(
-                cell_questions.column("question_id"), cell_questions.column("embedding")
-            )
-        ]
-        hits = _Hits(k)
-        if asked:
-            hits.add(block, meta, cell_questions.column("user_id")[0].as_py(), asked)
-        empty = pa.schema(
-            [
-                ("question_id", pa.int64()),
-                ("user_id", pa.string()),
-                ("idx", pa.int64()),
-                ("score", pa.float64()),
-                ("meta", meta.type),
-            ]
-        )
-        return pa.Table.from_batches(hits.batches(), empty)
-
     keys = ["user_id", "block", "part"]
     return (
         left.select(*keys, "idx", "embedding", "meta")
         .groupBy(*keys)
         .cogroup(right.select(*keys, "question_id", "embedding").groupBy(*keys))
-        .applyInArrow(score, schema)
+        .applyInArrow(cell_scorer(k), schema)
     )
 
 

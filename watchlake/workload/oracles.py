@@ -400,6 +400,7 @@ best AS (
       QUALIFY rank <= 20""",
     "cosine_topk_batch": _TOPK_BATCH,
     "cosine_topk_cells": _TOPK_BATCH,
+    "cosine_topk_index": _TOPK_BATCH,
     "vector_doc_roundtrip": """
       SELECT label::VARCHAR AS user_id,
         (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS idx,

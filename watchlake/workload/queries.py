@@ -36,6 +36,7 @@ from watchlake.operators.documents import (
     write_documents,
 )
 from watchlake.operators.embedding import HashEmbedder, ModelEmbedder, build_vectors, embed_texts
+from watchlake.operators.metric_index import search_index, write_index
 from watchlake.operators.routing import check_questions
 from watchlake.operators.routing import route_questions as route
 from watchlake.operators.sampling import dense_positions, sample_per_user
@@ -561,6 +562,22 @@ def cosine_topk_cells(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def cosine_topk_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search by the metric index, written and read back."""
+    path = f"{_fresh_folder(spark, 'index')}/vectors"
+    vectors = mapping.tenant_vectors(spark, folder)
+    write_index(vectors, path, block_rows=64)
+    asked = vectors.withColumnRenamed("idx", "question_id")
+    hits = search_index(spark, path, asked, k=fixed.ANSWER_SEARCH_K).hits
+    return hits.select(
+        "question_id",
+        F.col("rank").cast("bigint").alias("rank"),
+        F.col("idx").alias("vec_id"),
+        F.round("score", 4).alias("score"),
+    )
+
+
 @_query
 def vector_doc_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of all tenants written as JSON document files, some hundred rows each, and read back."""
