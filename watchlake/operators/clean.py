@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
@@ -158,3 +158,29 @@ def ingest_stats(parsed: DataFrame) -> DataFrame:
     )
     channels = F.when(F.col("valid_rows") > 0, F.col("_channels"))
     return stats.withColumn("channels", channels).drop("_channels")
+
+
+def observed_totals(parsed: DataFrame, observation: Observation) -> DataFrame:
+    """`parsed` as it is; when it is written, `observation` gets the totals of its records.
+
+    They are counted by the tasks that write, so no second pass over the records is needed. Rows that stand for
+    files that failed are counted apart. Distinct channels can't be counted this way; `ingest_stats` has them.
+    """
+    is_record = F.col("file_error").isNull() if "file_error" in parsed.columns else F.lit(True)
+    valid = is_record & (F.col("outcome") == VALID)
+    day = F.when(valid, F.to_date("watched_at"))
+
+    def count_of(outcome: str) -> Column:
+        return F.count_if(is_record & (F.col("outcome") == outcome))
+
+    return parsed.observe(
+        observation,
+        F.count_if(is_record).alias("input_rows"),
+        count_of(AD).alias("ads_excluded"),
+        count_of(BAD_TIME).alias("bad_time"),
+        count_of(QUARANTINED).alias("quarantined"),
+        count_of(VALID).alias("valid_rows"),
+        F.min(day).alias("first_day"),
+        F.max(day).alias("last_day"),
+        F.count_if(~is_record).alias("failed_files"),
+    )

@@ -265,6 +265,20 @@ drawn AS (
     row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || n), n) AS drawn_at,
     row_number() OVER (PARTITION BY user_id ORDER BY n) AS file_at
   FROM tenants
+)""",
+    )
+    + """SELECT user_id, n::INTEGER AS src_pos,
+      ((CASE WHEN total > 4000 THEN drawn_at ELSE file_at END) - 1)::INTEGER AS idx
+    FROM drawn WHERE drawn_at <= 4000""",
+    "sample_incremental": _with(
+        _RAW,
+        _TENANTS,
+        """
+drawn AS (
+  SELECT user_id, n, count(*) OVER (PARTITION BY user_id) AS total,
+    row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || n), n) AS drawn_at,
+    row_number() OVER (PARTITION BY user_id ORDER BY n) AS file_at
+  FROM tenants
 )""",
     )
     + """SELECT user_id, n::INTEGER AS src_pos,
@@ -323,6 +337,24 @@ best AS (
            WHEN j.newer = b.newer THEN 'written' ELSE 'superseded' END AS outcome,
       table_rows, titles_md5
     FROM judged j LEFT JOIN best b USING (user_id)""",
+    "ingest_totals": _with(_RAW)
+    + """SELECT count(*) AS input_rows, count(*) FILTER (outcome = 'ad') AS ads_excluded,
+      count(*) FILTER (outcome = 'bad_time') AS bad_time, 0::BIGINT AS quarantined,
+      count(*) FILTER (outcome = 'valid') AS valid_rows,
+      min(ts::DATE) FILTER (outcome = 'valid') AS first_day,
+      max(ts::DATE) FILTER (outcome = 'valid') AS last_day, 0::BIGINT AS failed_files FROM fields""",
+    "route_keyword_table": r"""
+      WITH b AS (
+        SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')) AS w FROM benchmark),
+      a AS (
+        SELECT left(unnest(regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')), 6) AS w
+        FROM conversations WHERE role = 'assistant'),
+      k AS (
+        SELECT w, substr(md5(w), 1, 6) AS route, substr(md5(w), 7, 1) AS turn FROM (
+          SELECT w FROM b WHERE length(w) > 3 UNION SELECT w FROM a WHERE length(w) > 4)),
+      q AS (SELECT conv_id * 100000 + turn AS question_id, text FROM conversations WHERE role = 'user')
+      SELECT question_id, min(turn || route)[2:] AS route
+      FROM q LEFT JOIN k ON contains(lower(q.text), k.w) GROUP BY question_id""",
     "embed_incremental": """
       WITH t AS (
         SELECT event_id % 5 AS m, CASE WHEN event_id % 50 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN 'the same clip'

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
@@ -28,7 +28,7 @@ from watchlake.functions.timestamps import parse_iso, timestamp_text
 from watchlake.functions.vectors import cosine_similarity, feature_codes, hash_embedding
 from watchlake.operators import context
 from watchlake.operators.clean import ingest_stats as stats_of
-from watchlake.operators.clean import valid_rows
+from watchlake.operators.clean import observed_totals, valid_rows
 from watchlake.operators.documents import (
     read_document_files,
     read_documents,
@@ -36,6 +36,7 @@ from watchlake.operators.documents import (
     write_documents,
 )
 from watchlake.operators.embedding import HashEmbedder, ModelEmbedder, build_vectors, embed_texts
+from watchlake.operators.keyword_table import route_by_table
 from watchlake.operators.metric_index import search_index, write_index
 from watchlake.operators.routing import check_questions
 from watchlake.operators.routing import route_questions as route
@@ -44,6 +45,7 @@ from watchlake.operators.search import search_ranked
 from watchlake.plans import templates
 from watchlake.plans.answers import answer_batch as answers
 from watchlake.plans.current import CurrentTables, record_counts
+from watchlake.plans.current_sample import CurrentSample
 from watchlake.plans.ingest import FAILED, REPORTS, ingest
 from watchlake.session import cut_lineage, shared_dir, spread
 from watchlake.sources.arrivals import normalise_arrivals
@@ -342,6 +344,29 @@ def arrival_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return bad.join(rows, "user_id", "left").join(vectors, "user_id", "left")
 
 
+@_query
+def ingest_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of all records, counted by the tasks that store them."""
+    observation = Observation()
+    parsed = observed_totals(mapping.parsed(spark, folder), observation)
+    parsed.write.parquet(f"{_fresh_folder(spark, 'observed')}/parsed")
+    schema = (
+        "input_rows long, ads_excluded long, bad_time long, quarantined long, valid_rows long, "
+        "first_day date, last_day date, failed_files long"
+    )
+    return spark.createDataFrame([Row(**observation.get)], schema)
+
+
+@_query
+def sample_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample of `sample_large` after three batches of rows, the second one brought in twice."""
+    rows = cut_lineage(_few_tenants(spark, folder).select("user_id", "src_pos"))
+    sample = CurrentSample(f"{_fresh_folder(spark, 'sample')}/state", "user_id string, src_pos int", "src_pos", every=1)
+    for batch, part in enumerate([0, 1, 1, 2]):
+        sample.add(rows.where(F.col("src_pos") % 3 == part), batch)
+    return sample.sample(spark)
+
+
 # --- Templates ----------------------------------------------------------------------------
 
 
@@ -633,6 +658,26 @@ def route_questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def route_keyword_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions routed by a table of some thousand keywords: words of `benchmark`, beginnings of those of answers."""
+
+    def words(text: DataFrame) -> DataFrame:
+        lowered = F.lower(F.coalesce("text", F.lit("")))
+        return text.select(F.explode(F.regexp_extract_all(lowered, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+
+    answers = mapping.table(spark, folder, "conversations").where("role = 'assistant'")
+    whole = words(mapping.table(spark, folder, "benchmark")).where(F.length("word") > 3)
+    parts = words(answers).select(F.substring("word", 1, 6).alias("word")).where(F.length("word") > 4)
+    keywords = whole.union(parts).distinct().select(
+        F.col("word").alias("keyword"),
+        F.substring(F.md5("word"), 1, 6).alias("route"),
+        F.substring(F.md5("word"), 7, 1).alias("turn"),
+    )
+    asked = mapping.questions(spark, folder).select("question_id", "question")
+    return route_by_table(asked, cut_lineage(keywords), "question_id", "question").drop("question")
+
+
 @_query
 def route_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents as questions, which hit keywords of every route."""
