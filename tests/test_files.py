@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 import os
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -393,3 +393,24 @@ def test_one_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
     assert [(r[0], r[1].split(" ")[0]) for r in titles.collect()] == [
         (i, str(i)) for i in range(100)
     ]
+
+
+def test_expired_files_are_deleted(spark, tmp_path):
+    """What was written anew since the listing stays, what is gone is reported, and it can be repeated."""
+    now = 1_750_000_000
+    for i, age in enumerate([0, 1, 3, 4, 5, 6]):
+        path = tmp_path / f"raw/u{i}/a b%{i}.json"
+        path.parent.mkdir(parents=True)
+        path.write_text("[]")
+        os.utime(path, (now - age * 86_400, now - age * 86_400))
+    listed = spark.createDataFrame(retention.list_files(spark, str(tmp_path / "raw")).collect(), "file_path string, modified timestamp")
+    (tmp_path / "raw/u3/a b%3.json").write_text("[1]")
+    (tmp_path / "raw/u4/a b%4.json").unlink()
+    as_of = datetime.fromtimestamp(now, timezone.utc)
+    found = retention.delete_expired(listed, as_of, str(tmp_path / "report"), chunk=2)
+    outcome = {r["file_path"][-6]: r["outcome"] for r in found.collect()}
+    assert outcome == {"2": "deleted", "3": "changed", "4": "gone", "5": "deleted"}
+    assert sorted(p.name for p in tmp_path.glob("raw/*/*.json")) == ["a b%0.json", "a b%1.json", "a b%3.json"]
+    again = retention.delete_expired(listed, as_of, str(tmp_path / "report2"))
+    assert {r["outcome"] for r in again.collect()} == {"changed", "gone"}
+    assert retention.delete_expired(listed.limit(0), as_of, str(tmp_path / "report3")).count() == 0

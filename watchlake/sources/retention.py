@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timezone
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,48 @@ def kept_files(
 
 def _cutoff(as_of: datetime | str, days: int):
     return F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
+
+
+# What became of a listed file.
+DELETED = "deleted"
+CHANGED = "changed"  # written anew since it was listed
+GONE = "gone"
+
+REPORT_SCHEMA = "file_path string, outcome string"
+
+
+def delete_expired(
+    files: DataFrame,
+    as_of: datetime | str,
+    report: str,
+    days: int = fixed.RETENTION_DAYS,
+    chunk: int = 10_000,
+    threads: int = 16,
+) -> DataFrame:
+    """Delete the expired ones of `files` (file_path, modified); returns what became of each.
+
+    A file's time is asked for again right before, and one that has been written anew stays. Only the list
+    goes through the driver, which asks the file system, a chunk of names at a time; the report is written
+    chunk by chunk to the folder `report`, which must be new. Safe to repeat: what is gone is reported as gone.
+    """
+    spark = files.sparkSession
+    moment = spark.range(1).select(_cutoff(as_of, days).alias("at")).first()["at"]
+    limit = int(moment.replace(tzinfo=moment.tzinfo or timezone.utc).timestamp() * 1000)
+    hadoop, settings = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+    def remove(name: str) -> tuple[str, str]:
+        path = hadoop(name)
+        system = path.getFileSystem(settings)
+        if not system.exists(path):
+            return name, GONE
+        if system.getFileStatus(path).getModificationTime() >= limit:
+            return name, CHANGED
+        return name, DELETED if system.delete(path, False) else GONE
+
+    names = (row["file_path"] for row in expired_files(files, as_of, days).select("file_path").toLocalIterator())
+    spark.createDataFrame([], REPORT_SCHEMA).write.parquet(report)
+    with ThreadPoolExecutor(threads) as pool:
+        while some := list(islice(names, chunk)):
+            done = list(pool.map(remove, some))
+            spark.createDataFrame(done, REPORT_SCHEMA).write.mode("append").parquet(report)
+    return spark.read.schema(REPORT_SCHEMA).parquet(report)

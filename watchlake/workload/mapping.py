@@ -116,6 +116,19 @@ def export_files(records: DataFrame, root: str, name: str) -> None:
     files.delete(path(folder), True)
 
 
+def set_times(files: DataFrame) -> None:
+    """Give files (file_path, modified) their times, as if they had been written then."""
+    spark = files.sparkSession
+    path, settings = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+    def set_time(row) -> None:
+        target = path(row["file_path"])
+        target.getFileSystem(settings).setTimes(target, row["at"], -1)
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(set_time, files.select("file_path", F.unix_millis("modified").alias("at")).toLocalIterator()))
+
+
 def parsed(spark: SparkSession, folder: str) -> DataFrame:
     """All records through the JSON parser and the record rules."""
     records = raw_json(spark, folder).select(

@@ -469,6 +469,19 @@ best AS (
         WHEN 'daily_watch_count' THEN least(30, days)
         ELSE least(100, views) END)::BIGINT AS data_count
     FROM planned""",
+    "answer_stream": _with(
+        _RAW,
+        _QUESTIONS,
+        _PLANNED,
+    )
+    + f"""SELECT question_id, user_id, route, {_source('route')} AS source, plan,
+      (CASE plan
+        WHEN 'vector' THEN least(20, views)
+        WHEN 'most_watched_channels' THEN least(10, channels)
+        WHEN 'total_videos' THEN 1
+        WHEN 'daily_watch_count' THEN least(30, days)
+        ELSE least(100, views) END)::BIGINT AS data_count
+    FROM planned""",
     "template_answers": _with(
         _RAW,
         _QUESTIONS,
@@ -575,6 +588,13 @@ answered AS (
            ELSE '{fixed.STATUS_MISSING}' END AS message
     FROM customer LEFT JOIN (SELECT DISTINCT label::VARCHAR AS stored FROM embeddings)
       ON stored = c_custkey::VARCHAR""",
+    "retention_deleted": """
+      WITH f AS (SELECT user_id::VARCHAR AS u, max(ts) AS last FROM events GROUP BY user_id)
+      SELECT 'raw/' || u || '/a.json' AS key,
+        CASE WHEN last >= TIMESTAMP '2024-01-29 00:00:00' THEN 'kept' WHEN u LIKE '%7' THEN 'changed'
+          ELSE 'deleted' END AS outcome,
+        last >= TIMESTAMP '2024-01-29 00:00:00' OR u LIKE '%7' AS there
+      FROM f""",
     "retention_expired": """
       SELECT 'raw/' || user_id || '/' || event_id || '.json' AS file_path, ts AS modified
       FROM events WHERE ts < TIMESTAMP '2024-01-18 12:00:00'""",

@@ -51,11 +51,11 @@ from watchlake.session import cut_lineage, shared_dir, spread
 from watchlake.sources.arrivals import normalise_arrivals
 from watchlake.sources.embedding_store import hash_store
 from watchlake.sources.raw_files import key_below, user_of_processed_key, user_of_raw_key
-from watchlake.sources.retention import expired_files
-from watchlake.sources.tables import as_result_strings, read_history, read_vectors
+from watchlake.sources.retention import delete_expired, expired_files, list_files
+from watchlake.sources.tables import as_result_strings, read_history, read_vectors, write_history, write_vectors
 from watchlake.sources.tables import data_status as status_of
 from watchlake.sources.uploads import validate_uploads
-from watchlake.streaming import arrival_stream
+from watchlake.streaming import arrival_stream, question_stream
 from watchlake.workload import mapping
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,6 +367,50 @@ def sample_incremental(spark: SparkSession, folder: str) -> DataFrame:
     return sample.sample(spark)
 
 
+@_query
+def answer_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers of `answer_batch`, to questions that come in as a stream, a third of them twice."""
+    base = _fresh_folder(spark, "questions")
+    history, vectors, asked = f"{base}/history", f"{base}/vectors", f"{base}/asked"
+    rows = mapping.history(spark, folder)
+    write_history(rows, history)
+    ready = read_history(spark, history).join(_waiting(spark, folder), "user_id", "left_anti")
+    write_vectors(build_vectors(ready, HashEmbedder(64)), vectors, clustered=True)
+    questions = cut_lineage(mapping.questions(spark, folder))
+    turn = F.pmod(F.xxhash64("question_id"), F.lit(3))
+    for chosen in (turn < 2, turn > 0):
+        questions.where(chosen).coalesce(1).write.mode("append").json(asked)
+        run = question_stream.start(
+            spark, asked, history, vectors, f"{base}/answers", f"{base}/checkpoint", HashEmbedder(64)
+        )
+        run.awaitTermination()
+    answers = question_stream.read_answers(spark, f"{base}/answers")
+    return answers.select("question_id", "user_id", "route", "source", "plan", "data_count")
+
+
+@_query
+def retention_deleted(spark: SparkSession, folder: str) -> DataFrame:
+    """One export per user, as old as the user's last event; expired ones are deleted, but for those written anew."""
+    root = _fresh_folder(spark, "kept")
+    records = cut_lineage(mapping.raw_json(spark, folder))
+    mapping.export_files(records.withColumn("ending", F.lit("closed")), root, "a.json")
+    last = mapping.table(spark, folder, "events").groupBy(F.col("user_id").cast("string").alias("user_id")).agg(
+        F.max(F.col("ts").cast("timestamp")).alias("modified")
+    )
+    listed = last.select(
+        F.concat(F.lit(f"{root}/raw/"), "user_id", F.lit("/a.json")).alias("file_path"), "modified"
+    )
+    mapping.set_times(listed.where(~F.col("file_path").endswith("7/a.json")))
+    report = delete_expired(listed, "2024-01-31 00:00:00", f"{root}/report")
+    # in the folder only what was not deleted is left
+    left = list_files(spark, f"{root}/raw").select(key_below(F.col("file_path"), root).alias("key"), F.lit(True).alias("left"))
+    found = listed.select(key_below(F.col("file_path"), root).alias("key")).join(left, "key", "left")
+    report = report.select(key_below(F.col("file_path"), root).alias("of"), "outcome")
+    return found.join(report, F.col("key") == F.col("of"), "left").select(
+        "key", F.coalesce("outcome", F.lit("kept")).alias("outcome"), F.coalesce("left", F.lit(False)).alias("there")
+    )
+
+
 # --- Templates ----------------------------------------------------------------------------
 
 
@@ -687,6 +731,15 @@ def route_documents(spark: SparkSession, folder: str) -> DataFrame:
     return route(asked).select("doc_id", "route", "source")
 
 
+def _waiting(spark: SparkSession, folder: str) -> DataFrame:
+    """Users that are customers of one market segment have no vectors yet: the fallback."""
+    return (
+        mapping.table(spark, folder, "customer")
+        .where(F.col("c_mktsegment") == "MACHINERY")
+        .select(F.col("c_custkey").cast("string").alias("user_id"))
+    )
+
+
 def _batch(spark: SparkSession, folder: str) -> DataFrame:
     asked = mapping.questions(spark, folder)
     rows = cut_lineage(
@@ -694,13 +747,7 @@ def _batch(spark: SparkSession, folder: str) -> DataFrame:
             asked.select("user_id").distinct(), "user_id", "left_semi"
         )
     )
-    # Users that are customers of one market segment have no vectors yet: the fallback.
-    waiting = (
-        mapping.table(spark, folder, "customer")
-        .where(F.col("c_mktsegment") == "MACHINERY")
-        .select(F.col("c_custkey").cast("string").alias("user_id"))
-    )
-    vectors = cut_lineage(build_vectors(rows.join(waiting, "user_id", "left_anti")))
+    vectors = cut_lineage(build_vectors(rows.join(_waiting(spark, folder), "user_id", "left_anti")))
     return answers(asked, rows, vectors)
 
 
