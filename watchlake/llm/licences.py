@@ -37,12 +37,26 @@ TEMPLATES = [
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("lgpl-3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl-2", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl-3", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("agpl-3", "This work is licensed under the GNU Affero General Public License, version 3"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
 ]
 
 #: Words of a match that takes part in a chain.
@@ -207,12 +221,34 @@ class Scanner:
                 spans += [(t, *c) for i, c in enumerate(chains) if i not in kept]
                 running[t] = [c for i, c in enumerate(chains) if i in kept]
         spans += [(t, *c) for t, chains in running.items() for c in chains]
-        return [(t, first, last, min(1.0, covered / self.sizes[t])) for t, first, last, _, covered in spans]
+        return [(t, first, last, self._cover(t, first, last, end, covered)) for t, first, last, end, covered in spans]
+
+    def _cover(self, t: int, first: int, last: int, end: int, covered: int) -> float:
+        """Share of a template that a chain covers; words put in, not in place of others, count as missing ones."""
+        put_in = max(0, last - first - end)
+        return min(covered, self.sizes[t]) / (self.sizes[t] + put_in)
+
+    def _best(self, spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Of spans that share words of the file those of one label, that of the best covered, then longest one."""
+        kept, group, end = [], [], -1
+        for span in [*sorted(spans, key=lambda s: s[1]), None]:
+            if group and (span is None or span[1] > end):
+                taken = []
+                for own in sorted(group, key=lambda s: (-s[3], s[1] - s[2], s[0], s[1])):
+                    label = self.labels[own[0]]
+                    if all(self.labels[o[0]] == label or o[2] < own[1] or o[1] > own[2] for o in taken):
+                        taken.append(own)
+                kept += taken
+                group = []
+            if span:
+                group.append(span)
+                end = max(end, span[2])
+        return kept
 
     def report(self, w: Words, numbers: np.ndarray, doc: int) -> dict:
         own = numbers[w.of(doc)]
         places, spans = self.scan(own)
-        covering = [s for s in spans if s[3] >= self.min_cover]
+        covering = self._best([s for s in spans if s[3] >= self.min_cover])
         base = sorted({self.labels[p] for p, _ in places})
         at = [first for _, first in places]
         return {
@@ -249,8 +285,9 @@ def scan_licences(
     Words are runs of digits, letters and what is beyond ASCII, A-Z in lower case. n_base counts all
     places where a phrase's words stand one after the other, first_word and last_word the smallest
     and largest start of these (null without one), base_labels their labels. labels adds those of
-    templates covered to `min_cover` by a chain of matches of at least `min_match` words; `spans`
-    has the words each chain runs over. score is the largest cover of any template, 1 with a phrase.
+    templates covered to `min_cover` by a chain of matches of at least `min_match` words, where foreign words
+    inside the chain count against it, and of chains that share words of the text the best covered one's label;
+    `spans` has the words each chain runs over. score is the largest cover of any template, 1 with a phrase.
 
     A null text is empty: no words, no labels, score 0. Each row stands for itself. A column
     `licences` is replaced.

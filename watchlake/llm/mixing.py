@@ -72,7 +72,7 @@ def systematic_mix(
     Each row of a source is expected `target / source_size` times; the running total of that, plus
     one offset for the source from [0, 1), crosses so many whole numbers within the row, and so
     many copies it gets. Rows run by size class, then by a hash of the key, so that the words taken
-    come near the target also where sizes differ much.
+    come near the target also where sizes differ much; the text is part of the hash. The hash is that of key and text.
 
     A null text has size 0; null is a source of its own, the last by name; a null key counts as "".
     Equal rows can't be told apart and get their copies together. A column `mix` is replaced. An
@@ -86,8 +86,12 @@ def systematic_mix(
         "*",
         F.col(table.at(source)).alias("__source"),
         F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("bigint").alias("__size"),
+        # the text is part of it, so that rows without a key or with one in common are parted too
         F.md5(
-            F.concat(F.lit(f"{seed}:"), F.coalesce(own_key.cast("string"), F.lit(""))).cast("binary")
+            F.concat(
+                F.lit(f"{seed}:"), F.coalesce(own_key.cast("string"), F.lit("")), F.lit(":"),
+                F.md5(F.coalesce(body.cast("string"), F.lit("")).cast("binary")),
+            ).cast("binary")
         ).alias("__hash"),
         F.xxhash64(body).alias("__tie"),
     ).select(

@@ -130,7 +130,7 @@ SELECT *, NOT base_failed AND chars_removed <= word_chars * 0.5 AS kept FROM b
 OP8 = f"""
 WITH d AS (
   SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size,
-    md5('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
