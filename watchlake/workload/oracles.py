@@ -358,7 +358,7 @@ best AS (
     "embed_incremental": """
       WITH t AS (
         SELECT event_id % 5 AS m, CASE WHEN event_id % 50 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN 'the same clip'
-          ELSE 'clip ' || event_id % 4001 END AS text FROM events),
+          ELSE 'clip ' || event_id // 2 END AS text FROM events),
       b AS (
         SELECT 0 AS batch, text FROM t WHERE m < 2
         UNION ALL SELECT 1, text FROM t WHERE m IN (1, 2)
@@ -366,8 +366,8 @@ best AS (
       first AS (SELECT text, min(batch) AS batch FROM b WHERE text <> ' ' GROUP BY text),
       sent AS (SELECT batch, count(*) AS texts_sent FROM first GROUP BY batch)
       SELECT batch, count(*) AS n_rows, count(*) FILTER (text = ' ') AS n_blank, 0::BIGINT AS n_different,
-        any_value(texts_sent) AS texts_sent
-      FROM b JOIN sent USING (batch) GROUP BY batch""",
+        coalesce(any_value(texts_sent), 0) AS texts_sent
+      FROM b LEFT JOIN sent USING (batch) GROUP BY batch""",
     "counts_incremental": _with(
         _RAW,
         """

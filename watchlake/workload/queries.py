@@ -248,7 +248,7 @@ def embed_incremental(spark: SparkSession, folder: str) -> DataFrame:
     Titles repeat within and between batches; every 50th is blank and every third row has one title.
     """
     n = F.col("src_pos")
-    title = F.when(n % 50 == 0, " ").when(n % 3 == 0, "the same clip").otherwise(F.concat(F.lit("clip "), n % 4001))
+    title = F.when(n % 50 == 0, " ").when(n % 3 == 0, "the same clip").otherwise(F.concat(F.lit("clip "), F.expr("src_pos div 2")))
     rows = cut_lineage(mapping.raw_fields(spark, folder).select("user_id", "src_pos", title.alias("text")))
     store = hash_store(f"{_fresh_folder(spark, 'embeddings')}/vectors", dim=64)
     batches = [n % 5 < 2, (n % 5 == 1) | (n % 5 == 2), n % 5 >= 2]
@@ -267,7 +267,8 @@ def embed_incremental(spark: SparkSession, folder: str) -> DataFrame:
         parts.append(cut_lineage(counted))
     sent = store.known(spark).groupBy(F.col("batch").cast("int").alias("of")).agg(F.count(F.lit(1)).alias("texts_sent"))
     every = functools.reduce(DataFrame.unionByName, parts)
-    return every.join(sent, F.col("batch") == F.col("of")).drop("of")
+    sent_or_none = F.coalesce("texts_sent", F.lit(0).cast("long")).alias("texts_sent")
+    return every.join(sent, F.col("batch") == F.col("of"), "left").select(*every.columns, sent_or_none)
 
 
 def _uploads(spark: SparkSession, folder: str) -> list[DataFrame]:
