@@ -312,3 +312,27 @@ def test_unreadable_vectors_count_as_none(spark, tmp_path):
     assert [r["user_id"] for r in stored.select("user_id").distinct().collect()] == ["u1"]
     assert search_text("title 1", "u2", stored, HashEmbedder(8)).isEmpty()
     assert search_text("title 1", "u1", stored, HashEmbedder(8)).count() == 3
+
+
+def test_vectors_of_asking_users_only(spark, tmp_path):
+    """By name or by the whole list: the same rows; folders of others are not even listed by name."""
+    path = tmp_path / "vectors"
+    names = {"u1": 3, "u 2": 4, "a/b": 2, "x{1}[2]*": 2, "u%3": 1, "other": 5}
+    write_vectors(build_vectors(history(spark, names), HashEmbedder(8)), str(path))
+    broken = next((path / "user_id=u1").glob("*.parquet"))
+    broken.write_bytes(b"broken")
+    for checksum in (path / "user_id=u1").glob(".*.crc"):
+        checksum.unlink()
+    asked = [(u,) for u in ("u1", "u 2", "a/b", "x{1}[2]*", "u%3", "nobody", "", None, "u 2")]
+    users = spark.createDataFrame(asked, "user_id string")
+    for named in (1, 100):
+        found = read_whole_users(spark, str(path), users, named)
+        counts = {r["user_id"]: r["count"] for r in found.groupBy("user_id").count().collect()}
+        assert counts == {"u 2": 4, "a/b": 2, "x{1}[2]*": 2, "u%3": 1}
+        assert found.columns == read_vectors(spark, str(path)).columns
+    by_name = read_whole_users(spark, str(path), users)
+    assert not any("user_id=other" in file for file in by_name.inputFiles())
+    nobody = spark.createDataFrame([("nobody",), (None,)], "user_id string")
+    assert read_whole_users(spark, str(path), nobody).isEmpty()
+    assert read_whole_users(spark, str(path), nobody.limit(0)).isEmpty()
+    assert read_whole_users(spark, str(tmp_path / "none"), users).isEmpty()

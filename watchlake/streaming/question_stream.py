@@ -42,7 +42,8 @@ def answer_questions(
         earlier = read_answers(spark, out).where(F.col("batch") != batch_id).select("question_id")
         met = earlier.join(new.select("question_id"), "question_id", "left_semi")
         new = cut_lineage(new.join(met, "question_id", "left_anti"))
-    answers = answer_batch(new, read_history(spark, history), read_whole_users(spark, vectors), embedder, **options)
+    stored = read_whole_users(spark, vectors, new)
+    answers = answer_batch(new, read_history(spark, history), stored, embedder, **options)
     (
         answers.withColumn("batch", F.lit(batch_id).cast("long"))
         .write.mode("overwrite")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
@@ -116,6 +116,20 @@ def export_files(records: DataFrame, root: str, name: str) -> None:
     files.delete(path(folder), True)
 
 
+def break_files(spark: SparkSession, folders: DataFrame, name: str) -> None:
+    """Put a file that is not what its name says into each of these folders (column `folder`)."""
+    path, settings = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+    def write(row) -> None:
+        target = path(f"{row['folder']}/{name}")
+        with_bytes = target.getFileSystem(settings).create(target)
+        with_bytes.writeBytes("broken")
+        with_bytes.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(write, folders.toLocalIterator()))
+
+
 def set_times(files: DataFrame) -> None:
     """Give files (file_path, modified) their times, as if they had been written then."""
     spark = files.sparkSession
@@ -142,6 +156,12 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     return valid_rows(parsed(spark, folder))
 
 
+def tenant() -> Column:
+    """One of three tenants by the number of an event; the first has most of them."""
+    last = F.col("src_pos") % 10
+    return F.when(last < 8, "large").when(last == 8, "middle").otherwise("small")
+
+
 def users(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").cast("string").alias("user_id"))
 

@@ -146,6 +146,38 @@ def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+_HITS = """SELECT question_id, count(*) AS data_count,
+      '関連する視聴履歴 ' || count(*) || '件:' || chr(10) || string_agg(
+        '- title ' || vec_id || ' (チャンネル: '
+        || CASE WHEN vec_id % 7 <> 0 THEN 'Channel ' || label ELSE 'None' END
+        || ', 視聴日: ' || strftime(DATE '1970-01-01' + vec_id::INTEGER, '%Y-%m-%d') || ')',
+        chr(10) ORDER BY rank) AS context
+    FROM ranked WHERE rank <= 5 GROUP BY question_id"""
+
+
+def _features(dim: int) -> str:
+    """The codes that are left of each row's text, for vectors of `dim` numbers."""
+    return rf"""
+words AS (
+  SELECT n, unnest(string_split_regex(lower(title || ' - ' || channel_name),
+    '[^\p{{L}}\p{{N}}]+')) AS word FROM hist
+),
+tokens AS (
+  SELECT n, word AS token FROM words WHERE word <> ''
+  UNION
+  SELECT n, substr(word, pos, 2) FROM (
+    SELECT n, word, unnest(generate_series(1, length(word) - 1)) AS pos
+    FROM words WHERE length(word) > 2)
+),
+codes AS (
+  SELECT DISTINCT n, ('0x' || substr(md5(token), 1, 8))::BIGINT % {2 * dim} AS code FROM tokens
+),
+kept AS (
+  SELECT a.n, a.code FROM codes a LEFT JOIN codes b ON a.n = b.n AND xor(a.code, 1) = b.code
+  WHERE b.n IS NULL
+)"""
+
+
 ORACLES: dict[str, str] = {
     "parse_history": _with(_RAW)
     + "SELECT user_id, title, video_id, channel_name, channel_id, watched_at FROM hist",
@@ -215,25 +247,7 @@ ORACLES: dict[str, str] = {
       FROM documents""",
     "hash_embed": _with(
         _RAW,
-        r"""
-words AS (
-  SELECT n, unnest(string_split_regex(lower(title || ' - ' || channel_name),
-    '[^\p{L}\p{N}]+')) AS word FROM hist
-),
-tokens AS (
-  SELECT n, word AS token FROM words WHERE word <> ''
-  UNION
-  SELECT n, substr(word, pos, 2) FROM (
-    SELECT n, word, unnest(generate_series(1, length(word) - 1)) AS pos
-    FROM words WHERE length(word) > 2)
-),
-codes AS (
-  SELECT DISTINCT n, ('0x' || substr(md5(token), 1, 8))::BIGINT % 2048 AS code FROM tokens
-),
-kept AS (
-  SELECT a.n, a.code FROM codes a LEFT JOIN codes b ON a.n = b.n AND xor(a.code, 1) = b.code
-  WHERE b.n IS NULL
-)""",
+        _features(1024),
     )
     + """SELECT n::INTEGER AS src_pos, string_agg(code, ' ' ORDER BY code) AS codes,
       1024::INTEGER AS dimension, count(*)::INTEGER AS set_buckets,
@@ -337,6 +351,37 @@ best AS (
            WHEN j.newer = b.newer THEN 'written' ELSE 'superseded' END AS outcome,
       table_rows, titles_md5
     FROM judged j LEFT JOIN best b USING (user_id)""",
+    "large_files": _with(_RAW)
+    + """SELECT CASE WHEN n % 10 < 8 THEN 'large' WHEN n % 10 = 8 THEN 'middle' ELSE 'small' END AS user_id,
+      src_pos, title, video_id, channel_name, channel_id, ts AS watched_at
+    FROM (SELECT *, (row_number() OVER (
+        PARTITION BY greatest(n % 10, 7) ORDER BY n) - 1)::INTEGER AS src_pos
+      FROM fields) WHERE outcome = 'valid'""",
+    "history_table": _with(_RAW)
+    + """SELECT user_id, n::INTEGER AS src_pos, title, video_id, channel_name, channel_id, watched_at FROM hist
+    WHERE user_id::INT % 3 <> 0 OR day(watched_at) > 15
+      OR user_id NOT IN (SELECT user_id FROM hist WHERE day(watched_at) > 15)""",
+    "vectors_of_users": _with(
+        _RAW,
+        _features(64),
+        """
+signs AS (
+  SELECT n, list(coalesce(sign, 0) ORDER BY bucket) AS signs, max(scale) AS scale FROM (
+    SELECT h.n, b.bucket, CASE WHEN k.code % 2 = 1 THEN 1 WHEN k.code % 2 = 0 THEN -1 END AS sign,
+      count(k.code) OVER (PARTITION BY h.n) AS scale
+    FROM hist h CROSS JOIN range(64) b(bucket) LEFT JOIN kept k ON k.n = h.n AND k.code // 2 = b.bucket)
+  GROUP BY n
+)""",
+    )
+    + """SELECT user_id, idx, title || ' - ' || channel_name AS text, false AS embed_failed, title, channel_name,
+      video_id, watched_at, md5(list_aggregate(signs, 'string_agg', ',')) AS signs_md5,
+      CASE WHEN list_contains(signs, 1) THEN round((1.0 / sqrt(scale))::FLOAT::DOUBLE, 5) ELSE 0.0 END AS largest
+    FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY n) - 1)::INTEGER AS idx FROM hist)
+    JOIN signs USING (n)
+    JOIN customer ON c_custkey::VARCHAR = user_id AND c_mktsegment = 'MACHINERY'
+    WHERE user_id::INT % 10 <> 7""",
+    "result_csv": _with(_RAW, _RECENT_ALL)
+    + f"""SELECT user_id, rank::VARCHAR AS rank, title, channel_name, {_MILLISECONDS} AS watched_at FROM recent""",
     "ingest_totals": _with(_RAW)
     + """SELECT count(*) AS input_rows, count(*) FILTER (outcome = 'ad') AS ads_excluded,
       count(*) FILTER (outcome = 'bad_time') AS bad_time, 0::BIGINT AS quarantined,
@@ -530,14 +575,19 @@ answered AS (
         "{question}", "' || regexp_replace(question, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') || '"
     )
     + "') AS prompt_md5 FROM answered",
-    "search_context": _with(_PAIRS)
-    + """SELECT question_id, count(*) AS data_count,
-      '関連する視聴履歴 ' || count(*) || '件:' || chr(10) || string_agg(
-        '- title ' || vec_id || ' (チャンネル: '
-        || CASE WHEN vec_id % 7 <> 0 THEN 'Channel ' || label ELSE 'None' END
-        || ', 視聴日: ' || strftime(DATE '1970-01-01' + vec_id::INTEGER, '%Y-%m-%d') || ')',
-        chr(10) ORDER BY rank) AS context
-    FROM ranked WHERE rank <= 5 GROUP BY question_id""",
+    "vector_prompts": _with(_PAIRS, f"found AS ({_HITS})")
+    + f"""SELECT question_id, md5('"""
+    + fixed.VECTOR_PROMPT.replace("{context}", "' || answer || '").replace(
+        "{question}", "' || '\"{context}\" \\ ' || question_id || '"
+    )
+    + """') AS prompt_md5,
+      to_json({'answer': answer, 'data_count': data_count, 'source': 'vector'})::VARCHAR AS envelope
+    FROM (SELECT question_id, context AS answer, data_count FROM found
+      UNION ALL SELECT -1, '"""
+    + fixed.NO_HITS
+    + "', 0)",
+    "search_context": _with(_PAIRS) + _HITS,
+
     "prompt_data_block": _with(_RAW, _RECENT_ALL)
     + """SELECT user_id, count(*) AS data_count,
       '[' || chr(10) || string_agg(

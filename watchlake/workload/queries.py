@@ -46,13 +46,22 @@ from watchlake.plans import templates
 from watchlake.plans.answers import answer_batch as answers
 from watchlake.plans.current import CurrentTables, record_counts
 from watchlake.plans.current_sample import CurrentSample
-from watchlake.plans.ingest import FAILED, REPORTS, ingest
+from watchlake.plans.ingest import FAILED, REPORTS, ingest, read_records
 from watchlake.session import cut_lineage, shared_dir, spread
 from watchlake.sources.arrivals import normalise_arrivals
 from watchlake.sources.embedding_store import hash_store
 from watchlake.sources.raw_files import key_below, user_of_processed_key, user_of_raw_key
 from watchlake.sources.retention import delete_expired, expired_files, list_files
-from watchlake.sources.tables import as_result_strings, read_history, read_vectors, write_history, write_vectors
+from watchlake.sources.tables import (
+    as_result_strings,
+    read_history,
+    read_result_csv,
+    read_vectors,
+    read_whole_users,
+    write_history,
+    write_result_csv,
+    write_vectors,
+)
 from watchlake.sources.tables import data_status as status_of
 from watchlake.sources.uploads import validate_uploads
 from watchlake.streaming import arrival_stream, question_stream
@@ -230,6 +239,59 @@ def ingest_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(rows, "user_id", "left")
 
 
+@_query
+def large_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One export file per tenant, three in all, read in pieces by many tasks; the rows cleaned.
+
+    What counts as large is set to 1,000 bytes, so that no file is read whole.
+    """
+    root = _fresh_folder(spark, "large")
+    records = mapping.raw_json(spark, folder).select(mapping.tenant().alias("user_id"), "src_pos", "json")
+    mapping.export_files(records.withColumn("ending", F.lit("closed")), root, "all.json")
+    return valid_rows(read_records(spark, root, variant_bytes=1_000)).select(
+        "user_id", "src_pos", "title", "video_id", "channel_name", "channel_id", "watched_at"
+    )
+
+
+# --- Stored tables ------------------------------------------------------------------------
+
+
+@_query
+def history_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned table after a second write, which has every third user, with the later half of the month."""
+    path = f"{_fresh_folder(spark, 'history')}/table"
+    rows = cut_lineage(mapping.history(spark, folder))
+    write_history(rows, path)
+    again = (F.col("user_id").cast("long") % 3 == 0) & (F.dayofmonth("watched_at") > 15)
+    write_history(rows.where(again), path)
+    return read_history(spark, path)
+
+
+@_query
+def vectors_of_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of every row, written and read back for some users as the search does.
+
+    Asked for are customers of one market segment. Every tenth user has a file that can't be read and so no vectors.
+    """
+    path = f"{_fresh_folder(spark, 'vectors')}/table"
+    write_vectors(build_vectors(mapping.history(spark, folder), HashEmbedder(64)), path, clustered=True)
+    written = read_vectors(spark, path).select("user_id").distinct()
+    at = F.concat(F.lit(f"{path}/user_id="), "user_id").alias("folder")
+    mapping.break_files(spark, written.where(F.col("user_id").cast("long") % 10 == 7).select(at), "part-x.parquet")
+    found = read_whole_users(spark, path, _waiting(spark, folder))
+    signs = F.array_join(F.transform("embedding", lambda x: F.sign(x).cast("int").cast("string")), ",")
+    return found.withColumns({"signs_md5": F.md5(signs), "largest": F.round(F.array_max("embedding").cast("double"), 5)}).drop("embedding")
+
+
+@_query
+def result_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The recent history of all users as a result set, written as CSV and read back."""
+    path = f"{_fresh_folder(spark, 'results')}/recent"
+    result = templates.recent_history(mapping.history(spark, folder))
+    write_result_csv(result, path)
+    return read_result_csv(spark, path, result.columns)
+
+
 # --- Kept current -------------------------------------------------------------------------
 
 
@@ -797,6 +859,20 @@ def search_context(spark: SparkSession, folder: str) -> DataFrame:
     return context.search_context(hits)
 
 
+@_query
+def vector_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt and envelope of a search for every vector in its tenant, and of one more that finds nothing."""
+    found = search_context(spark, folder)
+    asked = mapping.tenant_vectors(spark, folder).select(F.col("idx").alias("question_id"))
+    asked = asked.union(spark.range(1).select(F.lit(-1).cast("long")))
+    rows = asked.join(found, "question_id", "left").withColumn("data_count", F.coalesce("data_count", F.lit(0)))
+    question = F.concat(F.lit('"{context}" \\ '), F.col("question_id").cast("string"))
+    prompt = context.vector_prompt(question, F.col("context"))
+    answer = F.coalesce("context", F.lit(fixed.NO_HITS))
+    envelope = context.answer_envelope(answer, F.col("data_count"), F.lit(fixed.SOURCE_VECTOR))
+    return rows.select("question_id", F.md5(prompt).alias("prompt_md5"), envelope.alias("envelope"))
+
+
 @_query
 def prompt_data_block(spark: SparkSession, folder: str) -> DataFrame:
     """Data block of every user's recent history."""
