@@ -1,8 +1,8 @@
 """Content-addressed WARC archive.
 
-Payload bytes are stored once per SHA-256 digest, record headers one by one and byte for byte. A
-join on the digest brings the original records back, and every payload is verified against its
-digest when it is read.
+Payload bytes are stored once per SHA-256 digest, record headers one by one and byte for byte: the
+WARC header and the HTTP head, all that stands before the payload. A join on the digest brings the
+original records back, and every payload is verified against its digest when it is read.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import column
+from watchlake.llm.common import column, release, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
+#: The date of records of pages that have none.
+DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -26,40 +28,58 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*groups), CONV32, BASE32)
 
 
-def _header(record_type: Column, key: Column, uri: Column, length: Column, digest: Column, refers_to: Column) -> Column:
+def _record_id(name: Column, row: Column) -> Column:
+    return F.concat(F.lit("<urn:row:"), name, F.lit(":"), row.cast("string"), F.lit(">"))
+
+
+def _header(record_type: Column, own_id: Column, uri: Column, length: Column, digest: Column, first_id: Column, date: str) -> Column:
     def line(name, value):
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
+    # only what would break the header is written otherwise than it is
+    breaks = uri.rlike(r"[\x00-\x1F\x7F]")
+    head = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"),
+        line("Content-Length", length.cast("string")),
+        F.lit("\r\n"),
+    )
     is_revisit = record_type == "revisit"
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", record_type),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:row:"), key, F.lit(">"))),
-        line("WARC-Target-URI", F.regexp_replace(uri, r"[\r\n]", " ")),
+        line("WARC-Record-ID", own_id),
+        line("WARC-Date", F.lit(date)),
+        line("WARC-Target-URI", F.when(breaks, F.url_encode(uri)).otherwise(uri)),
+        F.when(breaks, F.lit("X-Target-URI-Form: url-encoded\r\n")).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         F.when(
             is_revisit,
-            F.concat(
-                line("WARC-Refers-To", F.concat(F.lit("<urn:row:"), refers_to, F.lit(">"))),
-                F.lit(f"WARC-Profile: {PROFILE}\r\n"),
-            ),
+            F.concat(line("WARC-Refers-To", first_id), F.lit(f"WARC-Profile: {PROFILE}\r\n")),
         ).otherwise(F.lit("")),
-        F.lit("Content-Type: text/html; charset=utf-8\r\n"),
-        line("Content-Length", F.when(is_revisit, F.lit("0")).otherwise(length.cast("string"))),
-        line("X-Payload-Length", length.cast("string")),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"),
+        # a revisit's block is the head alone
+        line("Content-Length", (F.octet_length(head) + F.when(is_revisit, 0).otherwise(length)).cast("string")),
         F.lit("\r\n"),
+        head,
     )
 
 
 def write_archive(
-    pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = 0
+    pages: DataFrame,
+    path: str,
+    key: str = "page_id",
+    uri: str = "url",
+    payload: str = "html",
+    min_bytes: int = 0,
+    date: str = DATE,
 ) -> None:
     """Write `pages` as an archive: Parquet folders `headers` and `payloads` under `path`.
 
     Of the rows with equal payloads of at least `min_bytes` bytes, those with the largest key are
     response records, the others revisit it; rows with smaller payloads are all responses. A null
     payload is empty, a null URI too; among equal payloads a null key is the smallest. Repeated rows
-    keep a record each. Other columns are not archived.
+    keep a record each, with an id of its own; revisits name one of them. A URI with control characters
+    is url-encoded and marked. `date` is the capture date of all records. Other columns are not archived.
     """
     body = F.coalesce(column(payload).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(
@@ -69,38 +89,50 @@ def write_archive(
     ).select(
         "*",
         F.unhex(F.sha2("payload", 256)).alias("digest"),
-        F.octet_length("payload").cast("bigint").alias("length"),
         # never null, so that join and deduplication below can share one shuffle
         F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("name"),
     )
-    first = rows.groupBy("digest").agg(F.max("key").alias("first_key"))
-    # keys are part of the join that picks payloads, so many copies of one payload are spread
-    winners = first.select(
-        "digest", F.coalesce(F.col("first_key").cast("string"), F.lit("null")).alias("name")
+    # stored, so that a row has one number in all that follows
+    narrow = stored(
+        rows.select(
+            "key",
+            "name",
+            "uri",
+            "digest",
+            F.octet_length("payload").cast("bigint").alias("length"),
+            base32_sha1(F.col("payload")).alias("sha1"),
+            F.monotonically_increasing_id().alias("row"),
+        ),
+        "warc-rows",
     )
+    first = narrow.groupBy("digest").agg(F.max(F.struct("key", "row", "name")).alias("first"))
+    first = first.select("digest", "first.key", "first.row", "first.name").toDF("digest", "first_key", "first_row", "first_name")
+    # keys are part of the join that picks payloads, so many copies of one payload are spread
+    winners = first.select("digest", F.col("first_name").alias("name"))
     rows.select("digest", "name", "payload").join(winners, ["digest", "name"], "left_semi").dropDuplicates(
         ["digest", "name"]
     ).select("digest", "payload").write.parquet(f"{path}/payloads")
 
     revisits = (F.col("length") >= min_bytes) & ~F.col("key").eqNullSafe(F.col("first_key"))
     kind = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
-    narrow = rows.select("key", "name", "uri", "digest", "length", base32_sha1(F.col("payload")).alias("sha1"))
     narrow.join(first, "digest").select(
         _header(
             kind,
-            F.col("name"),
+            _record_id(F.col("name"), F.col("row")),
             F.col("uri"),
             F.col("length"),
             F.col("sha1"),
-            F.coalesce(F.col("first_key").cast("string"), F.lit("null")),
+            _record_id(F.col("first_name"), F.col("first_row")),
+            date,
         ).alias("header"),
         "digest",
     ).write.parquet(f"{path}/headers")
+    release(narrow)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archive: `header`, `payload` (also of revisits), and `record`, the bytes
-    as in a file.
+    """Every record of the archive: `header` (with the HTTP head), `payload` (also of revisits), and
+    `record`, the bytes as in a file.
 
     A payload that doesn't have its digest, or is missing, raises.
     """
@@ -130,8 +162,14 @@ def field(name: str, header: str = "header") -> Column:
     return F.nullif(F.regexp_extract(header, rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
 
 
+def target_uri() -> Column:
+    """The URI as it was given."""
+    value = field("WARC-Target-URI")
+    return F.when(field("X-Target-URI-Form") == "url-encoded", F.url_decode(value)).otherwise(value)
+
+
 def record_key(name: str) -> Column:
-    return F.regexp_extract(field(name), r"^<urn:row:(-?\d+)>$", 1).try_cast("bigint")
+    return F.regexp_extract(field(name), r"^<urn:row:(-?\d+):\d+>$", 1).try_cast("bigint")
 
 
 def page_rows(records: DataFrame) -> DataFrame:
@@ -148,5 +186,5 @@ def page_rows(records: DataFrame) -> DataFrame:
         base32_sha1(payload).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         F.when(field("WARC-Type") == "revisit", record_key("WARC-Refers-To")).alias("refers_to"),
-        field("WARC-Target-URI").alias("url"),
+        target_uri().alias("url"),
     )
