@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from watchlake.llm.chat import END, TURN
+from watchlake.llm.licences import PHRASES
 from watchlake.llm.quality import BOILERPLATE, END_PUNCTUATION, NAVIGATION, SYMBOLS
+from watchlake.llm.queries import SHARDS
+from watchlake.llm.sharding import SLOTS, lookup_table
 from watchlake.llm.warc import BASE32
 
 
@@ -299,11 +302,48 @@ FROM d JOIN v{_TOPS} v ON v.r = d.r JOIN v0 ON v0.r = d.r, t_root
 """
 
 
+# two hex digits for each slot, as there are 256 shards
+_TABLE = "".join(f"{shard:02x}" for shard in lookup_table(SHARDS).tolist())
+
+OP3 = f"""
+SELECT doc_id, slot, 'shard-' || lpad(('0x' || substr('{_TABLE}', (2 * slot + 1)::INT, 2))::INT::VARCHAR, 3, '0') AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT % {SLOTS} AS slot FROM documents)
+"""
+
+
+def _phrase_places() -> str:
+    """The label of the phrase that begins at a word, from the words behind it."""
+    names = ["word", *(f"lead(word, {n}) OVER o" for n in range(1, max(len(p.split()) for p in PHRASES)))]
+    cases = (
+        "WHEN " + " AND ".join(f"{at} = {quoted(w)}" for at, w in zip(names, phrase.split())) + f" THEN {quoted(label)}"
+        for phrase, label in PHRASES.items()
+    )
+    return "CASE " + " ".join(cases) + " END"
+
+
+LICENSE_BASE = f"""
+WITH w AS (
+  SELECT doc_id, generate_subscripts(words, 1) - 1 AS place, unnest(words) AS word FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents)),
+p AS (SELECT doc_id, place, {_phrase_places()} AS label FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+n AS (
+  SELECT doc_id, count(*) AS n_words, count(label) AS n_base, min(place) FILTER (label IS NOT NULL) AS first_word,
+    max(place) FILTER (label IS NOT NULL) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM p GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels
+FROM documents LEFT JOIN n USING (doc_id)
+"""
+
+
 ORACLES = {
     "op1_warc": OP1,
     "op2_topk": OP2,
+    "op3_sharding": OP3,
     "op4_chat_formatting": OP4,
     "op5_minhash": OP5,
+    "license_base": LICENSE_BASE,
     "op7_quality_rules": OP7,
     "op8_mixing": OP8,
     "op10_suffix_dedup": OP10,

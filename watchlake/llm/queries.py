@@ -78,6 +78,11 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"licences.{name}").alias(name) for name in names))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `op6_license_scans` says of the base phrases, which SQL can say too."""
+    return op6_license_scans(spark, sf_dir).drop("labels", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first(document_table(spark, sf_dir)).select(
         "doc_id",
@@ -200,6 +205,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_minhash": op5_minhash,
     "op6_license_scans": op6_license_scans,
+    "license_base": license_base,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_sentencepiece": op9_sentencepiece,
