@@ -414,3 +414,16 @@ def test_expired_files_are_deleted(spark, tmp_path):
     again = retention.delete_expired(listed, as_of, str(tmp_path / "report2"))
     assert {r["outcome"] for r in again.collect()} == {"changed", "gone"}
     assert retention.delete_expired(listed.limit(0), as_of, str(tmp_path / "report3")).count() == 0
+
+
+def test_results_as_csv_come_back_as_they_were(spark, tmp_path):
+    rows = [
+        ("a", None), ("", ""), (" b ", 'x"y'), ("l\nm", "c\\d"), ("c,d", '"q"'), ("r\r\ns", '\\"'), ('"', ","),
+        (None, None), ("\t", "\\"), ("a", None),
+    ]
+    df = spark.createDataFrame(rows, "a string, b string")
+    tables.write_result_csv(df, str(tmp_path / "r"))
+    back = tables.read_result_csv(spark, str(tmp_path / "r"), df.columns)
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, rows))
+    tables.write_result_csv(df.limit(0), str(tmp_path / "none"))
+    assert tables.read_result_csv(spark, str(tmp_path / "none"), df.columns).isEmpty()
