@@ -23,7 +23,8 @@ from watchlake.operators.embedding import (
 )
 from watchlake.plans.answers import search_text
 from watchlake.operators.sampling import sample_order, sample_per_user
-from watchlake.operators.search import search, search_ranked
+from watchlake.operators import search as search_module
+from watchlake.operators.search import _search_cells, search, search_ranked
 from watchlake.sources.tables import VECTOR_SCHEMA, has_vectors, read_vectors, read_whole_users, write_vectors
 
 VECTORS = "user_id string, idx int, embedding array<float>"
@@ -150,6 +151,29 @@ def test_search_keeps_metadata(spark):
     assert few and many.orderBy(*order).collect() == sorted(few, key=lambda r: (r[0], r[2]))
 
 
+def test_candidates_of_cells_do_not_grow_with_the_blocks(spark):
+    rnd = random.Random(5)
+    rows = [("u", i, as_float32(rnd.uniform(-1, 1) for _ in range(4))) for i in range(1500)]
+    vectors = spark.createDataFrame(rows, VECTORS)
+    asked = vectors.select(F.col("idx").cast("long").alias("question_id"), "user_id", "embedding")
+    found = _search_cells(vectors, asked, 5, vectors_per_block=32, questions_per_block=16)
+    per_question = found.groupBy("question_id").count()
+    assert per_question.count() == 1500
+    assert per_question.where("count > 5").isEmpty()
+
+
+def test_users_cut_into_cells_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(search_module, "LEAST_PAIRS", 1)
+    monkeypatch.setattr(search_module, "VECTORS_PER_CELL", 20)
+    monkeypatch.setattr(search_module, "QUESTIONS_PER_CELL", 7)
+    vectors, questions = fixture_rows(7)
+    hits = search_ranked(
+        spark.createDataFrame(vectors, VECTORS), spark.createDataFrame(questions, QUESTIONS), 5, broadcast_limit=0
+    )
+    found = {(h["question_id"], h["user_id"], h["rank"], h["idx"], round(h["score"], 4) + 0.0) for h in hits.collect()}
+    assert found == brute_force(vectors, questions, 5)
+
+
 def history(spark, sizes):
     rows = [(u, i, f"title {i % 7}", f"ch {i % 3}", "v") for u, n in sizes.items() for i in range(n)]
     random.Random(3).shuffle(rows)

@@ -6,9 +6,10 @@ together, chosen by a check of the number of questions:
 
 * few questions: they are broadcast and every vector is scored where it was read, without a
   shuffle of the vectors, so it does not matter how many vectors one user has;
-* many questions: both sides are cut into cells (user, vector block, question block) of
-  bounded size on both sides, so neither a user with many vectors nor one with many
-  questions makes a large group.
+* many questions: a user's questions are cut into parts, and the user's vectors go to each part,
+  a fixed number of times whatever the size of the table. A task holds one part and keeps its best
+  while the vectors pass by in blocks, so it hands on k candidates per question. Users with very
+  many questions or vectors are cut further, so neither makes a large group.
 """
 
 from __future__ import annotations
@@ -18,20 +19,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
 from watchlake.operators.ranking import top_per_key
-from watchlake.operators.skew import SALTS
-from watchlake.session import is_small
+from watchlake.session import cut_lineage, is_small
 
 # Most questions that are broadcast: 2,000 x 1,024 floats are 8 MB.
 BROADCAST_QUESTIONS = 2_000
-# Bounds of one cell: 4,096 x 1,024 floats are 16 MB, 512 questions 2 MB.
+# Scored at once: 4,096 x 1,024 floats are 16 MB, 512 questions 2 MB.
 VECTORS_PER_BLOCK = 4_096
 QUESTIONS_PER_BLOCK = 512
-# Longest list of vector blocks that is broadcast; some 50 bytes each.
+# Bounds of one cell: 16,384 x 1,024 doubles are 128 MB; vectors pass by and are not held.
+QUESTIONS_PER_CELL = 16_384
+VECTORS_PER_CELL = 262_144
+# A user with fewer pairs of question and vector has one cell.
+LEAST_PAIRS = 1_000_000
+# Pairs, or values of single pairs, that are multiplied at once, about.
+_PAIR_VALUES = 1 << 22
+# Longest list of users or vector blocks that is broadcast; some 50 bytes each.
 BROADCAST_BLOCKS = 200_000
 _KEYS = ("user_id", "idx", "embedding")
 
@@ -234,6 +241,159 @@ def cell_scorer(k: int):
     return score
 
 
+class _Asked:
+    """Some questions of one user with the best vectors they have met."""
+
+    def __init__(self, ids: np.ndarray, queries: list[np.ndarray], k: int, meta: pa.DataType):
+        self.ids, self.k = ids, k
+        lengths = np.array([len(query) for query in queries])
+        self.by_length = {}
+        for length in np.unique(lengths):
+            rows = np.flatnonzero(lengths == length)
+            matrix = np.stack([queries[i] for i in rows])
+            norms = np.sqrt((matrix * matrix).sum(axis=1))
+            self.by_length[int(length)] = (rows, matrix, norms, _divide(matrix, norms[:, None]))
+        # a score that k vectors reach already
+        self.bar = np.full(len(ids), -np.inf)
+        # question (its place), idx and score of the best so far, and their metadata
+        self.best = (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
+        self.meta = pa.array([], meta)
+        # the same of those met since; at most as many as can be best, and those of one more block
+        self.new: list[tuple] = []
+        self.new_rows = 0
+
+    def meet(self, block: _Block, meta: pa.Array) -> None:
+        rows, cols = self._likely(block)
+        if not len(rows):
+            return
+        scores = self._exact(block, rows, cols)
+        good = scores >= self.bar[rows]
+        rows, cols, scores = rows[good], cols[good], scores[good]
+        self.new.append((rows, block.idx[cols], scores, meta.take(pa.array(cols))))
+        self.new_rows += len(rows)
+        if self.new_rows >= len(self.ids) * self.k:
+            self._merge()
+
+    def _merge(self) -> None:
+        *new, metas = zip(*self.new)
+        best = tuple(np.concatenate([old, *some]) for old, some in zip(self.best, new, strict=True))
+        order = np.lexsort((best[1], -best[2], best[0]))
+        question = best[0][order]
+        rank = np.arange(len(order)) - np.searchsorted(question, question, "left")
+        keep = order[rank < self.k]
+        self.best = tuple(values[keep] for values in best)
+        self.meta = pa.concat_arrays([self.meta, *metas]).take(pa.array(keep))
+        self.new, self.new_rows = [], 0
+        full = rank[rank < self.k] == self.k - 1
+        self.bar[self.best[0][full]] = self.best[2][full]
+
+    def _likely(self, block: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (question, row of the block) that include those among the k best."""
+        count = len(block.idx)
+        near = np.zeros((len(self.ids), count))
+        for length, (rows, matrix, norms) in block.by_length.items():
+            if length and length in self.by_length:
+                same, _, _, units = self.by_length[length]
+                scores = _divide(units @ matrix.T, norms)
+                if len(same) == len(near) and len(rows) == count:
+                    near = scores
+                else:
+                    near[np.ix_(same, rows)] = scores
+        likely = near >= self.bar[:, None] - _Block.MARGIN
+        many = np.flatnonzero(likely.sum(axis=1) > self.k)
+        if len(many):
+            some = near[many]
+            bars = np.partition(some, count - self.k, axis=1)[:, count - self.k]
+            likely[many] &= some >= bars[:, None] - _Block.MARGIN
+        return np.nonzero(likely)
+
+    def _exact(self, block: _Block, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Cosine of pairs, by sums along the own row as in `_Block`; 0.0 for vectors of different lengths."""
+        scores = np.zeros(len(rows))
+        for length, (own, matrix, norms) in block.by_length.items():
+            if length not in self.by_length:
+                continue
+            asking, queries, lengths, _ = self.by_length[length]
+            place, at = np.full(len(self.ids), -1), np.full(len(block.idx), -1)
+            place[asking], at[own] = np.arange(len(asking)), np.arange(len(own))
+            known = np.flatnonzero((place[rows] >= 0) & (at[cols] >= 0))
+            step = max(1, _PAIR_VALUES // max(1, length))
+            for start in range(0, len(known), step):
+                some = known[start : start + step]
+                q, v = place[rows[some]], at[cols[some]]
+                dots = (matrix[v] * queries[q]).sum(axis=1)
+                scores[some] = _divide(dots, norms[v] * lengths[q])
+        return scores
+
+    def batch(self, user: str) -> pa.RecordBatch:
+        if self.new:
+            self._merge()
+        question, idx, scores = self.best
+        columns = [
+            pa.array(self.ids[question], pa.int64()),
+            pa.array([user] * len(idx), pa.string()),
+            pa.array(idx, pa.int64()),
+            pa.array(scores),
+            self.meta,
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["question_id", "user_id", "idx", "score", "meta"])
+
+
+_CELL = ("user_id", "part", "share")
+
+
+def _score_cells(k: int, vectors_per_block: int, questions_per_block: int):
+    """Rows sorted by cell, in each the questions before the vectors, to the k best of every cell's questions.
+
+    Held are the questions of one cell and a block of vectors; the vectors of a cell pass by.
+    """
+
+    # With small blocks more questions are multiplied at once, and fewer with a large `k`.
+    group_rows = max(questions_per_block, min(_PAIR_VALUES // vectors_per_block, _PAIR_VALUES // k) // 2)
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+        """The batch cut where a cell, or in it the vectors, begin."""
+        changes = np.zeros(batch.num_rows, bool)
+        for name in (*_CELL, "is_vector"):
+            values = batch.column(name)
+            changes[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(changes).tolist(), batch.num_rows]
+        for start, end in zip(starts[:-1], starts[1:]):
+            some = batch.slice(start, end - start)
+            yield tuple(some.column(name)[0].as_py() for name in _CELL), some
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, groups = None, [], []
+
+        def group(meta: pa.DataType) -> list[_Asked]:
+            ids = np.concatenate([some.column("id").to_numpy() for some in waiting])
+            queries = [_vector(value) for some in waiting for value in some.column("embedding")]
+            starts = range(0, len(ids), group_rows)
+            return [_Asked(ids[at : at + group_rows], queries[at : at + group_rows], k, meta) for at in starts]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for key, some in parts(batch):
+                if key != cell:
+                    yield from (own.batch(cell[0]) for own in groups)
+                    cell, waiting, groups = key, [], []
+                if not some.column("is_vector")[0].as_py():
+                    waiting.append(some)
+                    continue
+                if waiting:
+                    groups, waiting = group(_nullable(some.column("meta")).type), []
+                for start in range(0, some.num_rows if groups else 0, vectors_per_block):
+                    own = some.slice(start, vectors_per_block)
+                    meta = _nullable(own.column("meta"))
+                    block = _Block(own.column("id").to_numpy(), own.column("embedding"))
+                    for asked in groups:
+                        asked.meet(block, meta)
+        yield from (own.batch(cell[0]) for own in groups)
+
+    return score
+
+
 def _search_cells(
     vectors: DataFrame,
     questions: DataFrame,
@@ -242,52 +402,64 @@ def _search_cells(
     questions_per_block: int,
 ) -> DataFrame:
     schema = _candidate_schema(vectors)
-    # Own column instances, so that both sides may come from the same table.
-    questions = questions.select(
-        *[F.col(c).alias(c) for c in ("question_id", "user_id", "embedding")]
-    )
-    vectors = vectors.select(
-        "user_id",
-        F.col("idx").cast("long").alias("idx"),
-        "embedding",
-        _meta(vectors),
-        # idx counts from 0 per user, so a block holds at most vectors_per_block rows.
-        F.floor(F.col("idx") / vectors_per_block).alias("block"),
-    )
-    last = vectors.groupBy("user_id").agg(F.max("block").alias("last_block"))
-    asked = questions.groupBy("user_id").agg(
-        F.ceil(F.count(F.lit(1)) / questions_per_block).alias("parts")
+    spark = vectors.sparkSession
+    cells = 4 * spark.sparkContext.defaultParallelism
+    counts = vectors.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+    asked = questions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_questions"))
+    sizes = cut_lineage(counts.join(asked, "user_id"))
+    pairs = sizes.agg(F.sum(F.col("n_vectors").cast("double") * F.col("n_questions"))).first()[0] or 0.0
+    # A user has as many cells as their share of all pairs asks for. Questions are cut first: then each
+    # has its candidates from one cell.
+    own = F.ceil(F.col("n_vectors").cast("double") * F.col("n_questions") / F.lit(max(pairs / cells, LEAST_PAIRS)))
+    parts = F.greatest(
+        F.least(own, F.ceil(F.col("n_questions") / questions_per_block)), F.ceil(F.col("n_questions") / QUESTIONS_PER_CELL)
     )
-    sizes = last.join(asked, "user_id")
-    zero = F.lit(0).cast("long")
-    # One light row per vector block of the users who asked; all other vectors drop out here.
-    # A short list is broadcast. A long one is joined on user and block, so that a user with
-    # many vectors is spread over tasks.
-    blocks = sizes.withColumn("block", F.explode(F.sequence(zero, F.col("last_block"))))
-    if is_small(blocks, BROADCAST_BLOCKS):
-        blocks = F.broadcast(blocks)
-    left = vectors.join(blocks, ["user_id", "block"]).withColumn(
-        "part", F.explode(F.sequence(zero, F.col("parts") - 1))
+    shares = F.greatest(F.ceil(own / F.col("parts")), F.ceil(F.col("n_vectors") / VECTORS_PER_CELL))
+    sizes = sizes.withColumn("parts", parts).withColumn("shares", shares).select("user_id", "parts", "shares")
+    # At most twice `cells` users and those with very many rows have more than one cell.
+    cut = F.broadcast(sizes.where("parts > 1 OR shares > 1"))
+    asking = sizes.select("user_id")
+    asking = F.broadcast(asking) if is_small(asking, BROADCAST_BLOCKS) else asking
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def with_cells(rows: DataFrame) -> DataFrame:
+        rows = rows.join(cut, "user_id", "left")
+        return rows.withColumns({"parts": F.coalesce("parts", one), "shares": F.coalesce("shares", one)})
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(zero, F.col(count) - 1))
+
+    def one_of(key: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(count))
+
+    meta = _meta(vectors)
+    left = with_cells(
+        vectors.join(asking, "user_id", "left_semi").select(
+            "user_id", F.col("idx").cast("long").alias("id"), "embedding", meta, F.lit(True).alias("is_vector")
+        )
     )
-    # The sizes are one light row per user. Repeated once per salt, they let the questions of
-    # one user go to many tasks.
-    salted_sizes = sizes.withColumn("_salt", F.explode(F.sequence(zero, F.lit(SALTS - 1))))
-    right = (
-        questions.withColumn("_hash", F.xxhash64("question_id"))
-        .withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
-        .join(salted_sizes, ["user_id", "_salt"])
-        .withColumn("part", F.pmod(F.shiftright("_hash", 8), F.col("parts")))
-        # Spread by question before copying a question to every block of its user.
-        .repartition("question_id")
-        .withColumn("block", F.explode(F.sequence(zero, F.col("last_block"))))
+    left = left.withColumn("share", one_of("id", "shares")).withColumn("part", every("parts"))
+    # Own column instances, so that both sides may come from the same table.
+    right = with_cells(
+        questions.select(
+            F.col("user_id").alias("user_id"),
+            F.col("question_id").cast("long").alias("id"),
+            F.col("embedding").alias("embedding"),
+            F.lit(None).cast(vectors.select(meta).schema["meta"].dataType).alias("meta"),
+            F.lit(False).alias("is_vector"),
+        )
     )
-
-    keys = ["user_id", "block", "part"]
+    right = right.withColumn("part", one_of("id", "parts")).withColumn("share", every("shares"))
+    # cells of a user go to tasks of their own
+    first = F.pmod(F.xxhash64("user_id"), F.lit(cells))
+    number = F.pmod(first + F.col("part") * F.col("shares") + F.col("share"), F.lit(cells))
     return (
-        left.select(*keys, "idx", "embedding", "meta")
-        .groupBy(*keys)
-        .cogroup(right.select(*keys, "question_id", "embedding").groupBy(*keys))
-        .applyInArrow(cell_scorer(k), schema)
+        left.unionByName(right)
+        .withColumn("_cell", number.cast("int"))
+        .repartitionById(cells, "_cell")
+        .sortWithinPartitions(*_CELL, "is_vector")
+        .select(*_CELL, "is_vector", "id", "embedding", "meta")
+        .mapInArrow(_score_cells(k, vectors_per_block, questions_per_block), schema)
     )
 
 
