@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import random
@@ -12,6 +13,8 @@ from watchlake.plans.ingest import IngestError, ingest
 from watchlake.sources import raw_files, retention, tables, uploads
 from watchlake.sources.large_files import explode_large
 from watchlake.sources.arrivals import normalise_arrivals
+from watchlake.workload.oracles import ORACLES
+from watchlake.workload.queries import _titles_digest
 
 TIME = "2025-12-27T10:26:59.596Z"
 
@@ -427,3 +430,16 @@ def test_results_as_csv_come_back_as_they_were(spark, tmp_path):
     assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, rows))
     tables.write_result_csv(df.limit(0), str(tmp_path / "none"))
     assert tables.read_result_csv(spark, str(tmp_path / "none"), df.columns).isEmpty()
+
+
+def test_digest_of_titles_is_that_of_all_titles_in_order(spark):
+    # titles of one user are cut differently over batches and partitions; the digest is that of the whole list
+    rows = [("u", "b"), ("u", "a"), ("v", None), ("u", "c"), ("w", "a,b"), ("w", "c")]
+    df = spark.createDataFrame(rows, "user_id string, title string").repartition("user_id")
+    schema = "user_id string, table_rows long, titles_md5 string"
+    found = df.sortWithinPartitions("user_id", "title").mapInArrow(_titles_digest, schema)
+    md5 = hashlib.md5(b"a,b,c").hexdigest()
+    assert {tuple(r) for r in found.collect()} == {
+        ("u", 3, md5), ("v", 1, hashlib.md5(b"").hexdigest()), ("w", 2, md5)
+    }
+    assert "string_agg(title, ',' ORDER BY title)" in ORACLES["ingest_files"]
