@@ -148,3 +148,16 @@ def test_smallest_tables_run_everywhere(spark):
     for name, query in entry.queries().items():
         assert query(spark, SF_SMALL).columns, name
     assert entry.entry(spark).count() > 0
+
+
+def test_many_small_users_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(80).select(
+        F.concat(F.lit("u"), "id").alias("user_id"), F.col("id").cast("int").alias("src_pos"), F.lit("t").alias("title"),
+        F.lit("c").alias("channel_name"), F.lit("i").alias("channel_id"), F.lit("v").alias("video_id"),
+        F.timestamp_seconds("id").alias("watched_at"),
+    )
+    write_history(rows, str(tmp_path / "history"))
+    write_vectors(build_vectors(rows, HashEmbedder(8)), str(tmp_path / "vectors"), clustered=True)
+    for name in ("history", "vectors"):
+        tasks = {path.name[:10] for path in (tmp_path / name).glob("user_id=*/part-*.parquet")}
+        assert len(tasks) > 4, name
