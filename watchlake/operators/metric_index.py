@@ -6,6 +6,10 @@ inequality, so a question at angle q to the pivot is no nearer to any vector of
 max(q - largest, smallest - q, 0). The nearest blocks of a question are scored first; then only those
 that could hold a vector as good as the k-th best so far. Where bounds don't help all blocks are read.
 
+Of few questions and blocks each pair is a row, which tells what to read. Of many none is: a question's nearest blocks
+give it a score to beat, and then vectors pass by held questions as in `search`, and each block is scored
+for the questions it may be good for.
+
 Vectors are stored in one folder per range of their order, so folders without a wanted block are not opened.
 """
 
@@ -29,15 +33,18 @@ from watchlake.operators.search import (
     VECTORS_PER_BLOCK,
     _candidate_schema,
     _meta,
+    _search_cells,
     _vector,
     cell_scorer,
 )
-from watchlake.session import cut_lineage, is_small
+from watchlake.session import cut_lineage, is_small, spread_rows
 
 #: Vectors that others are laid round; they are a fixed number, whatever the table's size.
 PIVOTS = 64
 #: Far above the error of an angle, which is largest near 0.
 SLACK = 1e-6
+#: Most pairs of a question and a block of its user that become rows.
+ROW_CELLS = 200_000
 _BLOCK = ("part", "block", "user_id", "pivot")
 
 
@@ -199,12 +206,119 @@ def _scored(vectors: DataFrame, questions: DataFrame, cells: DataFrame, k: int,
     )
 
 
+class _Bounds:
+    """Which questions may find one of their k best in a block of vectors around one pivot."""
+
+    columns = ("pivot", "angle", "part", "block")
+    order = ("pivot", "angle")
+    blocks = ("pivot",)
+    #: From this share of the questions on all are scored, which saves a copy of theirs.
+    MOST = 0.7
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+
+    def angles(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Angles to the pivots, not a number for a question without a direction."""
+        found = np.full((len(queries), max(1, len(self.centres))), np.nan)
+        usable = [i for i, query in enumerate(queries) if _usable(query, self.centres.shape[1])]
+        if usable and len(self.centres):
+            found[usable] = _angles([queries[i] for i in usable], self.centres)
+        return found
+
+    def wanted(self, vectors: pa.RecordBatch, angles: np.ndarray, bar: np.ndarray) -> np.ndarray | None:
+        pivot = vectors.column("pivot")[0].as_py()
+        if pivot < 0:
+            return None
+        own = vectors.column("angle").to_numpy()
+        best = best_scores(angles[:, pivot], own.min(), own.max())
+        some = np.flatnonzero(best >= bar - SLACK)
+        return some if len(some) < self.MOST * len(bar) else None
+
+
+def best_scores(to_pivot: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The best score a block may hold, as in `_bounded`; 0 for a question without a direction."""
+    gap = np.maximum(np.maximum(to_pivot - high, low - to_pivot) - SLACK, 0.0)
+    return np.nan_to_num(np.cos(gap), nan=0.0)
+
+
+def _nearest_blocks(questions: DataFrame, blocks: DataFrame, centres: np.ndarray, k: int) -> DataFrame:
+    """(question_id, block columns) of the nearest blocks of each question, until there are k vectors.
+
+    Of blocks, at most BROADCAST_BLOCKS as checked by the caller, each task holds the list.
+    """
+    listed = blocks.select(*_BLOCK, "rows", "low", "high").orderBy(*_BLOCK).toPandas()
+    by_user = {user: own.reset_index(drop=True) for user, own in listed.groupby("user_id")}
+    shared, bounds = questions.sparkSession.sparkContext.broadcast(by_user), _Bounds(centres)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_user = shared.value
+        for batch in batches:
+            angles = bounds.angles([_vector(value) for value in batch.column("embedding")])
+            asked, places = [], []
+            for at, user in enumerate(batch.column("user_id").to_pylist()):
+                own = of_user.get(user)
+                if own is None:
+                    continue
+                pivot = own["pivot"].to_numpy()
+                best = best_scores(angles[at][np.maximum(pivot, 0)], own["low"].to_numpy(), own["high"].to_numpy())
+                order = np.argsort(-np.where(pivot < 0, 1.0, best), kind="stable")
+                rows = np.cumsum(own["rows"].to_numpy()[order])
+                first = order[: np.searchsorted(rows, k) + 1]
+                asked.append(np.full(len(first), at))
+                places.append((user, first))
+            if not asked:
+                continue
+            found = [of_user[user].iloc[first] for user, first in places]
+            columns = [batch.column("question_id").take(pa.array(np.concatenate(asked)))]
+            for name, kind in (("part", "i4"), ("block", "i8"), ("user_id", None), ("pivot", "i4")):
+                values = np.concatenate([own[name].to_numpy() for own in found])
+                columns.append(pa.array(values if kind is None else values.astype(kind)))
+            yield pa.RecordBatch.from_arrays(columns, ["question_id", *_BLOCK])
+
+    asked = questions.select("question_id", "user_id", "embedding")
+    return spread_rows(asked, "question_id").mapInArrow(
+        ask, "question_id long, part int, block long, user_id string, pivot int"
+    )
+
+
+def _bars(found: DataFrame, k: int) -> DataFrame:
+    """(of, bar): the k-th best score found for a question so far, NULL for less than k."""
+    best = top_per_key(found, ["question_id"], [F.desc("score"), F.asc("idx")], k)
+    bar = F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar")
+    return best.groupBy(F.col("question_id").alias("of")).agg(bar)
+
+
+def _search_many(
+    vectors: DataFrame, blocks: DataFrame, centres: np.ndarray, questions: DataFrame, k: int, questions_per_block: int
+) -> IndexHits:
+    """Hits without a row per question and block; `cells` are made when they are asked for."""
+    if is_small(blocks, BROADCAST_BLOCKS):
+        first = cut_lineage(_nearest_blocks(questions, blocks, centres, k))
+        kth = cut_lineage(_bars(_scored(vectors, questions, first, k, questions_per_block), k))
+    else:
+        # bars come up as vectors pass by
+        kth = questions.sparkSession.createDataFrame([], "of long, bar double")
+    asked = questions.select(F.col("question_id").alias("question_id"), F.col("user_id").alias("user_id"), F.col("embedding").alias("embedding"))
+    asked = asked.join(kth, F.col("question_id") == F.col("of"), "left").drop("of")
+    block_rows = blocks.agg(F.max("rows")).first()[0] or 1
+    found = _search_cells(vectors, asked, k, block_rows, questions_per_block, _Bounds(centres))
+    others = [c for c in vectors.columns if c not in ("user_id", "idx", "embedding", *_Bounds.columns)]
+    hits = top_per_key(found, ["question_id"], [F.desc("score"), F.asc("idx")], k).select(
+        "question_id", "user_id", "rank", "idx", "score", *(f"meta.{c}" for c in others)
+    )
+    read = F.col("bar").isNull() | (F.col("best") >= F.col("bar") - SLACK)
+    cells = _bounded(questions, blocks, centres).join(kth, F.col("question_id") == F.col("of"), "left")
+    return IndexHits(hits, cells.select("question_id", *_BLOCK, read.alias("read")))
+
+
 def search_index(
     spark: SparkSession,
     path: str,
     questions: DataFrame,
     k: int = fixed.SEARCH_DEFAULT_K,
     questions_per_block: int = QUESTIONS_PER_BLOCK,
+    row_cells: int = ROW_CELLS,
 ) -> IndexHits:
     """The hits of `search_ranked` for the vectors stored below `path`, the same rows in the same order.
 
@@ -215,7 +329,13 @@ def search_index(
     centres = spark.read.parquet(f"{path}/pivots").orderBy("pivot").toArrow()
     centres = [_vector(value) for value in centres.column("centre")]
     centres = np.stack(centres) if centres else np.empty((0, 0))
-    cells = cut_lineage(_bounded(questions, spark.read.parquet(f"{path}/blocks"), centres))
+    blocks = spark.read.parquet(f"{path}/blocks")
+    of_user = blocks.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    by_user = questions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_questions"))
+    pairs = of_user.join(by_user, "user_id").agg(F.sum(F.col("n_blocks").cast("double") * F.col("n_questions"))).first()[0]
+    if (pairs or 0.0) > row_cells:
+        return _search_many(vectors, blocks, centres, questions, k, questions_per_block)
+    cells = cut_lineage(_bounded(questions, blocks, centres))
     # the nearest blocks, until there are k vectors
     nearest = Window.partitionBy("question_id").orderBy(F.desc("best"), *_BLOCK)
     before = nearest.rowsBetween(Window.unboundedPreceding, -1)
@@ -223,9 +343,7 @@ def search_index(
     cells = cut_lineage(cells)
     order = [F.desc("score"), F.asc("idx")]
     found = cut_lineage(_scored(vectors, questions, cells.where("first"), k, questions_per_block))
-    kth = top_per_key(found, ["question_id"], order, k).groupBy(F.col("question_id").alias("of")).agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar")
-    )
+    kth = _bars(found, k)
     read = F.col("first") | F.col("bar").isNull() | (F.col("best") >= F.col("bar") - SLACK)
     cells = cut_lineage(cells.join(kth, F.col("question_id") == F.col("of"), "left").withColumn("read", read))
     more = _scored(vectors, questions, cells.where("read AND NOT first"), k, questions_per_block)

@@ -262,8 +262,9 @@ class _Asked:
         self.new: list[tuple] = []
         self.new_rows = 0
 
-    def meet(self, block: _Block, meta: pa.Array) -> None:
-        rows, cols = self._likely(block)
+    def meet(self, block: _Block, meta: pa.Array, wanted: np.ndarray | None = None) -> None:
+        """Score the vectors of a block, for `wanted` questions only (their places, ascending) if given."""
+        rows, cols = self._likely(block, np.arange(len(self.ids)) if wanted is None else wanted)
         if not len(rows):
             return
         scores = self._exact(block, rows, cols)
@@ -285,27 +286,34 @@ class _Asked:
         self.meta = pa.concat_arrays([self.meta, *metas]).take(pa.array(keep))
         self.new, self.new_rows = [], 0
         full = rank[rank < self.k] == self.k - 1
-        self.bar[self.best[0][full]] = self.best[2][full]
+        some = self.best[0][full]
+        self.bar[some] = np.maximum(self.bar[some], self.best[2][full])
 
-    def _likely(self, block: _Block) -> tuple[np.ndarray, np.ndarray]:
+    def _likely(self, block: _Block, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (question, row of the block) that include those among the k best."""
         count = len(block.idx)
-        near = np.zeros((len(self.ids), count))
+        near = np.zeros((len(asking), count))
+        place = np.full(len(self.ids), -1)
+        place[asking] = np.arange(len(asking))
         for length, (rows, matrix, norms) in block.by_length.items():
             if length and length in self.by_length:
                 same, _, _, units = self.by_length[length]
+                if len(asking) < len(self.ids):
+                    mine = place[same] >= 0
+                    same, units = place[same[mine]], units[mine]
                 scores = _divide(units @ matrix.T, norms)
                 if len(same) == len(near) and len(rows) == count:
                     near = scores
                 else:
                     near[np.ix_(same, rows)] = scores
-        likely = near >= self.bar[:, None] - _Block.MARGIN
+        likely = near >= self.bar[asking, None] - _Block.MARGIN
         many = np.flatnonzero(likely.sum(axis=1) > self.k)
         if len(many):
             some = near[many]
             bars = np.partition(some, count - self.k, axis=1)[:, count - self.k]
             likely[many] &= some >= bars[:, None] - _Block.MARGIN
-        return np.nonzero(likely)
+        asked, cols = np.nonzero(likely)
+        return asking[asked], cols
 
     def _exact(self, block: _Block, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         """Cosine of pairs, by sums along the own row as in `_Block`; 0.0 for vectors of different lengths."""
@@ -342,11 +350,13 @@ class _Asked:
 _CELL = ("user_id", "part", "share")
 
 
-def _score_cells(k: int, vectors_per_block: int, questions_per_block: int):
+def _score_cells(k: int, vectors_per_block: int, questions_per_block: int, bounds=None):
     """Rows sorted by cell, in each the questions before the vectors, to the k best of every cell's questions.
 
-    Held are the questions of one cell and a block of vectors; the vectors of a cell pass by.
+    Held are the questions of one cell and a block of vectors; the vectors of a cell pass by. With `bounds`
+    questions may start with a score that k vectors reach, and meet only blocks that may hold a better one.
     """
+    cut_at = (*_CELL, "is_vector", *(bounds.blocks if bounds else ()))
 
     # With small blocks more questions are multiplied at once, and fewer with a large `k`.
     group_rows = max(questions_per_block, min(_PAIR_VALUES // vectors_per_block, _PAIR_VALUES // k) // 2)
@@ -354,9 +364,9 @@ def _score_cells(k: int, vectors_per_block: int, questions_per_block: int):
     def parts(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
         """The batch cut where a cell, or in it the vectors, begin."""
         changes = np.zeros(batch.num_rows, bool)
-        for name in (*_CELL, "is_vector"):
+        for name in cut_at:
             values = batch.column(name)
-            changes[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+            changes[1:] |= pc.fill_null(pc.not_equal(values[1:], values[:-1]), False).to_numpy(zero_copy_only=False)
         starts = [0, *np.flatnonzero(changes).tolist(), batch.num_rows]
         for start, end in zip(starts[:-1], starts[1:]):
             some = batch.slice(start, end - start)
@@ -369,7 +379,13 @@ def _score_cells(k: int, vectors_per_block: int, questions_per_block: int):
             ids = np.concatenate([some.column("id").to_numpy() for some in waiting])
             queries = [_vector(value) for some in waiting for value in some.column("embedding")]
             starts = range(0, len(ids), group_rows)
-            return [_Asked(ids[at : at + group_rows], queries[at : at + group_rows], k, meta) for at in starts]
+            made = [_Asked(ids[at : at + group_rows], queries[at : at + group_rows], k, meta) for at in starts]
+            if bounds:
+                bars = np.concatenate([pc.fill_null(some.column("bar"), -np.inf).to_numpy() for some in waiting])
+                for own, at in zip(made, starts, strict=True):
+                    own.bar = bars[at : at + group_rows] - _Block.MARGIN
+                    own.angles = bounds.angles(queries[at : at + group_rows])
+            return made
 
         for batch in batches:
             if not batch.num_rows:
@@ -388,7 +404,7 @@ def _score_cells(k: int, vectors_per_block: int, questions_per_block: int):
                     meta = _nullable(own.column("meta"))
                     block = _Block(own.column("id").to_numpy(), own.column("embedding"))
                     for asked in groups:
-                        asked.meet(block, meta)
+                        asked.meet(block, meta, bounds.wanted(own, asked.angles, asked.bar) if bounds else None)
         yield from (own.batch(cell[0]) for own in groups)
 
     return score
@@ -400,8 +416,11 @@ def _search_cells(
     k: int,
     vectors_per_block: int,
     questions_per_block: int,
+    bounds=None,
 ) -> DataFrame:
-    schema = _candidate_schema(vectors)
+    """Candidates of many questions. With `bounds` vectors have its columns, which are no metadata, and questions `bar`."""
+    plain = vectors.drop(*bounds.columns) if bounds else vectors
+    schema = _candidate_schema(plain)
     spark = vectors.sparkSession
     cells = 4 * spark.sparkContext.defaultParallelism
     counts = vectors.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_vectors"))
@@ -432,10 +451,13 @@ def _search_cells(
     def one_of(key: str, count: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(count))
 
-    meta = _meta(vectors)
+    meta = _meta(plain)
+    more = [*bounds.order, "bar"] if bounds else []
+    kinds = {c: vectors.schema[c].dataType for c in more[:-1]}
     left = with_cells(
         vectors.join(asking, "user_id", "left_semi").select(
-            "user_id", F.col("idx").cast("long").alias("id"), "embedding", meta, F.lit(True).alias("is_vector")
+            "user_id", F.col("idx").cast("long").alias("id"), "embedding", meta, F.lit(True).alias("is_vector"),
+            *kinds, *[F.lit(None).cast("double").alias(c) for c in more[-1:]],
         )
     )
     left = left.withColumn("share", one_of("id", "shares")).withColumn("part", every("parts"))
@@ -447,6 +469,8 @@ def _search_cells(
             F.col("embedding").alias("embedding"),
             F.lit(None).cast(vectors.select(meta).schema["meta"].dataType).alias("meta"),
             F.lit(False).alias("is_vector"),
+            *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()],
+            *more[-1:],
         )
     )
     right = right.withColumn("part", one_of("id", "parts")).withColumn("share", every("shares"))
@@ -457,9 +481,9 @@ def _search_cells(
         left.unionByName(right)
         .withColumn("_cell", number.cast("int"))
         .repartitionById(cells, "_cell")
-        .sortWithinPartitions(*_CELL, "is_vector")
-        .select(*_CELL, "is_vector", "id", "embedding", "meta")
-        .mapInArrow(_score_cells(k, vectors_per_block, questions_per_block), schema)
+        .sortWithinPartitions(*_CELL, "is_vector", *kinds)
+        .select(*_CELL, "is_vector", "id", "embedding", "meta", *more)
+        .mapInArrow(_score_cells(k, vectors_per_block, questions_per_block, bounds), schema)
     )
 
 
