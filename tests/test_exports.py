@@ -40,3 +40,34 @@ def test_export_files(spark, tmp_path):
     assert json.loads(texts["raw/0/a.json"]) == expected
     assert json.loads(texts["raw/1/a.json"] + "]") == expected
     assert json.loads(texts["raw/2/a.json"]) == []
+
+
+def test_export_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Users that lie in several tasks, within one, and at their edges; an older file under the same name is longer."""
+    monkeypatch.setattr(mapping, "EXPORT_ROWS", 40)
+    kinds = ["closed", "cut", "empty"]
+    rows = [(f"{kinds[u % 3]}{u}", p, json.dumps({"é": p}, ensure_ascii=False), kinds[u % 3]) for u in range(9) for p in range([300, 1, 37][u // 3])]
+    (tmp_path / "raw/closed0").mkdir(parents=True)
+    (tmp_path / "raw/closed0/a.json").write_text("x" * 100_000)
+    records = spark.createDataFrame(rows, "user_id string, src_pos int, json string, ending string")
+    sorted_rows = []
+    stored = mapping.cut_lineage
+    monkeypatch.setattr(mapping, "cut_lineage", lambda df: sorted_rows.append(stored(df)) or sorted_rows[-1])
+    mapping.export_files(records.orderBy(F.rand(2)), str(tmp_path), "a.json")
+    of_task = sorted_rows[0].groupBy("task").count().collect()
+    assert len(of_task) > 20 and max(r["count"] for r in of_task) < 150
+    for u in range(9):
+        kind, n = kinds[u % 3], [300, 1, 37][u // 3]
+        text = (tmp_path / f"raw/{kind}{u}/a.json").read_text()
+        lines = ",\n".join(json.dumps({"é": p}, ensure_ascii=False) for p in range(n))
+        assert text == {"closed": f"[{lines}]\n", "cut": f"[{lines}\n", "empty": "[]\n"}[kind]
+
+
+def test_export_files_of_other_file_systems_are_the_same(spark, tmp_path, monkeypatch):
+    rows = [(u, p, json.dumps({"p": p}), "closed") for u in ("1", "a:b", None) for p in range(50)]
+    records = spark.createDataFrame(rows, "user_id string, src_pos int, json string, ending string")
+    mapping.export_files(records, str(tmp_path / "tasks"), "a.json")
+    monkeypatch.setattr(mapping, "on_disk", lambda *_: False)
+    mapping.export_files(records, str(tmp_path / "writer"), "a.json")
+    found = [{f.relative_to(tmp_path / way).as_posix(): f.read_text() for f in (tmp_path / way).rglob("a.json")} for way in ("tasks", "writer")]
+    assert len(found[0]) == 3 and found[0] == found[1]

@@ -419,6 +419,29 @@ def test_expired_files_are_deleted(spark, tmp_path):
     assert retention.delete_expired(listed.limit(0), as_of, str(tmp_path / "report3")).count() == 0
 
 
+def test_expired_files_on_disk_are_deleted_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver opens none of them; what a task has removed before it is run again counts as deleted."""
+    old = 1_600_000_000
+    for i in range(30):
+        path = tmp_path / f"raw/{i}/a.json"
+        path.parent.mkdir(parents=True)
+        path.write_text("[]")
+        (path.parent / ".a.json.crc").write_text("x")
+        os.utime(path, (old, old))
+    listed = retention.list_files(spark, str(tmp_path / "raw"))
+    removed = retention._remove
+
+    def twice(limit, batches):
+        batches = list(batches)
+        list(removed(limit, batches))
+        yield from removed(limit, batches)
+
+    monkeypatch.setattr(retention, "_remove", twice)
+    report = retention.delete_expired(listed, "2025-01-01 00:00:00", str(tmp_path / "report"))
+    assert [r["outcome"] for r in report.collect()] == ["deleted"] * 30
+    assert [f for f in (tmp_path / "raw").rglob("*") if f.is_file()] == []
+
+
 def test_results_as_csv_come_back_as_they_were(spark, tmp_path):
     rows = [
         ("a", None), ("", ""), (" b ", 'x"y'), ("l\nm", "c\\d"), ("c,d", '"q"'), ("r\r\ns", '\\"'), ('"', ","),

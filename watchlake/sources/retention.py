@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from datetime import datetime, timezone
+from functools import partial
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.functions import fixed
+from watchlake.session import cut_lineage, dealt
+from watchlake.sources.disk import on_disk, path_on_disk
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +53,34 @@ GONE = "gone"
 REPORT_SCHEMA = "file_path string, outcome string"
 
 
+def _find(batches):
+    for batch in batches:
+        found = [os.path.exists(path_on_disk(name)) for name in batch["file_path"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["file_path"], pa.array(found, pa.bool_())], ["file_path", "found"])
+
+
+def _remove(limit: int, batches):
+    """Remove files last written before `limit` (in milliseconds), and what Hadoop's client keeps of them beside."""
+
+    def remove(path: str, found: bool) -> str:
+        try:
+            if os.stat(path).st_mtime_ns // 1_000_000 >= limit or os.path.isdir(path):
+                return CHANGED
+            os.remove(path)
+        except (FileNotFoundError, NotADirectoryError):
+            return DELETED if found else GONE
+        folder, name = os.path.split(path)
+        with suppress(FileNotFoundError):
+            os.remove(f"{folder}/.{name}.crc")
+        return DELETED
+
+    for batch in batches:
+        names = batch["file_path"]
+        paths = map(path_on_disk, names.to_pylist())
+        outcomes = list(map(remove, paths, batch["found"].to_pylist()))
+        yield pa.RecordBatch.from_arrays([names, pa.array(outcomes, pa.string())], ["file_path", "outcome"])
+
+
 def delete_expired(
     files: DataFrame,
     as_of: datetime | str,
@@ -57,9 +91,10 @@ def delete_expired(
 ) -> DataFrame:
     """Delete the expired ones of `files` (file_path, modified); returns what became of each.
 
-    A file's time is asked for again right before, and one that has been written anew stays. Only the list
-    goes through the driver, which asks the file system, a chunk of names at a time; the report is written
-    chunk by chunk to the folder `report`, which must be new. Safe to repeat: what is gone is reported as gone.
+    A file's time is asked for again right before, and one that has been written anew stays. Files on disk are
+    removed by tasks; which were there is stored first, so that a task run again reports them as deleted
+    and not as gone. Those of other file systems are removed by the driver, a chunk of names at a time.
+    The report is written to the folder `report`, which must be new. Safe to repeat: what is gone is reported as gone.
     """
     spark = files.sparkSession
     moment = spark.range(1).select(_cutoff(as_of, days).alias("at")).first()["at"]
@@ -75,8 +110,11 @@ def delete_expired(
             return name, CHANGED
         return name, DELETED if system.delete(path, False) else GONE
 
-    names = (row["file_path"] for row in expired_files(files, as_of, days).select("file_path").toLocalIterator())
-    spark.createDataFrame([], REPORT_SCHEMA).write.parquet(report)
+    expired = cut_lineage(dealt(expired_files(files, as_of, days).select("file_path"), "file_path"))
+    here = on_disk(spark, F.col("file_path"))
+    found = cut_lineage(expired.where(here).mapInArrow(_find, "file_path string, found boolean"))
+    found.mapInArrow(partial(_remove, limit), REPORT_SCHEMA).write.parquet(report)
+    names = (row["file_path"] for row in expired.where(~here).toLocalIterator())
     with ThreadPoolExecutor(threads) as pool:
         while some := list(islice(names, chunk)):
             done = list(pool.map(remove, some))
