@@ -9,6 +9,7 @@ import check_oracles
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 from watchlake.plans import ingest as plan
+from watchlake.sources import large_files
 from watchlake.workload import mapping, queries
 
 
@@ -71,3 +72,25 @@ def test_export_files_of_other_file_systems_are_the_same(spark, tmp_path, monkey
     mapping.export_files(records, str(tmp_path / "writer"), "a.json")
     found = [{f.relative_to(tmp_path / way).as_posix(): f.read_text() for f in (tmp_path / way).rglob("a.json")} for way in ("tasks", "writer")]
     assert len(found[0]) == 3 and found[0] == found[1]
+
+
+def test_tasks_of_large_files_are_bounded(spark, tmp_path, monkeypatch):
+    """A file of one split of the scan is cut into blocks over tasks by size; elements stay whole across them."""
+    monkeypatch.setattr(large_files, "BLOCK_BITS", 5)
+    monkeypatch.setattr(large_files, "TASK_BYTES", 2_000)
+    records = [{"title": f"t{i} }}{{ \"q\\", "subtitles": [{"name": "{[" * (i % 7)}, {"url": "u"}]} for i in range(1_000)]
+    (tmp_path / "raw/u").mkdir(parents=True)
+    (tmp_path / "raw/u/a.json").write_text(json.dumps(records))
+    most = []
+    stored = large_files.cut_lineage
+
+    def store(df):
+        df = stored(df)
+        if "value" in df.columns and "element" in df.columns:
+            most.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        return df
+
+    monkeypatch.setattr(large_files, "cut_lineage", store)
+    found = plan.read_records(spark, str(tmp_path), variant_bytes=1_000).select("src_pos", "title").collect()
+    assert sorted(map(tuple, found)) == [(i, r["title"]) for i, r in enumerate(records)]
+    assert sum(most) > 3_000 and max(most) < 500
