@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from watchlake.sources.embedding_store import hash_store
 from watchlake.operators.documents import (
     read_document_files,
     read_documents,
@@ -360,3 +361,12 @@ def test_vectors_of_asking_users_only(spark, tmp_path):
     assert read_whole_users(spark, str(path), nobody).isEmpty()
     assert read_whole_users(spark, str(path), nobody.limit(0)).isEmpty()
     assert read_whole_users(spark, str(tmp_path / "none"), users).isEmpty()
+
+
+def test_new_texts_are_embedded_by_many_tasks(spark, tmp_path):
+    """Short texts, which AQE would merge into one task by their bytes."""
+    store = hash_store(str(tmp_path / "s"), dim=16)
+    texts = spark.range(4_000).select(F.concat(F.lit("clip "), F.col("id").cast("string")).alias("text"))
+    assert store.add(texts.union(texts), "text", "0") == 4_000
+    files = spark.read.parquet(str(tmp_path / "s")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 8 and max(r["count"] for r in files) < 1_000
