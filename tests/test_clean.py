@@ -157,3 +157,18 @@ def test_statistics_without_valid_rows(spark):
     row = ingest_stats(parse(spark, [record(details=AD)])).first()
     assert row["valid_rows"] == 0
     assert row["first_day"] is None and row["channels"] is None
+
+
+def test_fields_are_compiled(spark):
+    # a generator that holds a lambda is interpreted whole, record by record
+    plan = parse(spark, [{"title": "a" + S, "time": TIME}])._jdf.queryExecution().executedPlan().toString()
+    generators = [line for line in plan.splitlines() if "Generate " in line]
+    assert generators and not any("lambda" in line for line in generators)
+
+
+def test_usual_times_read_as_all_others(spark):
+    texts = ["2025-12-27T10:26:59Z", "2025-12-27T10:26:59.123456Z", "2025-02-30T10:26:59Z", "0000-01-01T00:00:00Z", "2025-12-27T24:00:00Z"]
+    others = [text.replace("Z", "+00:00") for text in texts]
+    rows = parse(spark, [{"title": "a", "time": text} for text in texts + others]).orderBy("src_pos").collect()
+    times = [(row["watched_at"], row["outcome"]) for row in rows]
+    assert times[:5] == times[5:] and [time is None for time, _ in times[:5]] == [False, False, True, True, True]

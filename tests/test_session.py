@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from watchlake.session import cut_lineage, is_small, prepare_session, shared_dir, spread
+from watchlake.session import cut_lineage, is_small, prepare_session, shared_dir, spread, stored
 
 
 def test_results_settings_are_pinned(spark):
@@ -29,3 +29,11 @@ def test_cut_lineage_reads_the_stored_rows(spark):
     stored = cut_lineage(spark.range(5).withColumn("v", F.rand()))
     assert stored.collect() == stored.collect()
     assert "Range" not in stored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_rows_are_read_by_column(spark):
+    rows = spark.range(3).selectExpr("id", "array(cast(id as float)) as vector", "if(id = 1, null, 'a') as text")
+    kept = stored(rows)
+    assert kept.dtypes == rows.dtypes and sorted(kept.collect()) == sorted(rows.collect())
+    plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan
