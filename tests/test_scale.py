@@ -7,6 +7,8 @@ import pyarrow.parquet as pq
 
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
+
 from watchlake import session
 from watchlake.functions.vectors import feature_codes, hash_embedding
 from watchlake.operators.embedding import HashEmbedder, embed_texts
@@ -50,3 +52,11 @@ def test_embedder_that_cannot_fail_runs_once(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert made.count() == 2
+
+
+def test_history_of_asked_users_is_cut_before_it_is_parsed(spark):
+    asked = spark.createDataFrame([("7",), ("8",), ("none",)], "user_id string")
+    every = mapping.history(spark, SF_SMALL)
+    own = mapping.history(spark, SF_SMALL, of=asked)
+    expected = sorted(every.where("user_id in ('7', '8')").collect())
+    assert expected and sorted(own.collect()) == expected
