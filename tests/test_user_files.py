@@ -7,9 +7,19 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from watchlake.operators.embedding import HashEmbedder, build_vectors
 from watchlake.session import few_listing_tasks
-from watchlake.sources.tables import HISTORY_SCHEMA, read_history, read_vectors, write_history
+from watchlake.sources.tables import (
+    HISTORY_SCHEMA,
+    VECTOR_SCHEMA,
+    read_history,
+    read_vectors,
+    read_whole_users,
+    write_history,
+    write_vectors,
+)
 from watchlake.sources.user_files import folder_name, replace_users, user_of_folder
+from watchlake.streaming import question_stream
 
 USERS = ["a", "b c", "x=1%2F/ä漢", "[y]{z}*?", "", None]
 
@@ -109,3 +119,60 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path, rows):
         assert stages and all(stage.numTasks <= 32 for stage in stages)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def written_vectors(rows, path):
+    write_vectors(build_vectors(rows, HashEmbedder(16)), path, clustered=True)
+
+
+def test_vectors_of_wanted_columns(spark, tmp_path, rows):
+    path = f"{tmp_path}/vectors"
+    written_vectors(rows.where("user_id <> ''"), path)
+    expected = read_vectors(spark, path)
+    for columns in (["user_id"], ["embed_failed", "user_id"], VECTOR_SCHEMA.names):
+        found = read_vectors(spark, path, columns)
+        assert found.columns == columns
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.select(columns).collect()))
+    assert read_vectors(spark, f"{tmp_path}/none", ["user_id"]).columns == ["user_id"]
+
+
+@pytest.mark.parametrize("named", [0, 10])
+def test_a_user_with_broken_pages_has_no_vectors(spark, tmp_path, rows, named):
+    path = f"{tmp_path}/vectors"
+    written_vectors(rows.where("user_id IN ('a', 'b c')"), path)
+    # a second file that can be read, and pages of the first that can't, its end as it was
+    name = next(name for name in os.listdir(f"{path}/user_id=a"))
+    with open(f"{path}/user_id=a/{name}", "r+b") as file:
+        whole = file.read()
+        with open(f"{path}/user_id=a/copy.parquet", "wb") as copy:
+            copy.write(whole)
+        file.seek(4)
+        file.write(b"\xff" * 200)
+    users = spark.createDataFrame([("a",), ("b c",)], "user_id string")
+    found = read_whole_users(spark, path, users, named).select("user_id", "idx").collect()
+    assert sorted(row["idx"] for row in found) == list(range(10))
+    assert {row["user_id"] for row in found} == {"b c"}
+
+
+def test_a_batch_of_questions_opens_user_files_once(spark, tmp_path, rows, monkeypatch):
+    history, vectors, out = (f"{tmp_path}/{name}" for name in ("history", "vectors", "out"))
+    write_history(rows, history)
+    written_vectors(rows.where("user_id IN ('a', '[y]{z}*?')"), vectors)
+    opened, answer = [], question_stream.answer_batch
+
+    def watched(questions, rows, stored, embedder, **options):
+        opened.extend(rows.inputFiles() + stored.inputFiles())
+        assert {row["user_id"] for row in rows.select("user_id").distinct().collect()} == {"a", "b c"}
+        return answer(questions, rows, stored, embedder, **options)
+
+    monkeypatch.setattr(question_stream, "answer_batch", watched)
+    asked = [(1, "a", "t1 t7"), (2, "b c", "t1"), (3, "a", "total?"), (4, "nobody", "top channels")]
+    questions = spark.createDataFrame(asked, question_stream.QUESTION_SCHEMA)
+    question_stream.answer_questions(questions, 0, history, vectors, out, HashEmbedder(16))
+    assert opened and not [name for name in opened if "user_id=" in name]
+    # what was kept for the batch is gone
+    assert not [name for name in opened if os.path.exists(name.removeprefix("file://"))]
+    answers = {row["question_id"]: row for row in question_stream.read_answers(spark, out).collect()}
+    assert sorted(answers) == [1, 2, 3, 4]
+    assert answers[1]["plan"] == "vector" and answers[1]["data_count"] == 10
+    assert answers[2]["plan"] == "recent_history" and answers[2]["data_count"] == 10

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from watchlake.operators.embedding import Embedder
 from watchlake.plans.answers import answer_batch
-from watchlake.session import cut_lineage, prepare_session
+from watchlake.session import cut_lineage, kept, prepare_session
 from watchlake.sources.tables import path_exists, read_history, read_whole_users
 
 QUESTION_SCHEMA = "question_id long, user_id string, question string"
@@ -42,15 +42,19 @@ def answer_questions(
         earlier = read_answers(spark, out).where(F.col("batch") != batch_id).select("question_id")
         met = earlier.join(new.select("question_id"), "question_id", "left_semi")
         new = cut_lineage(new.join(met, "question_id", "left_anti"))
-    stored = read_whole_users(spark, vectors, new)
-    answers = answer_batch(new, read_history(spark, history), stored, embedder, **options)
-    (
-        answers.withColumn("batch", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
-        .parquet(out)
-    )
+    asking = new.select("user_id").distinct()
+    # templates and search take several steps each: files of these users are opened once, in the first
+    with kept(spark) as keep:
+        rows = keep(read_history(spark, history, users=asking))
+        stored = keep(read_whole_users(spark, vectors, asking))
+        answers = answer_batch(new, rows, stored, embedder, **options)
+        (
+            answers.withColumn("batch", F.lit(batch_id).cast("long"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(out)
+        )
 
 
 def read_answers(spark: SparkSession, out: str) -> DataFrame:
