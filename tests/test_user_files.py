@@ -19,6 +19,7 @@ from watchlake.sources.tables import (
     write_vectors,
 )
 from watchlake.sources.user_files import folder_name, replace_users, user_of_folder
+from watchlake.sources import raw_files
 from watchlake.streaming import question_stream
 
 USERS = ["a", "b c", "x=1%2F/ä漢", "[y]{z}*?", "", None]
@@ -176,3 +177,33 @@ def test_a_batch_of_questions_opens_user_files_once(spark, tmp_path, rows, monke
     assert sorted(answers) == [1, 2, 3, 4]
     assert answers[1]["plan"] == "vector" and answers[1]["data_count"] == 10
     assert answers[2]["plan"] == "recent_history" and answers[2]["data_count"] == 10
+
+
+def test_tasks_list_and_read_raw_files_as_spark_does(spark, tmp_path):
+    names = [
+        "raw/u 1/a b.json", "raw/u%2F/sub/x+y.json", "raw/ä漢/[é]{1}*?.json", "raw/q#'\"<>^`|\\/a&=;,@$!~().json",
+        "raw/u1/.hidden.json", "raw/u1/_x.json", "raw/u1/_x=1.json", "raw/u1/empty.json", "raw/u1/n.txt", "raw/_s/a.json",
+        "raw/top.json", "raw/u1/bytes.json", "raw/u1/　wide .json",
+    ]
+    for name in names:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"" if "empty" in name else b"\xff\xfe[]" if "bytes" in name else f'["{name}"]'.encode())
+    columns = ["user_id", "file_path", "modified", "file_size", F.hex("value").alias("text")]
+
+    def found(files):
+        return sorted(map(str, files.select(*columns).collect()))
+
+    root = str(tmp_path)
+    expected = found(raw_files.scan_raw_files(spark, root))
+    assert len(expected) == 7
+    listed = raw_files.list_raw_files(spark, root)
+    assert "value" not in listed.columns
+    assert found(raw_files.with_text(listed)) == expected
+    assert found(raw_files.scan_raw_files(spark, f"file://{root}/")) == expected
+    assert found(raw_files.with_text(raw_files.list_raw_files(spark, f"file://{root}/"))) == expected
+    paths = [str(tmp_path / name) for name in names[:2]]
+    named = found(raw_files.scan_raw_files(spark, root, paths))
+    assert len(named) == 2
+    gone = f"{root}/raw/u1/gone.json"
+    assert found(raw_files.with_text(raw_files.list_raw_files(spark, root, [*paths, gone]))) == named
